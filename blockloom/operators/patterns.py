@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockloom.functions.columns import AsOf, DAY_NAMES, moment, pick_name, seconds
 from blockloom.operators.fees import weekly_means
+from blockloom.session import cut_lineage
 
 FEATURES = ["avg_fee", "hour_sin", "hour_cos", "day_sin", "day_cos"]
 # Category names, lowest mean fee first.
@@ -91,8 +92,8 @@ def kmeans_slots(slots: DataFrame, k: int = 3, seed: int = 42, starts: int = 10)
     seeded runs repeatable.
     """
     stats, scaled = _scale(FEATURES)
-    featured = cyclical_features(slots).coalesce(1).sortWithinPartitions("day_of_week_num", "hour_of_day").persist()
-    moments = featured.agg(F.struct(*stats).alias("m"))
+    featured = cut_lineage(cyclical_features(slots).coalesce(1).sortWithinPartitions("day_of_week_num", "hour_of_day"))
+    moments = cut_lineage(featured.agg(F.struct(*stats).alias("m")))
     rows = featured.withColumn("__m", moments.scalar()).withColumns({f"z_{c}": scaled(c, F.col("__m")) for c in FEATURES})
     ready = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="features").transform(rows.drop("__m")).persist()
     ready.count()
@@ -100,7 +101,8 @@ def kmeans_slots(slots: DataFrame, k: int = 3, seed: int = 42, starts: int = 10)
         models = list(pool.map(lambda i: KMeans(k=k, seed=seed + i, maxIter=300, tol=1e-4).fit(ready), range(starts)))
     best = min(models, key=lambda m: m.summary.trainingCost)
     labelled = best.transform(ready).withColumnRenamed("prediction", "cluster_label")
-    names = category_names(labelled, k)
+    names = cut_lineage(category_names(labelled, k))
+    ready.unpersist()
     return PatternModel(best, moments, names)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from blockloom.functions.columns import newest
 from blockloom.operators import fees, patterns
 from blockloom.plans.registry import query
+from blockloom.session import cut_lineage
 from blockloom.sources.fixtures import Fixtures
 
 HOURS = 72
@@ -132,7 +133,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("slot_clusters")
 def _(fx: Fixtures) -> DataFrame:
-    grid = slots(fx)
+    grid = cut_lineage(slots(fx))
     return patterns.kmeans_slots(grid).assign(grid)
 
 
@@ -155,7 +156,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("predict_slot_category")
 def _(fx: Fixtures) -> DataFrame:
-    grid = slots(fx)
+    grid = cut_lineage(slots(fx))
     model = patterns.kmeans_slots(grid)
     asked = fx.snapshots.select((F.dayofweek("timestamp") - 1).alias("day_of_week_num"), F.hour("timestamp").alias("hour_of_day"))
     return patterns.predict_slots(model, grid, asked.distinct()).select("day_of_week_num", "hour_of_day", "fee_category")

@@ -1 +1,67 @@
-SQL: dict[str, str] = {}
+"""Oracles of the forecasting queries."""
+
+PRED = "strftime(prediction_time, '%Y-%m-%d %H:%M:%S') AS prediction_time"
+RANKED = "(SELECT *, row_number() OVER (ORDER BY timestamp) AS rn, count(*) OVER () AS n FROM fx_fee)"
+RAW = "(SELECT prediction_time, model_name, low_fee AS f, medium_fee AS m, fast_fee - 20 AS l FROM fx_pred)"
+LATEST = "(SELECT * FROM fx_pred WHERE generated_at = (SELECT max(generated_at) FROM fx_pred))"
+
+SQL = {
+    "time_features": """
+SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, hour(fx_fee.timestamp) AS hour, isodow(fx_fee.timestamp) - 1 AS dayofweek,
+       month(fx_fee.timestamp) AS month, year(fx_fee.timestamp) AS year FROM fx_fee""",
+    "clean_targets": f"""
+SELECT {PRED}, model_name, CASE WHEN fast_fee >= 20 THEN fast_fee END AS fast_fee, CASE WHEN medium_fee >= 30 THEN medium_fee END AS medium_fee,
+       CASE WHEN low_fee >= 10 THEN low_fee END AS low_fee
+FROM fx_pred WHERE fast_fee >= 20 OR medium_fee >= 30 OR low_fee >= 10""",
+    "chrono_split": f"""
+SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, fast_fee, medium_fee, low_fee,
+       CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS part FROM {RANKED}""",
+    "lookback_window": f"""
+WITH train AS (SELECT * FROM {RANKED} WHERE rn <= floor(n * 0.8))
+SELECT strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, fast_fee, medium_fee, low_fee
+FROM train WHERE train.timestamp >= (SELECT max(timestamp) FROM train) - INTERVAL 7 DAY""",
+    "forecast_eval_mse": f"""
+WITH r AS (SELECT *, hour(timestamp) AS h, rn <= floor(n * 0.8) AS tr FROM {RANKED}),
+m AS (SELECT h, avg(fast_fee) AS f, avg(medium_fee) AS m, avg(low_fee) AS l FROM r WHERE tr GROUP BY h),
+e AS (SELECT avg(pow(fast_fee - f, 2)) AS f, avg(pow(medium_fee - m, 2)) AS m, avg(pow(low_fee - l, 2)) AS l FROM r JOIN m USING (h) WHERE NOT tr)
+SELECT 'fast_fee' AS fee_type, round(f, 6) AS mse FROM e UNION ALL SELECT 'medium_fee', round(m, 6) FROM e
+UNION ALL SELECT 'low_fee', round(l, 6) FROM e""",
+    "forecast_horizon": """
+SELECT strftime(date_trunc('hour', (SELECT max(timestamp) FROM fx_fee)) + to_hours(CAST(i + 1 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS prediction_time
+FROM range(48) r(i)""",
+    "order_fees_clamp": f"""
+SELECT {PRED}, model_name, CASE WHEN ok THEN round(greatest(greatest(least(l, m, f), m, f), 0), 6) END AS fast_fee,
+       CASE WHEN ok THEN round(greatest(greatest(least(l, m, f), least(m, greatest(least(l, m, f), m, f))), 0), 6) END AS medium_fee,
+       CASE WHEN ok THEN round(greatest(least(l, m, f), 0), 6) END AS low_fee
+FROM (SELECT *, m IS NOT NULL AND f IS NOT NULL AND l IS NOT NULL AS ok FROM {RAW})""",
+    "order_fees_sort": f"""
+SELECT {PRED}, model_name, CASE WHEN ok THEN round(greatest(s[3], 0), 6) END AS fast_fee,
+       CASE WHEN ok THEN round(greatest(s[2], 0), 6) END AS medium_fee, CASE WHEN ok THEN round(greatest(s[1], 0), 6) END AS low_fee
+FROM (SELECT *, m IS NOT NULL AND f IS NOT NULL AND l IS NOT NULL AS ok, list_sort([f, m, l]) AS s FROM {RAW})""",
+    "predictions_latest": f"""
+SELECT {PRED}, model_name, fast_fee, medium_fee, low_fee, strftime(generated_at, '%Y-%m-%d %H:%M:%S') AS generated_at FROM {LATEST}""",
+    "prediction_view": f"""
+WITH b AS {LATEST}, c AS (SELECT coalesce(max(CASE WHEN model_name = 'hourly' THEN model_name END), min(model_name)) AS name FROM b),
+s AS (SELECT b.* FROM b, c WHERE model_name = name)
+SELECT {PRED}, model_name, fast_fee, medium_fee, low_fee, strftime(generated_at, '%Y-%m-%d %H:%M:%S') AS generated_at,
+       s.prediction_time = (SELECT min(prediction_time) FROM s) AS is_next FROM s""",
+    "data_sufficiency": """
+WITH e AS (SELECT max(timestamp) AS t, count(*) AS total FROM fx_fee),
+l AS (SELECT * FROM (VALUES ('very_short', 3), ('hourly', 21), ('daily', 180), ('weekly', 365)) v(name, days))
+SELECT name AS model_name, count(f.timestamp) AS points, CAST(336 AS BIGINT) AS required,
+       count(f.timestamp) >= 336 AND max(e.total) >= 100 AS sufficient
+FROM l, e LEFT JOIN fx_fee f ON f.timestamp >= e.t - to_days(l.days) GROUP BY name""",
+    "rolling_origin_cv": """
+WITH w AS (SELECT min(timestamp) AS a, max(timestamp) AS b FROM fx_fee),
+c AS (SELECT b - INTERVAL 2 DAY - to_days(CAST(5 * i AS INTEGER)) AS cutoff FROM w, range(1000) r(i)
+      WHERE b - INTERVAL 2 DAY - to_days(CAST(5 * i AS INTEGER)) >= a + INTERVAL 15 DAY),
+m AS (SELECT cutoff, hour(timestamp) AS h, avg(fast_fee) AS guess FROM c JOIN fx_fee ON timestamp <= cutoff GROUP BY ALL)
+SELECT strftime(c.cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff, count(*) AS points, round(avg(abs((f.fast_fee - m.guess) / f.fast_fee)), 6) AS mape
+FROM c JOIN fx_fee f ON f.timestamp > c.cutoff AND f.timestamp <= c.cutoff + INTERVAL 48 HOUR
+JOIN m ON m.cutoff = c.cutoff AND m.h = hour(f.timestamp) WHERE f.fast_fee <> 0 GROUP BY c.cutoff""",
+    "retrain_gate": """
+WITH g AS (SELECT event_type AS model_name, user_id % 3 AS fee, max(ts) AS trained FROM events GROUP BY ALL)
+SELECT model_name, strftime(max(trained), '%Y-%m-%d %H:%M:%S') AS trained_at, count(DISTINCT fee) = 3 AS complete,
+       NOT (count(DISTINCT fee) = 3) OR (SELECT max(trained) FROM g) - max(trained) >= INTERVAL 1 HOUR AS retrain
+FROM g GROUP BY model_name""",
+}
