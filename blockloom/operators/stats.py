@@ -8,15 +8,14 @@ HOT_ROWS = 1_000_000
 CHUNKS = 256
 
 
-def grouped_median(rows: DataFrame, key: str, column: str, out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Exact median of ``column`` per key.
+def grouped_median(rows: DataFrame, key: str, column: str, out: str, size: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Exact median of ``column`` (no nulls) per key; ``size`` names a column with the row count of the key.
 
     Small groups use the built-in percentile. A group with more than ``hot_rows`` rows is cut into value
     chunks at mergeable approximate quantiles; chunk counts locate the middle ranks, and only the one or two
     chunks that hold them are ordered. The approximation only places the cuts, the result is exact.
     """
-    sized = rows.where(F.col(column).isNotNull()).select(key, column).join(
-        rows.groupBy(key).agg(F.count(column).alias("__n")), key)
+    sized = rows.select(key, column, F.col(size).alias("__n"))
     small = sized.where(F.col("__n") <= hot_rows).groupBy(key).agg(F.percentile(column, 0.5).alias(out))
     return small.unionByName(_chunked_median(sized.where(F.col("__n") > hot_rows), key, column, out))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from blockloom.functions.columns import AsOf, SATOSHI, moment, span
 from blockloom.operators.stats import grouped_median
+from blockloom.session import cut_lineage
 
 MAX_ROWS = 1000
 # Fixed values of the behaviour rules.
@@ -70,14 +71,18 @@ def anomaly_ratio(points: DataFrame, strict: bool = False, **medians) -> DataFra
 
     A point is outlying when its modified z-score exceeds 3.5 on either axis. The test multiplies instead of
     dividing, so an address whose points are mostly equal counts every other value. ``strict`` caps the ratio
-    at 0.1, the share a detector with fixed 10 % contamination can report.
+    at 0.1, the share a detector with fixed 10 % contamination can report. The busy addresses' points are
+    materialised before each round of medians, because every median reads them several times.
     """
-    busy = points.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") > ANOMALY_TXS).select("address")
-    rows = points.join(busy, "address", "left_semi").select("address", "amount", "rate")
+    busy = points.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") > ANOMALY_TXS)
+    points_of = rows = cut_lineage(points.join(busy, "address").select("address", "n", "amount", "rate"))
     for axis in ("amount", "rate"):
-        rows = rows.join(grouped_median(rows, "address", axis, f"{axis}_mid", **medians), "address")
-        rows = rows.withColumn(f"{axis}_off", F.abs(F.col(axis) - F.col(f"{axis}_mid")))
-        rows = rows.join(grouped_median(rows, "address", f"{axis}_off", f"{axis}_mad", **medians), "address")
+        middle = grouped_median(points_of, "address", axis, f"{axis}_mid", "n", **medians)
+        rows = rows.join(middle, "address").withColumn(f"{axis}_off", F.abs(F.col(axis) - F.col(f"{axis}_mid"))).drop(f"{axis}_mid")
+    rows = cut_lineage(rows.select("address", "n", "amount_off", "rate_off"))
+    base = rows
+    for axis in ("amount", "rate"):
+        rows = rows.join(grouped_median(base, "address", f"{axis}_off", f"{axis}_mad", "n", **medians), "address")
     outlying = F.lit(False)
     for axis in ("amount", "rate"):
         outlying = outlying | (SCORE_FACTOR * F.col(f"{axis}_off") > SCORE_LIMIT * F.col(f"{axis}_mad"))

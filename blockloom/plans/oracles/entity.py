@@ -42,7 +42,7 @@ SQL = {
     "edges_common_input": folded("common"),
     "edges_change": folded("change"),
     "address_graph": folded("(common + change)", """,
-       array_to_string(list_filter([CASE WHEN max(change) > 0 THEN 'change_detection' END, CASE WHEN max(common) > 0 THEN 'common_input' END], t -> t IS NOT NULL), ',') AS types"""),
+       concat_ws(',', CASE WHEN max(change) > 0 THEN 'change_detection' END, CASE WHEN max(common) > 0 THEN 'common_input' END) AS types"""),
     "graph_degree": f"WITH {PAIRS}, {ENDS} SELECT a AS address, d AS degree FROM deg",
     "clustering_coefficient": f"WITH {PAIRS}, {ENDS}, {COEFF} SELECT a AS address, round(cc, 6) AS clustering_coefficient FROM cc",
     "avg_neighbor_degree": f"WITH {PAIRS}, {ENDS}, {COEFF} SELECT a AS address, round(nd, 6) AS avg_neighbor_degree FROM nd",

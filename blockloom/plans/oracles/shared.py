@@ -30,14 +30,14 @@ SELECT address, timestamp, value FROM fx_utxo UNION ALL SELECT address, spent_ti
     "fx_whale": """
 SELECT t.txid, t.ok, t.custkey, t.status, to_timestamp(epoch(t.date) + t.ok % 86400)::TIMESTAMP AS timestamp,
        t.size, t.vsize, t.weight, t.fee, t.fee / 1e8 AS fee_paid, t.fee / t.vsize AS fee_per_vbyte,
-       s.sent / 400000.0::DOUBLE AS total_sent, t.btc_price_usd AS btcusd
+       s.sent / 500000.0::DOUBLE AS total_sent, t.btc_price_usd AS btcusd
 FROM fx_tx t JOIN (SELECT ok, CAST(sum(value) AS BIGINT) AS sent FROM fx_line GROUP BY ok) s ON s.ok = t.ok""",
     "fx_input": """
-SELECT spent_in_txid AS txid, address, value AS sats, value / 400000.0::DOUBLE AS value, txid AS prev_txid, vout AS prev_vout,
+SELECT spent_in_txid AS txid, address, value AS sats, value / 500000.0::DOUBLE AS value, txid AS prev_txid, vout AS prev_vout,
        to_timestamp(spent_time + spender % 86400)::TIMESTAMP AS tx_timestamp
 FROM fx_utxo WHERE spent""",
     "fx_output": """
-SELECT txid, vout, address, value AS sats, value / 400000.0::DOUBLE AS value,
+SELECT txid, vout, address, value AS sats, value / 500000.0::DOUBLE AS value,
        to_timestamp(timestamp + ok % 86400)::TIMESTAMP AS tx_timestamp FROM fx_utxo""",
     "fx_level": """
 SELECT date_trunc('hour', ts) AS timestamp, floor(value) AS fee,

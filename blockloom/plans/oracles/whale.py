@@ -1,7 +1,7 @@
 """Oracles of the whale, alert and market queries."""
 
 STAMP = "strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp"
-KEPT = "(SELECT txid, sum(value) AS total_sent FROM fx_output GROUP BY txid HAVING sum(sats) >= 20000000)"
+KEPT = "(SELECT txid, sum(value) AS total_sent FROM fx_output GROUP BY txid HAVING sum(sats) >= 25000000)"
 SIDES = """
 o AS (SELECT txid, list_sort(list(address)) AS outs FROM fx_output GROUP BY txid),
 i AS (SELECT txid, list_sort(list(address)) AS ins FROM fx_input GROUP BY txid),
@@ -10,7 +10,7 @@ al AS (SELECT w.txid, w.status, w.timestamp, w.total_sent AS btc, w.total_sent *
               CASE WHEN w.ok % 7 = 0 THEN list_prepend('bc1q' || lpad(CAST(w.ok AS VARCHAR), 38, '0'), o.outs) ELSE o.outs END AS outs
        FROM fx_whale w LEFT JOIN o ON o.txid = w.txid LEFT JOIN i ON i.txid = w.txid),
 ty AS (SELECT *, CASE WHEN rate > 1000 THEN 'MINER_BRIBE'
-              WHEN len(list_filter(outs, a -> regexp_matches(a, '^(bc1q\\w{38}|1\\w{33}|3\\w{33})'))) > 0 THEN 'EXCHANGE_FLOW'
+              WHEN len([a FOR a IN outs IF regexp_matches(a, '^(bc1q\\w{38}|1\\w{33}|3\\w{33})')]) > 0 THEN 'EXCHANGE_FLOW'
               ELSE 'WHALE_MOVE' END AS kind,
               sha256(txid || '-' || CAST(CAST(usd AS DECIMAL(20,2)) AS VARCHAR)) AS hash FROM al),
 fired AS (SELECT * FROM ty WHERE rate IS NOT NULL AND outs IS NOT NULL
@@ -36,7 +36,7 @@ FROM fx_whale w JOIN (SELECT txid, sum(sats) AS s FROM fx_output GROUP BY txid)
 LEFT JOIN (SELECT txid, sum(sats) AS s FROM fx_input GROUP BY txid) i ON i.txid = w.txid""",
     "whale_upsert": """
 SELECT txid, strftime(CASE WHEN status = 'O' THEN timestamp + INTERVAL 1 MINUTE ELSE timestamp END, '%Y-%m-%d %H:%M:%S') AS timestamp, size,
-       round(CASE WHEN status = 'O' THEN fee_paid + 1 ELSE fee_paid END, 6) AS fee_paid, round(total_sent, 6) AS total_sent FROM fx_whale""",
+       CASE WHEN status = 'O' THEN fee + 100000000 ELSE fee END AS fee_sats, round(total_sent, 6) AS total_sent FROM fx_whale""",
     "evict_mined": """
 WITH pool AS (SELECT txid FROM fx_tx WHERE status <> 'F')
 SELECT 'whales' AS part, txid, count(*) AS rows FROM fx_whale WHERE txid IN (FROM pool) GROUP BY txid
@@ -52,13 +52,13 @@ FROM g LEFT JOIN ratio ON ratio.address = g.address""",
     "whale_addresses": """
 WITH b AS (SELECT address, CAST(sum(value) AS BIGINT) AS balance FROM fx_utxo WHERE NOT spent GROUP BY address)
 SELECT i.address, count(*) AS rows, b.balance FROM fx_input i JOIN fx_whale w ON w.txid = i.txid JOIN b ON b.address = i.address
-WHERE w.total_sent > 10 AND b.balance >= 400000 GROUP BY i.address, b.balance HAVING count(*) > 3""",
+WHERE w.total_sent > 10 AND b.balance >= 500000 GROUP BY i.address, b.balance HAVING count(*) > 3""",
     "whale_balance_snapshot": """
 SELECT address, strftime((SELECT max(timestamp) FROM fx_whale), '%Y-%m-%d %H:%M:%S') AS timestamp,
-       round(CAST(sum(value) AS BIGINT) / 400000.0::DOUBLE, 6) AS confirmed_balance
+       round(CAST(sum(value) AS BIGINT) / 500000.0::DOUBLE, 6) AS confirmed_balance
 FROM fx_utxo WHERE NOT spent GROUP BY address HAVING sum(value) > 0""",
     "whale_transactions_top": f"""
-SELECT txid, {STAMP}, size, vsize, weight, round(fee_paid, 6) AS fee_paid, round(fee_per_vbyte, 6) AS fee_per_vbyte, round(total_sent, 6) AS total_sent
+SELECT txid, {STAMP}, size, vsize, weight, fee AS fee_paid, round(fee_per_vbyte, 6) AS fee_per_vbyte, round(total_sent, 6) AS total_sent
 FROM fx_whale WHERE total_sent >= 10 ORDER BY fx_whale.timestamp DESC, txid LIMIT 1000""",
     "recent_whales_parsed": f"""
 WITH {SIDES}
@@ -68,8 +68,8 @@ FROM al WHERE al.timestamp >= (SELECT max(timestamp) FROM al) - INTERVAL 30 DAY"
     "whale_activity_report": """
 WITH s AS (SELECT address, sum(sats) AS v, count(*) AS n FROM fx_input GROUP BY address),
 r AS (SELECT address, sum(sats) AS v, count(*) AS n FROM fx_output GROUP BY address)
-SELECT 'top_senders' AS section, address AS name, round(v / 400000.0::DOUBLE, 6) AS amount, n AS rows FROM (SELECT * FROM s ORDER BY v DESC, address LIMIT 10)
-UNION ALL SELECT 'top_receivers', address, round(v / 400000.0::DOUBLE, 6), n FROM (SELECT * FROM r ORDER BY v DESC, address LIMIT 10)
+SELECT 'top_senders' AS section, address AS name, round(v / 500000.0::DOUBLE, 6) AS amount, n AS rows FROM (SELECT * FROM s ORDER BY v DESC, address LIMIT 10)
+UNION ALL SELECT 'top_receivers', address, round(v / 500000.0::DOUBLE, 6), n FROM (SELECT * FROM r ORDER BY v DESC, address LIMIT 10)
 UNION ALL SELECT 'recurring', s.address, NULL, s.n + r.n FROM s JOIN r ON r.address = s.address
 UNION ALL SELECT 'by_hour', CAST(hour(timestamp) AS VARCHAR), round(sum(total_sent), 6), count(*) FROM fx_whale GROUP BY hour(timestamp)""",
     "alert_classify": f"""

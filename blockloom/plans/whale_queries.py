@@ -48,7 +48,8 @@ def _(fx: Fixtures) -> DataFrame:
     stored = fx.whales.select(*WHALE_COLUMNS)
     again = fx.whales.where("status = 'O'").select(*WHALE_COLUMNS).withColumns({
         "timestamp": F.col("timestamp") + F.expr("INTERVAL 1 MINUTE"), "fee_paid": F.col("fee_paid") + 1})
-    return tables.upsert_latest(stored, again, "txid", "timestamp").select("txid", "timestamp", "size", "fee_paid", "total_sent")
+    return tables.upsert_latest(stored, again, "txid", "timestamp").select(
+        "txid", "timestamp", "size", F.round(F.col("fee_paid") * 1e8).cast("bigint").alias("fee_sats"), "total_sent")
 
 
 @query("evict_mined")
@@ -81,7 +82,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("whale_transactions_top")
 def _(fx: Fixtures) -> DataFrame:
-    return whales.top_whales(fx.whales, MIN_BTC, 1000)
+    return whales.top_whales(fx.whales, MIN_BTC, 1000).withColumn("fee_paid", F.round(F.col("fee_paid") * 1e8).cast("bigint"))
 
 
 @query("recent_whales_parsed")

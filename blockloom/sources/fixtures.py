@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from blockloom.operators import fees
 
-SATS_PER_UNIT = 400_000.0
+SATS_PER_UNIT = 500_000.0
 
 
 class Fixtures:

@@ -51,7 +51,7 @@ def main() -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     cores = os.environ.get("CHECK_CORES", "8")
     spark = build_session("compare", f"local[{cores}]", **{
-        "spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+        "spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, failed = duck(sf_dir), driver.oracle_sql(), []
     keys = sys.argv[2:] or list(driver.queries())
