@@ -20,7 +20,8 @@ class AddressGraph:
 
     @staticmethod
     def build(inputs: DataFrame, outputs: DataFrame) -> "AddressGraph":
-        members = graph.memberships(inputs, outputs)
+        """The memberships feed the twins, the nodes and the edges, so they are materialised once."""
+        members = cut_lineage(graph.memberships(inputs, outputs))
         nodes, twins = graph.twin_members(members)
         return AddressGraph(members, twins, graph.twin_edges(nodes))
 
