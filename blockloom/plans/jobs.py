@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from blockloom.operators import entities, graph, patterns
+from blockloom import schemas
+from blockloom.functions.columns import AsOf, moment
+from blockloom.operators import entities, graph, ledger, patterns
 from blockloom.session import cut_lineage
+from blockloom.sources import readers, tables
 
 
 @dataclass
@@ -50,3 +53,88 @@ def run_clustering(inputs: DataFrame, outputs: DataFrame, as_of: Column, eps: fl
     labels = entities.classify_entities(mapping, inputs, outputs, as_of)
     metadata = labels.select("cluster_id", "entity_type", "cluster_size", as_of.alias("first_seen"), as_of.alias("last_active"))
     return Clustering(final, mapping, metadata)
+
+
+ADDRESSES = "address string, balance bigint, first_seen bigint, last_seen bigint, date_first_seen timestamp, date_last_seen timestamp"
+MAPPING = "address string, cluster_id string, last_updated timestamp"
+METADATA = "cluster_id string, entity_type string, cluster_size bigint, first_seen timestamp, last_active timestamp, version int"
+HISTORY = "cluster_id string, parent_id string, address string, version int, timestamp timestamp"
+
+
+class Ledger:
+    """Stored ledger: transactions, outputs and spends per synced range, and address snapshots.
+
+    A range is committed by its row in ``synced``, written last; until then its folders are ignored, and the
+    next sync of the same start overwrites them.
+    """
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+        self.addresses = tables.SnapshotTable(spark, f"{self.base}/addresses", ADDRESSES)
+
+    def synced(self) -> DataFrame:
+        return readers.read_table(self.spark, f"{self.base}/synced", "first int, last int")
+
+    def latest(self) -> int:
+        """Last committed height, -1 when nothing is stored."""
+        return self.synced().agg(F.coalesce(F.max("last"), F.lit(-1))).first()[0]
+
+    def table(self, name: str) -> DataFrame:
+        """Committed rows of a ledger table."""
+        committed = self.synced().select("first")
+        return self.spark.read.parquet(f"{self.base}/{name}").join(committed, "first", "left_semi").drop("first")
+
+    def outputs(self) -> DataFrame:
+        """Outputs with their spent state applied."""
+        return ledger.mark_spent(self.table("outputs"), self.table("spends"))
+
+    def sync(self, blocks: DataFrame, end: int | None = None, prices: DataFrame | None = None) -> tuple[int, int] | None:
+        """Load the unbroken run of heights after the last stored one; returns it, or None when there is none.
+
+        Documents are parsed once into a staging table; the three ledger tables then read just the nested
+        columns they need.
+        """
+        latest = self.latest()
+        run = ledger.contiguous_heights(blocks, latest, end)
+        first, last = run.agg(F.min("height"), F.max("height")).first()
+        if first is None:
+            return None
+        tables.write_keyed(blocks.where(F.col("height").between(first, last)), f"{self.base}/staging", "first", first)
+        staged = self.spark.read.schema(schemas.BLOCK).parquet(f"{self.base}/staging/first={first}")
+        outputs = ledger.extract_outputs(staged, prices)
+        parts = {"transactions": ledger.extract_transactions(staged, prices), "outputs": outputs}
+        for name, rows in parts.items():
+            tables.write_keyed(tables.by_height(rows), f"{self.base}/{name}", "first", first, "height_bucket")
+        tables.write_keyed(ledger.extract_spends(staged), f"{self.base}/spends", "first", first)
+        self.addresses.write(ledger.upsert_addresses(self.addresses.read(before=first + 1), ledger.received_delta(outputs)), first + 1)
+        done = self.spark.range(1).select(F.lit(first).alias("first"), F.lit(last).alias("last"))
+        done.write.mode("overwrite").parquet(f"{self.base}/synced/at={first}")
+        return first, last
+
+
+class ClusterStore:
+    """Versioned address map, cluster metadata and history."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+        self.mapping = tables.SnapshotTable(spark, f"{self.base}/address_clusters", MAPPING)
+        self.metadata = tables.SnapshotTable(spark, f"{self.base}/cluster_metadata", METADATA)
+
+    def history(self) -> DataFrame:
+        return readers.read_table(self.spark, f"{self.base}/cluster_history", HISTORY)
+
+    def store(self, mapping: DataFrame, metadata: DataFrame, as_of: AsOf) -> int:
+        """Store a clustering as the next version. Known clusters keep their metadata; map rows of clusters
+        without metadata are refused. The version counts only once the map, written last, is committed."""
+        version = (self.mapping.version() or 0) + 1
+        old_map, old_meta = self.mapping.read(), self.metadata.read(before=version)
+        fresh = metadata.withColumn("version", F.lit(version)).select(*[c.split(" ")[0] for c in METADATA.split(", ")])
+        kept = cut_lineage(old_meta.unionByName(fresh.join(old_meta.select("cluster_id"), "cluster_id", "left_anti")))
+        rows = cut_lineage(mapping.select("address", "cluster_id", moment(as_of).alias("last_updated")))
+        missing = rows.join(kept.select("cluster_id"), "cluster_id", "left_anti").limit(1).count()
+        if missing:
+            raise ValueError("a cluster of the address map has no metadata")
+        self.metadata.write(kept, version)
+        trail = entities.cluster_history(old_map, rows, version, as_of)
+        tables.write_keyed(trail.drop("version"), f"{self.base}/cluster_history", "version", version)
+        return self.mapping.write(rows, version)
