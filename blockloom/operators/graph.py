@@ -26,29 +26,34 @@ from blockloom.session import cut_lineage
 COMMON_TENTHS = 10
 CHANGE_TENTHS = 7
 BLOCK_NODES = 1024
+NODE = ["node", "size", "ins", "changes"]
 
 
 # ---- edges ------------------------------------------------------------------
 
 
-def change_outputs(outputs: DataFrame) -> DataFrame:
-    """Outputs other than the largest (the first one on a tie) of transactions with more than one output."""
-    order = F.struct(F.col("sats").alias("v"), (-F.col("vout")).alias("p"))
-    top = outputs.groupBy("txid").agg(F.max(order).alias("top"), F.count("*").alias("outs"))
-    return (
-        outputs.join(top.where("outs > 1"), "txid").where(F.col("vout") != -F.col("top.p"))
-        .select("txid", "address")
-    )
-
-
 def memberships(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     """One row per (transaction, address): input rows and change rows. Transactions that cannot give an edge
-    (no input, or a single address) drop out."""
-    rows = inputs.select("txid", "address", F.lit(1).alias("i"), F.lit(0).alias("c")).unionByName(
-        change_outputs(outputs).select("txid", "address", F.lit(0).alias("i"), F.lit(1).alias("c")))
-    per = rows.groupBy("txid", "address").agg(F.sum("i").alias("ins"), F.sum("c").alias("changes"))
-    linked = per.groupBy("txid").agg(F.sum("ins").alias("t"), F.count("*").alias("k")).where("t > 0 AND k > 1").select("txid")
-    return per.join(linked, "txid", "left_semi")
+    (no input, or a single address) drop out.
+
+    Change rows are the outputs other than the largest (the first one on a tie) of transactions with more than
+    one output. Rows are counted per address first; what a transaction needs to know about its largest output
+    is then one mergeable maximum, so neither table is read twice.
+    """
+    rows = inputs.select("txid", "address", F.lit(1).alias("i"), F.lit(None).cast("struct<v:bigint,p:int>").alias("o")).unionByName(
+        outputs.select("txid", "address", F.lit(0).alias("i"), F.struct(
+            F.col("sats").alias("v"), (-F.col("vout")).cast("int").alias("p")).alias("o")))
+    per = rows.groupBy("txid", "address").agg(F.sum("i").alias("ins"), F.count("o").alias("outs"), F.max("o").alias("best"))
+    top = F.max(F.when(F.col("best").isNotNull(), F.struct("best", "address", "ins", "outs")))
+    whole = per.groupBy("txid").agg(
+        F.sum("ins").alias("all_ins"), F.sum("outs").alias("all_outs"), F.count("*").alias("all_addresses"),
+        F.count_if(F.col("ins") > 0).alias("senders"), top.alias("top"))
+    only_top = F.when((F.col("top.ins") == 0) & (F.col("top.outs") == 1), 1).otherwise(0)
+    members = F.when(F.col("all_outs") > 1, F.col("all_addresses") - only_top).otherwise(F.col("senders"))
+    facts = whole.where("all_ins > 0").where(members > 1).select("txid", "all_outs", F.col("top.address").alias("largest"))
+    largest = F.when(F.col("address") == F.col("largest"), 1).otherwise(0)
+    return per.join(facts, "txid").withColumn("changes", F.when(F.col("all_outs") > 1, F.col("outs") - largest).otherwise(0)).where(
+        "ins + changes > 0").select("txid", "address", "ins", "changes")
 
 
 def _signature(members: DataFrame) -> DataFrame:
@@ -72,6 +77,15 @@ def twin_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.select("txid", "node", "size", "ins", "changes"), twins
 
 
+def _node_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    a = left.select(*keys, *[F.col(c).alias(f"a_{c}") for c in NODE])
+    b = right.select(*keys, *[F.col(c).alias(f"b_{c}") for c in NODE])
+    return a.join(b, keys).where("a_node < b_node").select(
+        F.col("a_node").alias("src"), F.col("b_node").alias("dst"), F.col("a_size").alias("src_size"), F.col("b_size").alias("dst_size"),
+        (COMMON_TENTHS * F.col("a_ins") * F.col("b_ins")).alias("common"),
+        (CHANGE_TENTHS * (F.col("a_ins") * F.col("b_changes") + F.col("b_ins") * F.col("a_changes"))).alias("change"))
+
+
 def twin_edges(nodes: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """Edges between nodes with summed weights: (src, dst, src_size, dst_size, common, change).
 
@@ -79,20 +93,19 @@ def twin_edges(nodes: DataFrame, block_nodes: int = BLOCK_NODES) -> DataFrame:
     ``src_size * dst_size`` pairs, a node with ``src = dst`` for the pairs inside it. A transaction with more
     than ``block_nodes`` nodes is cut into blocks, and each pair of blocks joins on its own key.
     """
-    blocks = nodes.groupBy("txid").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("parts"))
-    placed = nodes.join(blocks, "txid").withColumn("own", F.pmod(F.hash("node"), F.col("parts")))
+    wide = nodes.groupBy("txid").agg(F.count("*").alias("n")).where(F.col("n") > block_nodes).select(
+        "txid", F.ceil(F.col("n") / block_nodes).cast("int").alias("parts"))
+    narrow = nodes.join(wide.select("txid"), "txid", "left_anti")
+    placed = nodes.join(wide, "txid").withColumn("own", F.pmod(F.hash("node"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = placed.select("txid", F.col("own").alias("p"), other.alias("q"), *[F.col(c).alias(f"a_{c}") for c in ("node", "size", "ins", "changes")])
-    right = placed.select("txid", F.col("own").alias("q"), other.alias("p"), *[F.col(c).alias(f"b_{c}") for c in ("node", "size", "ins", "changes")])
-    between = left.join(right, ["txid", "p", "q"]).where("a_node < b_node").select(
-        F.col("a_node").alias("src"), F.col("b_node").alias("dst"), F.col("a_size").alias("src_size"), F.col("b_size").alias("dst_size"),
-        (COMMON_TENTHS * F.col("a_ins") * F.col("b_ins")).alias("common"),
-        (CHANGE_TENTHS * (F.col("a_ins") * F.col("b_changes") + F.col("b_ins") * F.col("a_changes"))).alias("change"))
+    blocks = _node_pairs(placed.select("txid", F.col("own").alias("p"), other.alias("q"), *NODE),
+                         placed.select("txid", other.alias("p"), F.col("own").alias("q"), *NODE), ["txid", "p", "q"])
     inside = nodes.where("size > 1").select(
         F.col("node").alias("src"), F.col("node").alias("dst"), F.col("size").alias("src_size"), F.col("size").alias("dst_size"),
         (COMMON_TENTHS * F.col("ins") * F.col("ins")).alias("common"),
         (CHANGE_TENTHS * 2 * F.col("ins") * F.col("changes")).alias("change"))
-    return between.unionByName(inside).where("common + change > 0").groupBy("src", "dst").agg(
+    pairs = _node_pairs(narrow, narrow, ["txid"]).unionByName(blocks).unionByName(inside)
+    return pairs.where("common + change > 0").groupBy("src", "dst").agg(
         F.max("src_size").alias("src_size"), F.max("dst_size").alias("dst_size"),
         F.sum("common").alias("common"), F.sum("change").alias("change"))
 
@@ -190,8 +203,9 @@ def node_triangles(edges: DataFrame, degrees: DataFrame) -> DataFrame:
 
 
 def node_features(edges: DataFrame) -> DataFrame:
-    """Degree, clustering coefficient and mean neighbour degree of every node."""
-    degrees = node_degree(edges)
+    """Degree, clustering coefficient and mean neighbour degree of every node (degrees are read many times, so
+    they are materialised)."""
+    degrees = cut_lineage(node_degree(edges))
     pairs = F.col("degree") * (F.col("degree") - 1)
     return (
         degrees.join(node_triangles(edges, degrees), "node", "left").join(node_neighbor_degree(edges, degrees), "node")

@@ -106,17 +106,23 @@ def kmeans_slots(slots: DataFrame, k: int = 3, seed: int = 42, starts: int = 10)
     return PatternModel(best, moments, names)
 
 
+def _names(k: int) -> list[str]:
+    return CATEGORY_NAMES.get(k, [f"Fee Category {i + 1}" if k > 3 else f"Category {i + 1}" for i in range(k)])
+
+
 def category_names(labelled: DataFrame, k: int) -> DataFrame:
     """Name per cluster, by rising mean fee (k rows)."""
-    names = CATEGORY_NAMES.get(k, [f"Fee Category {i + 1}" for i in range(k)] if k > 3 else [f"Category {i + 1}" for i in range(k)])
-    means = labelled.groupBy("cluster_label").agg(F.avg("avg_fee").cast("decimal(10,2)").alias("avg_fee_for_category"),
-                                                  F.avg(F.col("avg_fee").cast("double")).alias("mean_fee"))
-    rank = F.row_number().over(Window.orderBy("mean_fee", "cluster_label"))
-    return means.withColumn("fee_category", pick_name(names, rank - 1)).drop("mean_fee")
+    return name_clusters(labelled, k).select("cluster_label", "avg_fee_for_category", "fee_category").distinct()
 
 
 def name_clusters(labelled: DataFrame, k: int) -> DataFrame:
-    return labelled.join(category_names(labelled, k), "cluster_label")
+    """Slots with the name and mean fee of their cluster. The windows run over the 168 slots."""
+    same = Window.partitionBy("cluster_label")
+    ranked = labelled.withColumns({
+        "avg_fee_for_category": F.avg("avg_fee").over(same).cast("decimal(10,2)"),
+        "mean_fee": F.avg(F.col("avg_fee").cast("double")).over(same)})
+    rank = F.dense_rank().over(Window.orderBy("mean_fee", "cluster_label"))
+    return ranked.withColumn("fee_category", pick_name(_names(k), rank - 1)).drop("mean_fee")
 
 
 def hour_blocks(slots: DataFrame) -> DataFrame:

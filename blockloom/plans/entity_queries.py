@@ -18,7 +18,8 @@ def built(fx: Fixtures) -> jobs.AddressGraph:
 
 
 def now(fx: Fixtures):
-    return newest(fx.tx_outputs, "tx_timestamp")
+    """Time of the newest pool transaction."""
+    return newest(fx.transactions.select((F.timestamp_seconds(F.col("timestamp") + F.col("ok") % 86400)).alias("t")), "t")
 
 
 def owners(fx: Fixtures, merge: int = 1) -> DataFrame:

@@ -42,12 +42,12 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("historical_fees")
 def _(fx: Fixtures) -> DataFrame:
-    return fees.historical(fx.snapshots, HOURS, newest(fx.snapshots), columns=["timestamp", *fees.FEE_SHARES])
+    return fees.historical(fx.snapshots, HOURS, fx.last_hour, columns=["timestamp", *fees.FEE_SHARES])
 
 
 @query("historical_histograms")
 def _(fx: Fixtures) -> DataFrame:
-    kept = fees.historical(fx.snapshots, HOURS, newest(fx.snapshots), columns=["timestamp", "histogram"])
+    kept = fees.historical(fx.snapshots, HOURS, fx.last_hour, columns=["timestamp", "histogram"])
     return fees.parse_histogram(kept).select(
         "timestamp", F.size("histogram").alias("levels"), fees.total_vsize(F.col("histogram")).alias("total_vsize"))
 
@@ -59,7 +59,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 
 def heatmap(fx: Fixtures) -> DataFrame:
-    return fees.fee_heatmap(fx.snapshots, DAYS, newest(fx.histograms))
+    return fees.fee_heatmap(fx.snapshots, DAYS, fx.last_hour)
 
 
 @query("fee_heatmap")
@@ -102,7 +102,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 
 def slots(fx: Fixtures) -> DataFrame:
-    return patterns.slot_grid(fx.snapshots, INTERVAL, newest(fx.histograms))
+    return patterns.slot_grid(fx.snapshots, INTERVAL, fx.last_hour)
 
 
 def tiled(fx: Fixtures) -> DataFrame:
@@ -149,7 +149,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("fee_pattern_latest")
 def _(fx: Fixtures) -> DataFrame:
-    now = newest(fx.histograms)
+    now = fx.last_hour
     batches = patterns.fee_pattern(named(fx), now - F.expr("INTERVAL 7 DAYS")).unionByName(patterns.fee_pattern(named(fx), now))
     return fees.latest_batch(batches, "analysis_timestamp")
 
@@ -164,7 +164,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("low_fee_recommendations")
 def _(fx: Fixtures) -> DataFrame:
-    return patterns.recommend(named(fx), newest(fx.histograms), 24)
+    return patterns.recommend(named(fx), fx.last_hour, 24)
 
 
 @query("pattern_text")
@@ -174,4 +174,4 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("pattern_summary")
 def _(fx: Fixtures) -> DataFrame:
-    return patterns.pattern_summary(patterns.fee_pattern(named(fx), newest(fx.histograms)))
+    return patterns.pattern_summary(patterns.fee_pattern(named(fx), fx.last_hour))

@@ -67,7 +67,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("forecast_horizon")
 def _(fx: Fixtures) -> DataFrame:
-    return forecast.horizon(fx.histograms, newest(fx.histograms))
+    return forecast.horizon(fx.histograms, fx.last_hour)
 
 
 @query("order_fees_clamp")

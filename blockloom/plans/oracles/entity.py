@@ -32,7 +32,7 @@ nd AS (SELECT ends.a, avg(o.d) AS nd FROM ends JOIN deg o ON o.a = ends.b GROUP
 ACT = """
 act AS (SELECT address, count(*) AS n, epoch(min(t)) AS a, epoch(max(t)) AS b FROM (
           SELECT address, tx_timestamp AS t FROM fx_input UNION ALL SELECT address, tx_timestamp FROM fx_output) GROUP BY address),
-clock AS (SELECT epoch(max(tx_timestamp)) AS now FROM fx_output)"""
+clock AS (SELECT max(timestamp + ok % 86400) AS now FROM fx_tx)"""
 OWNER = "own AS (SELECT l.address, min(t.custkey) AS owner FROM fx_line l JOIN fx_tx t ON t.ok = l.ok GROUP BY l.address)"
 STAR = """
 e AS (SELECT DISTINCT a.address AS x, b.address AS y FROM fx_input a JOIN fx_input b ON a.txid = b.txid AND a.address <> b.address),
@@ -74,7 +74,7 @@ WITH {OWNER},
 a AS (SELECT address, sum(value) AS v, count(DISTINCT txid) AS txs, min(t) AS a, max(t) AS b FROM (
         SELECT address, value, txid, epoch(tx_timestamp) AS t FROM fx_input UNION ALL SELECT address, value, txid, epoch(tx_timestamp) FROM fx_output) GROUP BY address),
 g AS (SELECT owner, count(*) AS n, sum(v) AS v, CAST(sum(txs) AS BIGINT) AS txs, min(a) AS a, max(b) AS b FROM own JOIN a ON a.address = own.address GROUP BY owner),
-c AS (SELECT epoch(max(tx_timestamp)) AS now FROM fx_output),
+c AS (SELECT max(timestamp + ok % 86400) AS now FROM fx_tx),
 k AS (SELECT g.*, now - b AS idle, v / n AS mean, txs / greatest((now - a) / 86400, 1) AS freq, v / greatest((now - a) / 86400, 1) AS day FROM g, c)
 SELECT CAST(owner AS VARCHAR) AS cluster_id, n AS cluster_size, round(v, 6) AS value, txs, CASE WHEN n > 1000 THEN 'exchange_entity'
   WHEN mean > 1000 THEN CASE WHEN freq < 0.1 THEN 'dormant_whale' WHEN freq > 20 THEN 'exchange_hot_wallet' WHEN day > 5000 THEN 'whale_accumulator' ELSE 'institutional' END
@@ -87,7 +87,7 @@ WITH {OWNER},
 p AS (SELECT owner AS k, substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS id FROM own GROUP BY owner),
 q AS (SELECT owner // 2 AS k, substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS id FROM own GROUP BY owner // 2)
 SELECT q.id AS cluster_id, p.id AS parent_id, address, CAST(2 AS BIGINT) AS version,
-       strftime((SELECT max(tx_timestamp) FROM fx_output), '%Y-%m-%d %H:%M:%S') AS timestamp
+       strftime((SELECT to_timestamp(max(timestamp + ok % 86400))::TIMESTAMP FROM fx_tx), '%Y-%m-%d %H:%M:%S') AS timestamp
 FROM own JOIN p ON p.k = own.owner JOIN q ON q.k = own.owner // 2""",
     "graph_sample": f"""
 WITH {PAIRS}, {ENDS}, {OWNER}

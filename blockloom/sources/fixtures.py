@@ -235,6 +235,11 @@ class Fixtures:
     def histograms(self) -> DataFrame:
         return self._histograms("hour")
 
+    @property
+    def last_hour(self) -> Column:
+        """Time of the newest hourly snapshot, read from the event times alone."""
+        return self.table("events").select(F.date_trunc("hour", F.max(F.col("ts")).cast("timestamp"))).scalar()
+
     @cached_property
     def snapshots(self) -> DataFrame:
         """Stored snapshots: histogram as JSON text plus the derived fees."""
