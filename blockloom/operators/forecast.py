@@ -112,6 +112,7 @@ def chrono_split(df: DataFrame, share: float = 0.8, ts: str = "timestamp", ties:
 
     The cut is found without a global sort: rows are counted per time, times are accumulated per day and days
     across the (short) day table. Only rows that share the one time the cut falls into are ranked, by ``ties``.
+    The cut itself is one row, read once, so both parts are plain time filters that reach the scan.
     """
     times = df.groupBy(ts).agg(F.count("*").alias("n")).withColumn("day", F.to_date(ts))
     days = times.groupBy("day").agg(F.sum("n").alias("n"))
@@ -120,16 +121,20 @@ def chrono_split(df: DataFrame, share: float = 0.8, ts: str = "timestamp", ties:
     inside = Window.partitionBy("day").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
     placed = times.join(opening, "day").withColumn("before", F.col("opening") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     wanted = F.floor(df.agg(F.count("*")).scalar() * F.lit(share))
-    cut = placed.where(F.col("before") + F.col("n") > wanted).agg(
-        F.min_by(F.struct(F.col(ts).alias("at"), (wanted - F.col("before")).alias("first")), ts)).scalar()
-    marked = df.withColumn("__cut", cut)
-    on_cut = marked.where(F.col(ts) == F.col("__cut.at")).withColumn(
-        "__rank", F.row_number().over(Window.partitionBy(ts).orderBy(*(ties or [ts]))))
+    row = placed.where(F.col("before") + F.col("n") > wanted).agg(F.min_by(
+        F.struct(F.unix_micros(ts).alias("at"), (wanted - F.col("before")).cast("bigint").alias("first")), ts).alias("cut")).first()
+    if row is None or row.cut is None:
+        return df, df.where(F.lit(False))
+    at = F.timestamp_micros(F.lit(row.cut.at))
+    rank = F.row_number().over(Window.partitionBy(ts).orderBy(*(ties or [ts])))
+    on_cut = df.where(F.col(ts) == at).withColumn("__rank", rank)
     columns = df.columns
-    train = marked.where(F.col(ts) < F.col("__cut.at")).select(*columns).unionByName(
-        on_cut.where(F.col("__rank") <= F.col("__cut.first")).select(*columns))
-    test = marked.where(F.col(ts) > F.col("__cut.at")).select(*columns).unionByName(
-        on_cut.where(F.col("__rank") > F.col("__cut.first")).select(*columns))
+
+    def ranked(keep: Column) -> DataFrame:
+        return on_cut.where(keep).select(*columns)
+
+    train = df.where(F.col(ts) < at).unionByName(ranked(F.col("__rank") <= row.cut.first))
+    test = df.where(F.col(ts) > at).unionByName(ranked(F.col("__rank") > row.cut.first))
     return train, test
 
 

@@ -139,12 +139,13 @@ def expand(graph: DataFrame, twins: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
-    """(node, peer, node_size, peer_size) in both directions, inner pairs of a node once."""
-    forward = edges.select(F.col("src").alias("node"), F.col("dst").alias("peer"),
-                           F.col("src_size").alias("node_size"), F.col("dst_size").alias("peer_size"))
-    back = edges.where("src <> dst").select(
-        F.col("dst").alias("node"), F.col("src").alias("peer"), F.col("dst_size").alias("node_size"), F.col("src_size").alias("peer_size"))
-    return forward.unionByName(back)
+    """(node, peer, node_size, peer_size) in both directions, inner pairs of a node once, in one pass."""
+    def way(node: str, peer: str) -> Column:
+        return F.struct(F.col(node).alias("node"), F.col(peer).alias("peer"),
+                        F.col(f"{node}_size").alias("node_size"), F.col(f"{peer}_size").alias("peer_size"))
+
+    forward, back = way("src", "dst"), way("dst", "src")
+    return edges.select(F.inline(F.when(F.col("src") == F.col("dst"), F.array(forward)).otherwise(F.array(forward, back))))
 
 
 def _reach() -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from blockloom.functions.columns import newest
 from blockloom.operators import entities, graph
+from blockloom.operators.tables import insert_ignore
 from blockloom.plans import jobs
 from blockloom.plans.registry import query
 from blockloom.session import cut_lineage
@@ -153,3 +154,12 @@ def _(fx: Fixtures) -> DataFrame:
 def _(fx: Fixtures) -> DataFrame:
     done = jobs.run_clustering(fx.tx_inputs, fx.tx_outputs, now(fx))
     return done.metadata
+
+
+@query("store_clusters")
+def _(fx: Fixtures) -> DataFrame:
+    """Metadata rows of a new clustering whose cluster is not stored yet."""
+    def metadata(merge: int) -> DataFrame:
+        return entities.cluster_ids(owners(fx, merge)).select("cluster_id", "cluster_size")
+
+    return insert_ignore(metadata(1), metadata(2), ["cluster_id"])

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from blockloom.functions.columns import newest
 from blockloom.operators import fees, patterns
+from blockloom.operators.tables import insert_ignore
 from blockloom.plans.registry import query
 from blockloom.session import cut_lineage
 from blockloom.sources.fixtures import Fixtures
@@ -175,3 +176,23 @@ def _(fx: Fixtures) -> DataFrame:
 @query("pattern_summary")
 def _(fx: Fixtures) -> DataFrame:
     return patterns.pattern_summary(patterns.fee_pattern(named(fx), fx.last_hour))
+
+
+@query("fee_snapshot_append")
+def _(fx: Fixtures) -> DataFrame:
+    """The rows a poll appends: derived fees with the histogram as text."""
+    return fees.parse_histogram(fx.snapshots).select("timestamp", *fees.FEE_SHARES, F.size("histogram").alias("levels"))
+
+
+@query("value_insights_append")
+def _(fx: Fixtures) -> DataFrame:
+    """All monthly batches are offered while all but the newest are stored."""
+    offered = insight_batches(fx)
+    newest_month = F.date_trunc("month", newest(fx.whales))
+    stored = offered.where(F.col("generated_at") < newest_month)
+    return insert_ignore(stored, offered, ["generated_at", "amount_range"])
+
+
+@query("fee_pattern_append")
+def _(fx: Fixtures) -> DataFrame:
+    return patterns.fee_pattern(named(fx), fx.last_hour)

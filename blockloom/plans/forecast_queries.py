@@ -128,3 +128,9 @@ def _(fx: Fixtures) -> DataFrame:
 @query("retrain_gate")
 def _(fx: Fixtures) -> DataFrame:
     return forecast.needs_retrain(fx.model_log, newest(fx.model_log, "trained_at"), hours=1)
+
+
+@query("store_predictions")
+def _(fx: Fixtures) -> DataFrame:
+    """Rows a forecast run appends: complete, ordered and stamped."""
+    return forecast.prediction_rows(forecast.order_fees(fx.predictions, "sort"), F.col("model_name"), fx.last_hour)

@@ -91,16 +91,17 @@ class Ledger:
     def sync(self, blocks: DataFrame, end: int | None = None, prices: DataFrame | None = None) -> tuple[int, int] | None:
         """Load the unbroken run of heights after the last stored one; returns it, or None when there is none.
 
-        Documents are parsed once into a staging table; the three ledger tables then read just the nested
-        columns they need.
+        Documents are parsed once into a staging table. The run of heights and the three ledger tables then
+        read just the nested columns they need. Pass only documents that may be new (``read_blocks`` can
+        select files by time), not the whole archive.
         """
         latest = self.latest()
-        run = ledger.contiguous_heights(blocks, latest, end)
-        first, last = run.agg(F.min("height"), F.max("height")).first()
+        tables.write_keyed(blocks.where(F.col("height") > latest), f"{self.base}/staging", "after", latest)
+        offered = self.spark.read.schema(schemas.BLOCK).parquet(f"{self.base}/staging/after={latest}")
+        first, last = ledger.contiguous_heights(offered, latest, end).agg(F.min("height"), F.max("height")).first()
         if first is None:
             return None
-        tables.write_keyed(blocks.where(F.col("height").between(first, last)), f"{self.base}/staging", "first", first)
-        staged = self.spark.read.schema(schemas.BLOCK).parquet(f"{self.base}/staging/first={first}")
+        staged = offered.where(F.col("height").between(first, last))
         outputs = ledger.extract_outputs(staged, prices)
         parts = {"transactions": ledger.extract_transactions(staged, prices), "outputs": outputs}
         for name, rows in parts.items():

@@ -97,3 +97,9 @@ FROM (SELECT * FROM deg ORDER BY d DESC, a LIMIT 500) t LEFT JOIN own ON own.add
 WITH {PAIRS}, {ENDS}, t AS (SELECT a FROM deg ORDER BY d DESC, a LIMIT 500)
 SELECT x AS source, y AS target, (common + change) / 10 AS weight FROM pair WHERE x IN (FROM t) AND y IN (FROM t)""",
 }
+
+SQL["store_clusters"] = f"""
+WITH {OWNER},
+p AS (SELECT substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS id FROM own GROUP BY owner)
+SELECT substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS cluster_id, count(*) AS cluster_size
+FROM own GROUP BY owner // 2 HAVING substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) NOT IN (FROM p)"""

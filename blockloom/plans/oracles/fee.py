@@ -109,3 +109,7 @@ SELECT CASE z.name WHEN 'Low Fee' THEN 'low' WHEN 'Medium Fee' THEN 'medium' ELS
        y.long || ': ' || string_agg(CASE WHEN b = a THEN printf('%02d:00', a) ELSE printf('%02d:00-%02d:00', a, b) END, ', ' ORDER BY a) || ' UTC' AS times
 FROM z JOIN m ON m.name = z.name JOIN fx_day y ON y.d = z.d GROUP BY z.name, m.fee, z.d, y.long""",
 }
+
+SQL["fee_snapshot_append"] = f"SELECT {STAMP}, fast_fee, medium_fee, low_fee, levels FROM fx_fee"
+SQL["value_insights_append"] = f"SELECT * EXCLUDE (display_order) FROM ({SQL['latest_batch_insights']})"
+SQL["fee_pattern_append"] = SQL["fee_pattern_latest"]

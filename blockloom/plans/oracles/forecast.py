@@ -65,3 +65,8 @@ SELECT model_name, strftime(max(trained), '%Y-%m-%d %H:%M:%S') AS trained_at, co
        NOT (count(DISTINCT fee) = 3) OR (SELECT max(trained) FROM g) - max(trained) >= INTERVAL 1 HOUR AS retrain
 FROM g GROUP BY model_name""",
 }
+
+SQL["store_predictions"] = f"""
+SELECT {PRED}, model_name, round(greatest(s[3], 0), 6) AS fast_fee, round(greatest(s[2], 0), 6) AS medium_fee, round(greatest(s[1], 0), 6) AS low_fee,
+       strftime((SELECT max(timestamp) FROM fx_fee), '%Y-%m-%d %H:%M:%S') AS generated_at
+FROM (SELECT *, list_sort([fast_fee, medium_fee, low_fee]) AS s FROM fx_pred WHERE medium_fee IS NOT NULL)"""

@@ -97,3 +97,11 @@ WHERE l.latest IS NULL OR (m.date > l.latest AND m.date < (SELECT CAST(max(date)
 SELECT m.asset_symbol, strftime(m.date, '%Y-%m-%d') AS date, round(m.open, 6) AS open, round(m.high, 6) AS high, round(m.low, 6) AS low,
        round(m.close, 6) AS close, m.volume FROM fx_macro m ANTI JOIN {STORED} s ON s.asset_symbol = m.asset_symbol AND s.date = m.date""",
 }
+
+SQL["behavior_upsert"] = """
+SELECT CAST(user_id AS VARCHAR) AS address, arg_max(event_type, ts) AS behavior_pattern, CAST(epoch_us(max(ts)) AS BIGINT) AS last_updated
+FROM events GROUP BY user_id"""
+SQL["alert_history"] = f"""
+WITH {SIDES}
+SELECT strftime((SELECT max(timestamp) FROM fx_whale), '%Y-%m-%d %H:%M:%S') AS timestamp, txid, kind AS alert_type, round(btc, 6) AS amount_btc,
+       round(usd, 6) AS amount_usd, round(rate, 6) AS fee_rate FROM fired"""

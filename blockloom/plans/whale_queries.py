@@ -146,3 +146,18 @@ def _(fx: Fixtures) -> DataFrame:
 @query("market_insert_ignore")
 def _(fx: Fixtures) -> DataFrame:
     return market.insert_ignore(stored_market(fx), fx.macro)
+
+
+@query("behavior_upsert")
+def _(fx: Fixtures) -> DataFrame:
+    """Newest label per key, with event types as labels of users: views are stored, the rest is new."""
+    labels = fx.table("events").select(
+        F.col("user_id").cast("string").alias("address"), F.col("event_type").alias("behavior_pattern"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("last_updated"))
+    is_view = F.col("behavior_pattern") == "view"
+    return tables.upsert_latest(labels.where(is_view), labels.where(~is_view), "address", "last_updated")
+
+
+@query("alert_history")
+def _(fx: Fixtures) -> DataFrame:
+    return alerts.history_rows(alerts.classify(fx.alert_input), newest(fx.whales))
