@@ -37,21 +37,21 @@ def memberships(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
     (no input, or a single address) drop out.
 
     Change rows are the outputs other than the largest (the first one on a tie) of transactions with more than
-    one output. Rows are counted per address first; what a transaction needs to know about its largest output
-    is then one mergeable maximum, so neither table is read twice.
+    one output. Rows are counted per address first; amount and position form one number, so the largest output
+    of a transaction is a plain maximum and neither table is read twice.
     """
-    rows = inputs.select("txid", "address", F.lit(1).alias("i"), F.lit(None).cast("struct<v:bigint,p:int>").alias("o")).unionByName(
-        outputs.select("txid", "address", F.lit(0).alias("i"), F.struct(
-            F.col("sats").alias("v"), (-F.col("vout")).cast("int").alias("p")).alias("o")))
+    place = (F.col("sats").cast("decimal(18,0)") * F.lit(10**10).cast("decimal(11,0)") - F.col("vout")).cast("decimal(32,0)")
+    rows = inputs.select("txid", "address", F.lit(1).alias("i"), F.lit(None).cast("decimal(32,0)").alias("o")).unionByName(
+        outputs.select("txid", "address", F.lit(0).alias("i"), place.alias("o")))
     per = rows.groupBy("txid", "address").agg(F.sum("i").alias("ins"), F.count("o").alias("outs"), F.max("o").alias("best"))
-    top = F.max(F.when(F.col("best").isNotNull(), F.struct("best", "address", "ins", "outs")))
     whole = per.groupBy("txid").agg(
         F.sum("ins").alias("all_ins"), F.sum("outs").alias("all_outs"), F.count("*").alias("all_addresses"),
-        F.count_if(F.col("ins") > 0).alias("senders"), top.alias("top"))
-    only_top = F.when((F.col("top.ins") == 0) & (F.col("top.outs") == 1), 1).otherwise(0)
+        F.count_if(F.col("ins") > 0).alias("senders"), F.max("best").alias("top"),
+        F.max(F.when((F.col("ins") == 0) & (F.col("outs") == 1), F.col("best"))).alias("top_single"))
+    only_top = F.when(F.col("top") == F.col("top_single"), 1).otherwise(0)
     members = F.when(F.col("all_outs") > 1, F.col("all_addresses") - only_top).otherwise(F.col("senders"))
-    facts = whole.where("all_ins > 0").where(members > 1).select("txid", "all_outs", F.col("top.address").alias("largest"))
-    largest = F.when(F.col("address") == F.col("largest"), 1).otherwise(0)
+    facts = whole.where("all_ins > 0").where(members > 1).select("txid", "all_outs", "top")
+    largest = F.when(F.col("best") == F.col("top"), 1).otherwise(0)
     return per.join(facts, "txid").withColumn("changes", F.when(F.col("all_outs") > 1, F.col("outs") - largest).otherwise(0)).where(
         "ins + changes > 0").select("txid", "address", "ins", "changes")
 
