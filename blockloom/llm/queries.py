@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import pieces
+from blockloom.llm import pieces, secrets, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": urls.op3_url_filter,
     "op4_sentencepiece": pieces.op4_sentencepiece,
+    "op5_secrets": secrets.op5_secrets,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": urls.SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
