@@ -2,14 +2,18 @@
 
 The model's compiled character map is a double-array trie over UTF-8 with a pool of replacements. At every position the
 longest matching prefix is replaced and the place it came from is recorded, so that the boundary of any piece in the
-normalised text has a byte offset in the original. The merges over the normalised text are the library's, run on the model
-without its normaliser; byte lengths of the pieces, added up, give the boundaries that are looked up in that record.
+normalised text has a byte offset in the original. Where no piece of the model holds a word mark behind another character,
+merges never cross the start of a word, so each word has one encoding, which is kept and reused. The merges of a new word (or,
+for other models, of the whole text) are the library's, run on the model without its normaliser; byte lengths of the pieces,
+added up, give the boundaries that are looked up in that record.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +23,7 @@ from blockloom.llm import common
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
+KEPT_WORDS = 300_000
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
     T.StructField("begins", T.ArrayType(T.IntegerType(), False)), T.StructField("ends", T.ArrayType(T.IntegerType(), False))])
@@ -74,9 +79,10 @@ class Codec:
         if model.trainer_spec.model_type != 2 or any(p.type == 4 for p in model.pieces):
             raise ValueError("only BPE models without user-defined pieces are supported")
         self.map = CharacterMap(spec.precompiled_charsmap)
-        self.whole = sentencepiece.SentencePieceProcessor(model_file=path)
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+        self.by_word = not any(MARK in p.piece.lstrip(MARK) for p in model.pieces)
+        self.known: dict[str, list[int]] = {}
         self.sizes = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int32)
         self.starts = {}
 
@@ -121,10 +127,22 @@ class Codec:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with the first and the end byte of each piece in the original text."""
         normal, origin = self.normalise(text)
-        ids = np.array(self.merger.encode(normal) if normal else [], np.int32)
+        ids = np.array(self._merged(normal) if normal else [], np.int32)
         bounds = origin[np.concatenate([[0], np.cumsum(self.sizes[ids])])]
         return ids, bounds[:-1], bounds[1:]
 
+    def _merged(self, normal: str) -> list[int]:
+        if not self.by_word:
+            return self.merger.encode(normal)
+        found = re.findall("▁+[^▁]*|^[^▁]+", normal)
+        new = {word for word in found if word not in self.known}
+        if new:
+            if len(self.known) > KEPT_WORDS:
+                self.known, new = {}, set(found)
+            words = list(new)
+            self.known.update(zip(words, self.merger.encode(words, num_threads=1)))
+        return list(chain.from_iterable([self.known[word] for word in found]))
+
 
 def _squeezed(data: bytes, origin: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Without leading and trailing blanks, runs of blanks as one."""
@@ -143,11 +161,12 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     The ids are those of the library without begin or end marks and without sampling. A null or empty text has empty
     lists, repeated rows stay, other columns of ``docs`` are not read, and an empty table gives an empty one. Pieces of a byte
-    fallback cover their own byte; the word mark put in front of a text covers nothing. There is no shuffle.
+    fallback cover their own byte; the word mark put in front of a text covers nothing. There is no shuffle, and the
+    words kept by a worker are bounded.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_path)
-        for batch in common.pieces(batches, 256):
+        for batch in common.pieces(batches, 128):
             coded = [codec.encode(text) for text in common.text_of(batch)]
             offsets = pa.array(np.cumsum([0, *[len(row[0]) for row in coded]]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([row[k] for row in coded]), pa.int32())) for k in range(3)]
@@ -160,9 +179,14 @@ def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> Data
     """Adds the text that the library decodes the ids to."""
     @F.arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        library = Codec(model_path).whole
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=model_path)
         for ids in batches:
-            yield pa.array([library.decode(row) if row else "" for row in ids.to_pylist()], pa.string())
+            out = []
+            for start in range(0, len(ids), 128):  # the ids of few rows at a time as Python numbers
+                out += [library.decode(row) if row else "" for row in ids.slice(start, 128).to_pylist()]
+            yield pa.array(out, pa.string())
 
     return encoded.withColumn(column, decoded("ids"))
 
