@@ -115,7 +115,7 @@ def build(entries: DataFrame, shard_rows: int = SHARD_ROWS) -> dict:
         system, inner = common.open_folder(folder)
         system.create_dir(inner, recursive=True)
         name = f"{task.partitionId()}-{task.taskAttemptId()}.bin"  # a second attempt writes a file of its own
-        with system.open_output_stream(f"{inner}/{name}") as out:
+        with system.open_output_stream(f"{inner}/{name}", compression=None) as out:
             out.write(Shard.bytes_of(found))
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([str(found[0][0])]), pa.array([str(found[-1][0])])], names=["name", "low", "high"])
 
@@ -139,7 +139,7 @@ class Probe:
             system, inner = common.open_folder(self.index["folder"])
             path = f"{inner}/{self.index['shards'][number][2]}"
             if system.type_name != "local":
-                with system.open_input_stream(path) as source, tempfile.NamedTemporaryFile(delete=False) as copy:
+                with system.open_input_stream(path, compression=None) as source, tempfile.NamedTemporaryFile(delete=False) as copy:
                     while block := source.read(1 << 22):
                         copy.write(block)
                 self.open[number] = Shard(copy.name)
