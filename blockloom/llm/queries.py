@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import pieces, quality, secrets, urls, warc
+from blockloom.llm import leaks, pieces, quality, secrets, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": urls.op3_url_filter,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_secrets": secrets.op5_secrets,
+    "op6_decontamination": leaks.op6_decontamination,
     "op7_warc": warc.op7_warc,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": urls.SQL,
+    "op6_decontamination": leaks.SQL,
     "op7_warc": warc.SQL,
     "op10_quality_rules": quality.SQL,
 }
