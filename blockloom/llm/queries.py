@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import leaks, pieces, quality, secrets, urls, warc
+from blockloom.llm import leaks, pieces, quality, secrets, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_url_filter": urls.op3_url_filter,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_secrets": secrets.op5_secrets,
