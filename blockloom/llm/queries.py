@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import leaks, pieces, quality, secrets, toxicity, urls, warc
+from blockloom.llm import leaks, licenses, pieces, quality, secrets, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,11 +15,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": secrets.op5_secrets,
     "op6_decontamination": leaks.op6_decontamination,
     "op7_warc": warc.op7_warc,
+    "op9_licenses": licenses.op9_licenses,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filter": urls.SQL,
     "op6_decontamination": leaks.SQL,
     "op7_warc": warc.SQL,
+    "op9_licenses": licenses.SQL,
     "op10_quality_rules": quality.SQL,
 }
