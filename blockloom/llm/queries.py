@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import leaks, licenses, pieces, quality, secrets, toxicity, urls, warc
+from blockloom.llm import leaks, licenses, pieces, quality, secrets, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secrets": secrets.op5_secrets,
     "op6_decontamination": leaks.op6_decontamination,
     "op7_warc": warc.op7_warc,
+    "op8_token_counts": tokens.op8_token_counts,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality_rules": quality.op10_quality_rules,
 }
