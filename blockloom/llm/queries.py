@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import leaks, licenses, pieces, quality, secrets, tokens, toxicity, urls, warc
+from blockloom.llm import jaccard, leaks, licenses, pieces, quality, secrets, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_ngram_jaccard": jaccard.op2_ngram_jaccard,
     "op3_url_filter": urls.op3_url_filter,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_secrets": secrets.op5_secrets,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": quality.op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": jaccard.SQL,
     "op3_url_filter": urls.SQL,
     "op6_decontamination": leaks.SQL,
     "op7_warc": warc.SQL,
