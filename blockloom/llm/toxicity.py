@@ -24,7 +24,7 @@ STARTS = (4, 5)
 CANDIDATES = 16_384
 FEATURES = 256
 LEAST_DOCS = 5
-SAMPLE_ROWS = 8_192
+SAMPLE_ROWS = 16_384
 FOLDS = 4
 RIDGE = 1.0
 THRESHOLD = 0.5
@@ -119,7 +119,7 @@ def _pairs(counts: Counter) -> pa.RecordBatch:
 
 
 def select_features(rows: DataFrame, total: int, toxic: int, count: int = FEATURES) -> tuple[list[str], list[str]]:
-    """Features that tell the classes apart best (likelihood ratio over all labelled rows), and the marker words among them."""
+    """Features that tell the classes apart best (likelihood ratio over the sample), and the marker words among them."""
     top = (_counts(rows.where("toxic = 1"), None).where(F.col("n") >= LEAST_DOCS)
            .orderBy(F.desc("n"), "feature").limit(CANDIDATES))
     with_toxic = {row["feature"]: row["n"] for row in top.collect()}
@@ -138,16 +138,28 @@ def select_features(rows: DataFrame, total: int, toxic: int, count: int = FEATUR
     return [f for _, f, _ in chosen], [f for _, f, rate in chosen if rate >= MARKER_RATE and not f.endswith("*")]
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
-    """Fit the chain on documents with a label.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """hash, text, toxic of about ``rows`` labelled documents (all, if there are no more): those with the smallest hash of their id.
 
-    Feature counts run over all labelled rows; the fit uses the ``sample_rows`` rows with the smallest hash of their id.
-    Labels of one id are joined to the worst; a null label is none. Without a toxic label every document gets a probability near 0.
-    The driver holds at most 16,384 candidate features and the sample's features.
+    Labels of one id are joined to the worst, a null label is none; of several texts of one id the first in order counts. The bound on
+    the labels is what allows them to be broadcast, so no text is shuffled but the sample's.
     """
     given = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    rows = docs.select("doc_id", "text").join(given, "doc_id").select(F.xxhash64("doc_id").alias("hash"), "text", "toxic")
-    rows = common.staged(rows, "labelled")
+    given = given.withColumn("hash", F.xxhash64("doc_id"))
+    total = given.count()
+    if total > rows:
+        given = given.where(F.col("hash") <= int(2 ** 64 * rows / total) - 2 ** 63)
+    found = docs.select("doc_id", "text").join(F.broadcast(given), "doc_id")
+    return found.groupBy("doc_id").agg(F.first("hash").alias("hash"), F.min("text").alias("text"), F.first("toxic").alias("toxic")).drop("doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Chain:
+    """Fit the chain on a bounded sample of labelled documents.
+
+    Without a toxic label every document gets a probability near 0. The driver holds at most 16,384 candidate features and
+    the sample's features.
+    """
+    rows = common.staged(labelled_sample(docs, labels, sample_rows), "labelled")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     chosen, markers = select_features(rows, size["n"], size["toxic"]) if size["toxic"] else ([], [])
     vocabulary = {feature: i for i, feature in enumerate(chosen)}
@@ -163,8 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("toxic").cast(pa.int32()), pa.array(words, pa.int32()),
                                               pa.array(found, pa.list_(pa.int32()))], names=["hash", "toxic", "words", "found"])
 
-    drawn = (rows.mapInArrow(run, "hash long, toxic int, words int, found array<int>")
-             .orderBy("hash", "words").limit(sample_rows).collect())
+    drawn = sorted(rows.mapInArrow(run, "hash long, toxic int, words int, found array<int>").collect())
     x, grades = np.zeros((len(drawn), len(chosen))), np.zeros((len(drawn), len(CATEGORIES)))
     for i, row in enumerate(drawn):
         x[i, row["found"]] = 1
