@@ -23,10 +23,10 @@ WORD = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5)
 CANDIDATES = 16_384
 FEATURES = 256
-LEAST_DOCS = 5
+LEAST_DOCS = 3
 SAMPLE_ROWS = 16_384
 FOLDS = 4
-RIDGE = 1.0
+RIDGE = 0.3
 THRESHOLD = 0.5
 #: The chain. The last category is the given label; the others are graded from it: a labelled document with at
 #: least three marker words, and one in which a fiftieth of the different words are markers.
