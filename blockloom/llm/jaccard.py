@@ -11,8 +11,8 @@ differ in at most d bits:
 * A short sketch of 512 bits goes with each set; a pair whose sketches differ in more than d bits cannot be linked.
 * What is left is compared shingle by shingle.
 
-Only components are asked for, so a pair inside one component need not be looked at: rounds with one pivot for each
-block value connect large groups of copies with a number of pairs that grows with their rows; the last round looks at all remaining
+Only components are asked for, so a pair inside one component need not be looked at: a first round with one pivot for each
+block value connects large groups of copies with a number of pairs that grows with their rows; the second looks at all remaining
 pairs that share a block and lie in different components.
 """
 
@@ -27,11 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from blockloom.llm import common
-from blockloom.operators.graph import connected_components
 
 N = 4
 SHARE = 85
-PIVOT_ROUNDS = 3
+#: Rows of a partition of the small tables between rounds.
+ROWS_A_TASK = 200_000
 LONGS = 8
 SKETCH = [f"s{i}" for i in range(LONGS)]
 #: Odd multipliers that mix 64-bit hashes.
@@ -184,18 +184,18 @@ def _with_components(rows: DataFrame, components: DataFrame | None) -> DataFrame
             .withColumn("comp", F.coalesce("component", "cls")).drop("component"))
 
 
-def _open(rows: DataFrame, salt: int | None) -> DataFrame:
-    """Rows of keys that still hold more than one component; with a salt also the key's pivot (cls, comp) for this round."""
+def _open(rows: DataFrame, with_pivot: bool) -> DataFrame:
+    """Rows of keys that still hold more than one component; if asked with the key's pivot, the class with the smallest digest."""
     by_key = Window.partitionBy("key")
     out = rows.withColumn("lo", F.min("comp").over(by_key)).withColumn("hi", F.max("comp").over(by_key))
-    if salt is not None:
-        out = out.withColumn("pivot", F.min(F.struct(F.xxhash64("cls", F.lit(salt)).alias("rank"), "cls", "comp")).over(by_key))
+    if with_pivot:
+        out = out.withColumn("pivot", F.min("cls").over(by_key))
     return out.where("lo <> hi").drop("lo", "hi")
 
 
 def classes_with_components(rows: DataFrame, members: DataFrame) -> DataFrame | None:
-    """(node, component) of the classes that are linked with another class; null if no block is shared at all."""
-    keys = _open(_keys(rows).withColumn("comp", F.col("cls")), None).select("key", "cls").distinct()
+    """(node, component) of the classes that are linked with another class; null if there is no link."""
+    keys = _open(_keys(rows).withColumn("comp", F.col("cls")), True).select("key", "cls", "pivot").distinct()
     keys = common.staged(keys, "keys")
     if keys.isEmpty():
         return None
@@ -204,26 +204,45 @@ def classes_with_components(rows: DataFrame, members: DataFrame) -> DataFrame |
         F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH], F.min(F.struct("th", "doc_id")).alias("row")), "nodes")
     sets = common.staged(_sets(rows, nodes), "sets")
     nodes = nodes.drop("row")
-    links, components = [], None
-    for salt in range(PIVOT_ROUNDS):
-        rest = _open(_with_components(keys, components), salt).where("comp <> pivot.comp")
-        pairs = rest.select(F.least("cls", "pivot.cls").alias("src"), F.greatest("cls", "pivot.cls").alias("dst")).distinct()
-        links.append(common.staged(_linked(pairs, nodes, sets), "links"))
-        components = _join_up(links)
-    rest = _open(_with_components(keys, components), None).join(nodes, "cls")
-    rest = common.staged(rest, "rest")
+    pairs = keys.where("cls <> pivot").select(F.col("pivot").alias("src"), F.col("cls").alias("dst")).distinct()
+    links = common.staged(_linked(pairs, nodes, sets), "links")
+    components = joined_up(links)
+    rest = common.staged(_open(_with_components(keys.drop("pivot"), components), False).join(nodes, "cls"), "rest")
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _near("a", "b"))
     pairs = pairs.select(F.col("a.cls").alias("src"), F.col("b.cls").alias("dst")).distinct()
-    last = common.staged(_linked(pairs, nodes, sets), "links")
-    return components if last.isEmpty() else _join_up([*links, last])
+    more = common.staged(_linked(pairs, nodes, sets), "links")
+    return components if more.isEmpty() else joined_up(links.unionByName(more))
 
 
-def _join_up(links: list[DataFrame]) -> DataFrame:
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.unionByName(more)
-    return common.staged(connected_components(edges), "components")
+def joined_up(links: DataFrame) -> DataFrame | None:
+    """(node, component) of the ends of links; null without links.
+
+    Contraction: in each round every node moves to the one of its neighbours and itself that a fresh random order puts first,
+    the links are drawn between the places moved to, and loops go. A round leaves a fraction of the nodes at most on average, and
+    a hub is one group of a partial aggregate and a skewed side of a join. Tables are staged in few, filled partitions.
+    """
+    moves, edges, count = [], links, links.count()
+    while count:
+        tasks = 1 + count // ROWS_A_TASK
+        both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+        def order(column: str) -> Column:
+            return F.struct(F.xxhash64(column, F.lit(len(moves))).alias("rank"), F.col(column).alias("to"))
+
+        move = both.groupBy("src").agg(F.min(order("dst")).alias("first")).select("src", F.least("first", order("src"))["to"].alias("to"))
+        move = common.staged(move.coalesce(tasks), "moves")
+        moves.append(move)
+        edges = (edges.join(move, "src").select("dst", F.col("to").alias("a")).join(move.withColumnRenamed("src", "dst"), "dst")
+                 .where("a <> to").select(F.least("a", "to").alias("src"), F.greatest("a", "to").alias("dst")).distinct())
+        edges = common.staged(edges.coalesce(tasks), "edges")
+        count = edges.count()
+    if not moves:
+        return None
+    places = moves[0].select(F.col("src").alias("node"), F.col("to").alias("component"))
+    for move in moves[1:]:
+        places = places.join(move, F.col("component") == F.col("src"), "left").select("node", F.coalesce("to", "component").alias("component"))
+    return common.staged(places.coalesce(1 + links.count() // ROWS_A_TASK), "components")
 
 
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
