@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words of the contracts: runs without the six ASCII blanks.
 BLANKS = " \t\n\x0b\x0c\r"
+BATCH_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +59,23 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", uri) if ":" in uri else f"file://{uri}")
 
 
+def few_rows(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session bounded by rows that suit long texts rather than numbers.
+
+    A batch of Spark's 10,000 rows may hold a gigabyte of text; a smaller value that the session has is kept.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def text_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """Texts of a batch; a null is the empty text."""
     return [value or "" for value in batch.column(column).to_pylist()]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that what a task builds for one batch stays small."""
     for batch in batches:
         for start in range(0, batch.num_rows, rows):

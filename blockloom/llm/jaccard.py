@@ -119,7 +119,7 @@ def block_keys(shingles: np.ndarray) -> np.ndarray:
 def _rows(docs: DataFrame) -> DataFrame:
     """doc_id, text and the hash of the text: id and hash find a row again without any assumption on ids."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    return common.few_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _members(rows: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def joined_up(links: DataFrame) -> DataFrame | None:
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """(cls, shingles) of the wanted classes, each from one row that has it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.pieces(batches, 256):
+        for batch in common.pieces(batches):
             sets = [shingle_set(text) for text in common.text_of(batch)]
             offsets = pa.array(np.cumsum([0, *[len(s) for s in sets]]), pa.int32())
             flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))

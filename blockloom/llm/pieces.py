@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +82,7 @@ class Codec:
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         self.by_word = not any(MARK in p.piece.lstrip(MARK) for p in model.pieces)
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
         self.sizes = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int32)
         self.starts = {}
 
@@ -127,21 +127,21 @@ class Codec:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with the first and the end byte of each piece in the original text."""
         normal, origin = self.normalise(text)
-        ids = np.array(self._merged(normal) if normal else [], np.int32)
+        ids = self._merged(normal) if normal else np.empty(0, np.int32)
         bounds = origin[np.concatenate([[0], np.cumsum(self.sizes[ids])])]
         return ids, bounds[:-1], bounds[1:]
 
-    def _merged(self, normal: str) -> list[int]:
+    def _merged(self, normal: str) -> np.ndarray:
         if not self.by_word:
-            return self.merger.encode(normal)
+            return np.array(self.merger.encode(normal), np.int32)
         found = re.findall("▁+[^▁]*|^[^▁]+", normal)
         new = {word for word in found if word not in self.known}
         if new:
             if len(self.known) > KEPT_WORDS:
                 self.known, new = {}, set(found)
             words = list(new)
-            self.known.update(zip(words, self.merger.encode(words, num_threads=1)))
-        return list(chain.from_iterable([self.known[word] for word in found]))
+            self.known.update(zip(words, [array("i", ids).tobytes() for ids in self.merger.encode(words, num_threads=1)]))
+        return np.frombuffer(b"".join([self.known[word] for word in found]), np.int32)
 
 
 def _squeezed(data: bytes, origin: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -166,13 +166,13 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model_path)
-        for batch in common.pieces(batches, 128):
+        for batch in common.pieces(batches):
             coded = [codec.encode(text) for text in common.text_of(batch)]
             offsets = pa.array(np.cumsum([0, *[len(row[0]) for row in coded]]), pa.int32())
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([row[k] for row in coded]), pa.int32())) for k in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *lists], names=SCHEMA.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return common.few_rows(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> DataFrame:
@@ -188,7 +188,7 @@ def decode(encoded: DataFrame, model_path: str, column: str = "decoded") -> Data
                 out += [library.decode(row) if row else "" for row in ids.slice(start, 128).to_pylist()]
             yield pa.array(out, pa.string())
 
-    return encoded.withColumn(column, decoded("ids"))
+    return common.few_rows(encoded).withColumn(column, decoded("ids"))
 
 
 def digests(encoded: DataFrame, model_path: str) -> DataFrame:

@@ -150,7 +150,7 @@ def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
                      for text in common.text_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found, kind)], names=SCHEMA.fieldNames())
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return common.few_rows(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def masked(text: str | None) -> str | None:
@@ -179,7 +179,7 @@ def redact(docs: DataFrame) -> DataFrame:
     def clean(texts: pa.Array) -> pa.Array:
         return pa.array([masked(text) for text in texts.to_pylist()], pa.string())
 
-    out = docs.withColumn("text", clean(docs["text"]))
+    out = common.few_rows(docs).withColumn("text", clean(docs["text"]))
     if "n_chars" not in docs.columns:
         return out
     kind = docs.schema["n_chars"].dataType

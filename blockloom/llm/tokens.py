@@ -192,7 +192,7 @@ def count(docs: DataFrame, ranks_path: str, pattern: str, edits: str = "edits")
             yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], pa.int64()) for k in range(6)],
                                              names=["doc_id", "tokens_before", "tokens_after", "n_pretokens", "n_reencoded", "n_edits"])
 
-    return docs.select("doc_id", "text", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, COUNTS)
+    return common.few_rows(docs).select("doc_id", "text", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, COUNTS)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:

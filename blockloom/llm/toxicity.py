@@ -111,7 +111,7 @@ def _counts(rows: DataFrame, known: set[str] | None) -> DataFrame:
         if counts:
             yield _pairs(counts)
 
-    return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return common.few_rows(rows).select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def _pairs(counts: Counter) -> pa.RecordBatch:
@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([batch.column("hash"), batch.column("toxic").cast(pa.int32()), pa.array(words, pa.int32()),
                                               pa.array(found, pa.list_(pa.int32()))], names=["hash", "toxic", "words", "found"])
 
-    drawn = sorted(rows.mapInArrow(run, "hash long, toxic int, words int, found array<int>").collect())
+    drawn = sorted(common.few_rows(rows).mapInArrow(run, "hash long, toxic int, words int, found array<int>").collect())
     x, grades = np.zeros((len(drawn), len(chosen))), np.zeros((len(drawn), len(CATEGORIES)))
     for i, row in enumerate(drawn):
         x[i, row["found"]] = 1
@@ -200,7 +200,7 @@ def score(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *[pa.array(np.round(column, 6)) for column in p.T],
                                               pa.array(p[:, -1] >= threshold)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'p_{c} double' for c in CATEGORIES)}, toxic boolean")
+    return common.few_rows(docs).select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'p_{c} double' for c in CATEGORIES)}, toxic boolean")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -210,12 +210,12 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     @F.arrow_udf("boolean")
     def toxic(texts: pa.Array) -> pa.Array:
         out = []
-        for start in range(0, len(texts), 512):
-            found = [features(text or "") for text in texts.slice(start, 512).to_pylist()]
+        for start in range(0, len(texts), 128):
+            found = [features(text or "") for text in texts.slice(start, 128).to_pylist()]
             out.append(chain.probabilities(found)[:, -1] >= threshold)
         return pa.array(np.concatenate(out) if out else np.empty(0, bool))
 
-    return docs.where(~toxic(docs["text"]))
+    return common.few_rows(docs).where(~toxic(docs["text"]))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

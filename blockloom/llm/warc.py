@@ -156,7 +156,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, least_bytes: int
         system, inner = common.open_folder(folder)
         system.create_dir(inner, recursive=True)
         bundle, name, number = None, "", 0
-        for batch in common.pieces(batches, 256):
+        for batch in common.pieces(batches):
             rows = []
             for row in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first")]):
                 if bundle is None:
@@ -173,7 +173,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, least_bytes: int
         if bundle is not None:
             bundle.close()
 
-    index = with_firsts(pages, least_bytes).mapInArrow(run, INDEX).withColumn("bundle", F.concat(F.lit(folder + "/"), "bundle"))
+    index = with_firsts(common.few_rows(pages), least_bytes).mapInArrow(run, INDEX).withColumn("bundle", F.concat(F.lit(folder + "/"), "bundle"))
     return common.staged(index, "warc-index")
 
 
