@@ -32,9 +32,15 @@ def _spender(tx: DataFrame, *columns: Column) -> DataFrame:
 
 
 def balance_at(outputs: DataFrame, tx: DataFrame, height: int | Column) -> DataFrame:
-    """Balance of every address as of a height: created up to it and not spent up to it."""
+    """Balance of every address as of a height: created up to it and not spent up to it.
+
+    Only outputs with a spender look one up; the others would all meet on the null key.
+    """
     spent_at = _spender(tx, F.min("block_height").alias("spent_height"))
-    live = outputs.where(F.col("block_height") <= height).join(spent_at, "spent_in_txid", "left")
+    columns = ["address", "value", "spent", "spent_in_txid"]
+    created = outputs.where(F.col("block_height") <= height).select(*columns)
+    looked_up = created.where("spent_in_txid IS NOT NULL").join(spent_at, "spent_in_txid", "left").select(*columns, "spent_height")
+    live = looked_up.unionByName(created.where("spent_in_txid IS NULL"), allowMissingColumns=True)
     counts = ~F.col("spent") | (F.col("spent_height") > height)
     return live.groupBy("address").agg(F.coalesce(F.sum(F.when(counts, F.col("value"))), zero()).alias("balance"))
 

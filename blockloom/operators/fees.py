@@ -13,8 +13,6 @@ from blockloom.functions.columns import AsOf, SHORT_DAYS, moment, newest, pick_n
 
 BLOCK_LIMIT = 1_000_000
 HIGH_CONGESTION = 5_000_000
-MAX_HOURS = 168
-MAX_DAYS = 90
 # Shares of a block at which the fast, medium and low fee are read, and the fees used
 # when there has never been a snapshot.
 FEE_SHARES = {"fast_fee": 0.25, "medium_fee": 0.50, "low_fee": 0.75}
@@ -106,10 +104,10 @@ def congestion(snapshots: DataFrame) -> DataFrame:
 
 
 def historical(df: DataFrame, hours: int, as_of: AsOf, ts: str = "timestamp", columns: list[str] | None = None) -> DataFrame:
-    """Rows of the last ``hours`` (at most a week) up to ``as_of``; order by time descending to read it."""
+    """Rows of the last ``hours`` up to ``as_of``; order by time descending to read it."""
     if hours <= 0:
         raise ValueError("hours must be positive")
-    kept = df.where(F.col(ts) >= moment(as_of) - span(min(hours, MAX_HOURS) * 3600))
+    kept = df.where(F.col(ts) >= moment(as_of) - span(hours * 3600))
     return kept.select(*columns) if columns else kept
 
 
@@ -125,7 +123,7 @@ def weekly_means(df: DataFrame, secs: int, as_of: AsOf) -> DataFrame:
 def fee_heatmap(df: DataFrame, days: int, as_of: AsOf) -> DataFrame:
     if days <= 0:
         raise ValueError("days must be positive")
-    cells = weekly_means(df, min(days, MAX_DAYS) * 86400, as_of)
+    cells = weekly_means(df, days * 86400, as_of)
     return cells.select(
         pick_name(SHORT_DAYS, F.col("day_of_week_num")).alias("day"), "day_of_week_num",
         F.col("hour_of_day").alias("hour"), "avg_fee")

@@ -27,6 +27,8 @@ COMMON_TENTHS = 10
 CHANGE_TENTHS = 7
 BLOCK_NODES = 1024
 NODE = ["node", "size", "ins", "changes"]
+# Reach of density clusters over features scaled to unit deviation, for queries and jobs alike.
+EPS = 0.25
 
 
 # ---- edges ------------------------------------------------------------------
@@ -67,13 +69,14 @@ def twin_members(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold twins: ``(nodes, twins)`` with nodes = (txid, node, size, ins, changes) and twins = (address, node).
 
     A node is named by its smallest address. Twins share all their transactions, so the name and size are
-    already complete inside any one of them.
+    already complete inside any one of them. The signature and the nodes are materialised, as both are read several times.
     """
-    signed = members.join(_signature(members), "address")
-    nodes = signed.groupBy("txid", "s1", "s2", "s3", "ins", "changes").agg(
-        F.min("address").alias("node"), F.count("*").alias("size"))
+    signature = cut_lineage(_signature(members))
+    signed = members.join(signature, "address")
+    nodes = cut_lineage(signed.groupBy("txid", "s1", "s2", "s3", "ins", "changes").agg(
+        F.min("address").alias("node"), F.count("*").alias("size")))
     names = nodes.groupBy("s1", "s2", "s3").agg(F.min("node").alias("node"))
-    twins = _signature(members).join(names, ["s1", "s2", "s3"]).select("address", "node")
+    twins = signature.join(names, ["s1", "s2", "s3"]).select("address", "node")
     return nodes.select("txid", "node", "size", "ins", "changes"), twins
 
 
@@ -285,38 +288,53 @@ def _fingerprint(pairs: DataFrame) -> tuple:
 # ---- density clusters -------------------------------------------------------
 
 
-def density_clusters(features: DataFrame, eps: float, key: str = "address", columns: list[str] | None = None) -> DataFrame:
+def density_clusters(features: DataFrame, eps: float = EPS, key: str = "address", columns: list[str] | None = None) -> DataFrame:
     """(key, component) of density clusters over scaled features with at least two members; lone points drop out.
 
-    With two as the minimum, density clusters are the connected components of the "within eps" graph.
+    With two as the minimum, density clusters are the connected components of the "within eps" graph of the points.
     Features are first binned to ``eps / (2 * sqrt(d))``; all points of a bin are closer than eps to each other, so
-    a bin is one node whatever its size, and only distinct bins are compared. Two bins are linked when their
-    corners are within eps. A bin meets the bins of its own coarse cell and of those neighbour cells its
-    eps-box reaches, by equi-join on the cell.
+    a bin is one node whatever its size. Two bins whose farthest corners are within eps are linked, two whose nearest
+    sides are farther apart are not, and the points decide the rest, as far as the two bins are not already in one
+    component. Bins meet by equi-join on cells of about eps width over the three columns with the most different
+    values; the distance stands in the join condition, so only near pairs leave the join, and a crowded cell is
+    split by the adaptive skew join.
     """
     columns = columns or FEATURES
-    width = eps / (2 * len(columns) ** 0.5)
-    reach = int(eps / width) + 1
-    side = 8 * reach
-    grid = [F.floor(F.col(c) / width).cast("bigint").alias(f"g{i}") for i, c in enumerate(columns)]
+    limit = 4 * len(columns)  # eps squared in bin widths
+    width = eps / limit ** 0.5
+    side = int(limit ** 0.5) + 1
     names = [f"g{i}" for i in range(len(columns))]
-    binned = features.select(key, *grid)
-    bins = binned.groupBy(*names).agg(F.min(key).alias("bin"), F.count("*").alias("members"))
-
-    def cell(offset: int) -> list[Column]:
-        return [F.floor((F.col(n) + offset) / side).cast("bigint") for n in names]
-
-    home = bins.select("bin", *names, F.struct(*[c.alias(n) for c, n in zip(cell(0), names)]).alias("cell"))
-    spread = bins.select("bin", *names)
-    for n, low, high in zip(names, cell(-reach), cell(reach)):
-        spread = spread.withColumn(f"c_{n}", F.explode(F.array_distinct(F.array(low, high))))
-    copies = spread.select(F.col("bin").alias("peer"), *[F.col(n).alias(f"p_{n}") for n in names],
-                           F.struct(*[F.col(f"c_{n}").alias(n) for n in names]).alias("cell"))
-    distance = reduce(lambda a, b: a + b, [(F.col(n) - F.col(f"p_{n}")) * (F.col(n) - F.col(f"p_{n}")) for n in names])
-    limit = (eps / width) ** 2
-    links = home.join(copies, "cell").where((F.col("bin") < F.col("peer")) & (distance <= limit)).select(
-        F.col("bin").alias("src"), F.col("peer").alias("dst")).distinct()
-    linked = connected_components(links)
+    binned = features.select(key, *columns, *[F.floor(F.col(c) / width).cast("bigint").alias(n) for c, n in zip(columns, names)])
+    named = binned.groupBy(*names).agg(F.min(key).alias("bin"), F.count("*").alias("members"))
+    bins = cut_lineage(named)
+    spread = bins.agg(*[F.approx_count_distinct(n).alias(n) for n in names]).first()
+    wide = sorted(names, key=lambda n: (-spread[n], n))[:3]
+    cell = [F.floor(F.col(n) / side).cast("bigint") for n in wide]
+    home = bins.select("bin", *names, *[c.alias(f"c_{n}") for n, c in zip(wide, cell)])
+    copies = bins.select(F.col("bin").alias("peer"), *[F.col(n).alias(f"p_{n}") for n in names], *[c.alias(f"c_{n}") for n, c in zip(wide, cell)])
+    for n in wide:
+        copies = copies.withColumn(f"c_{n}", F.explode(F.array(*[F.col(f"c_{n}") + step for step in (-1, 0, 1)])))
+
+    def apart(change: int) -> Column:
+        """Squared distance of the nearest sides (-1) or the farthest corners (1) of two bins, in bin widths."""
+        steps = [F.greatest(F.abs(F.col(n) - F.col(f"p_{n}")) + change, F.lit(0)) for n in names]
+        return reduce(lambda x, y: x + y, [step * step for step in steps])
+
+    met = home.join(copies, [f"c_{n}" for n in wide]).where((F.col("bin") < F.col("peer")) & (apart(-1) <= limit))
+    met = cut_lineage(met.select(F.col("bin").alias("src"), F.col("peer").alias("dst"), (apart(1) <= limit).alias("sure")))
+    sure = met.where("sure").select("src", "dst")
+    first = connected_components(sure)
+    sides = met.where("NOT sure").select("src", "dst")
+    for end in ("src", "dst"):
+        known = first.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        sides = sides.join(known, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+    points = cut_lineage(binned.join(bins.select("bin", *names), names).select("bin", *columns).distinct())
+    pairs = sides.where("src_in <> dst_in").select("src", "dst")
+    a = points.select(F.col("bin").alias("src"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = points.select(F.col("bin").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    gap = reduce(lambda x, y: x + y, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns])
+    decided = pairs.join(a, "src").join(b, "dst").where(gap <= eps * eps).select("src", "dst").distinct()
+    linked = connected_components(sure.unionByName(decided))
     labels = bins.join(linked, bins["bin"] == linked["node"], "left").select(
         *names, "members", F.coalesce("component", "bin").alias("component"))
     sizes = labels.groupBy("component").agg(F.sum("members").alias("total")).where("total > 1").select("component")

@@ -142,12 +142,15 @@ def rollback_block(tx: DataFrame, outputs: DataFrame, addresses: DataFrame, heig
     """Tables without one height: received value is taken back and its spends are undone."""
     gone = tx.where(F.col("block_height") == height).select(F.col("txid").alias("spent_in_txid")).distinct()
     undone = gone.withColumn("undo", F.lit(True))
-    kept = (
-        outputs.where(F.col("block_height") != height).join(undone, "spent_in_txid", "left")
+    rest = outputs.where(F.col("block_height") != height)
+    # Outputs without a spender have nothing to undo and would all meet on the null key.
+    spent = (
+        rest.where("spent_in_txid IS NOT NULL").join(undone, "spent_in_txid", "left")
         .withColumn("spent", F.col("spent") & F.col("undo").isNull())
         .withColumn("spent_in_txid", F.when(F.col("undo").isNull(), F.col("spent_in_txid")))
         .drop("undo").select(*outputs.columns)
     )
+    kept = spent.unionByName(rest.where("spent_in_txid IS NULL"))
     back = outputs.where(F.col("block_height") == height).groupBy("address").agg((-F.sum("value")).alias("delta"))
     balances = addresses.join(back, "address", "left").withColumn(
         "balance", F.col("balance") + F.coalesce("delta", F.lit(0))).drop("delta")

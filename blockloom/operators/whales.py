@@ -8,7 +8,6 @@ from blockloom.functions.columns import AsOf, SATOSHI, moment, span
 from blockloom.operators.stats import grouped_median
 from blockloom.session import cut_lineage
 
-MAX_ROWS = 1000
 # Fixed values of the behaviour rules.
 MIN_TXS = 3
 ANOMALY_TXS = 10
@@ -66,12 +65,11 @@ def address_points(tx: DataFrame, inputs: DataFrame) -> DataFrame:
     return inputs.select("txid", "address").join(facts, "txid").drop("txid")
 
 
-def anomaly_ratio(points: DataFrame, strict: bool = False, **medians) -> DataFrame:
+def anomaly_ratio(points: DataFrame, **medians) -> DataFrame:
     """Share of outlying (amount, rate) points per address with more than ten points.
 
     A point is outlying when its modified z-score exceeds 3.5 on either axis. The test multiplies instead of
-    dividing, so an address whose points are mostly equal counts every other value. ``strict`` caps the ratio
-    at 0.1, the share a detector with fixed 10 % contamination can report. The busy addresses' points are
+    dividing, so an address whose points are mostly equal counts every other value. The busy addresses' points are
     materialised before each round of medians, because every median reads them several times.
     """
     busy = points.groupBy("address").agg(F.count("*").alias("n")).where(F.col("n") > ANOMALY_TXS)
@@ -87,10 +85,10 @@ def anomaly_ratio(points: DataFrame, strict: bool = False, **medians) -> DataFra
     for axis in ("amount", "rate"):
         outlying = outlying | (SCORE_FACTOR * F.col(f"{axis}_off") > SCORE_LIMIT * F.col(f"{axis}_mad"))
     ratio = F.count_if(outlying) / F.count("*")
-    return rows.groupBy("address").agg((F.least(ratio, F.lit(0.1)) if strict else ratio).alias("anomaly_ratio"))
+    return rows.groupBy("address").agg(ratio.alias("anomaly_ratio"))
 
 
-def behavior(tx: DataFrame, inputs: DataFrame, strict: bool = False, **medians) -> DataFrame:
+def behavior(tx: DataFrame, inputs: DataFrame, **medians) -> DataFrame:
     """Behaviour label of every input address.
 
     The mean gap between consecutive times telescopes to (last - first) / (n - 1), so one aggregate replaces
@@ -108,7 +106,7 @@ def behavior(tx: DataFrame, inputs: DataFrame, strict: bool = False, **medians)
         .when(F.col("avg_amount") >= LARGE_AMOUNT, "Large Transactor")
         .otherwise("Normal")
     )
-    return shape.join(anomaly_ratio(points, strict, **medians), "address", "left").select(
+    return shape.join(anomaly_ratio(points, **medians), "address", "left").select(
         "address", "txs", label.alias("behavior_pattern"))
 
 
@@ -137,8 +135,10 @@ def snapshot(balances: DataFrame, as_of: AsOf, coin: float = 1) -> DataFrame:
 def top_whales(tx: DataFrame, min_btc: float = 10.0, limit: int = 100) -> DataFrame:
     if min_btc < 0:
         raise ValueError("min_btc must not be negative")
+    if limit <= 0:
+        raise ValueError("limit must be positive")
     columns = ["txid", "timestamp", "size", "vsize", "weight", "fee_paid", "fee_per_vbyte", "total_sent"]
-    return tx.where(F.col("total_sent") >= min_btc).select(*columns).orderBy(F.desc("timestamp"), "txid").limit(min(limit, MAX_ROWS))
+    return tx.where(F.col("total_sent") >= min_btc).select(*columns).orderBy(F.desc("timestamp"), "txid").limit(limit)
 
 
 def recent_whales(tx: DataFrame, days: int, as_of: AsOf) -> DataFrame:

@@ -81,7 +81,7 @@ def _(fx: Fixtures) -> DataFrame:
     from blockloom.operators.patterns import standardize
 
     features = cut_lineage(built(fx).stored().features(fx.tx_inputs, fx.tx_outputs, now(fx)))
-    return graph.density_clusters(standardize(features, graph.FEATURES), eps=0.25)
+    return graph.density_clusters(standardize(features, graph.FEATURES))
 
 
 @query("entity_components")
@@ -91,12 +91,12 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("merge_overlaps")
 def _(fx: Fixtures) -> DataFrame:
-    """Clusters of two rules that overlap: by lowest and by highest customer of an address."""
+    """Clusters of two rules that overlap, by lowest and by highest customer of an address, merged."""
     lines = fx.tx_outputs.select("txid", "address").join(fx.transactions.select("txid", "custkey"), "txid")
     ends = lines.groupBy("address").agg(F.min("custkey").alias("low"), F.max("custkey").alias("high"))
     both = ends.select(F.concat(F.lit("low"), "low").alias("component"), "address").unionByName(
         ends.select(F.concat(F.lit("high"), "high").alias("component"), "address"))
-    return entities.overlaps(both)
+    return entities.merge_overlaps(cut_lineage(both))
 
 
 @query("cluster_id")

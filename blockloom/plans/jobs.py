@@ -43,7 +43,7 @@ class Clustering:
     metadata: DataFrame
 
 
-def run_clustering(inputs: DataFrame, outputs: DataFrame, as_of: Column, eps: float = 0.5, size: int = 2) -> Clustering:
+def run_clustering(inputs: DataFrame, outputs: DataFrame, as_of: Column, eps: float = graph.EPS, size: int = 2) -> Clustering:
     """Graph, features, density clusters, overlap merge, size filter, ids and labels in one pass over the tables."""
     features = AddressGraph.build(inputs, outputs).stored().features(inputs, outputs, as_of)
     scaled = patterns.standardize(cut_lineage(features), graph.FEATURES)

@@ -34,6 +34,8 @@ act AS (SELECT address, count(*) AS n, epoch(min(t)) AS a, epoch(max(t)) AS b FR
           SELECT address, tx_timestamp AS t FROM fx_input UNION ALL SELECT address, tx_timestamp FROM fx_output) GROUP BY address),
 clock AS (SELECT max(timestamp + ok % 86400) AS now FROM fx_tx)"""
 OWNER = "own AS (SELECT l.address, min(t.custkey) AS owner FROM fx_line l JOIN fx_tx t ON t.ok = l.ok GROUP BY l.address)"
+CLUSTER_ID = "substr(sha256(concat_ws(',', count(*), " + ", ".join(
+    f"sum(CAST('0x' || substr(sha256(address), {1 + 8 * i}, 8) AS BIGINT))" for i in range(8)) + ")), 1, 16)"
 STAR = """
 e AS (SELECT DISTINCT a.address AS x, b.address AS y FROM fx_input a JOIN fx_input b ON a.txid = b.txid AND a.address <> b.address),
 reach AS (SELECT DISTINCT x AS node, x AS label FROM e UNION SELECT e.y, reach.label FROM reach JOIN e ON e.x = reach.node)"""
@@ -58,14 +60,17 @@ SELECT deg.a AS address, CAST(d AS DOUBLE) AS degree, round(cc, 6) AS clustering
 FROM deg JOIN cc ON cc.a = deg.a JOIN nd ON nd.a = deg.a JOIN act ON act.address = deg.a, clock""",
     "entity_components": f"WITH {STAR} SELECT node, min(label) AS component FROM reach GROUP BY node",
     "merge_overlaps": """
-WITH ends AS (SELECT l.address, min(t.custkey) AS lo, max(t.custkey) AS hi FROM fx_line l JOIN fx_tx t ON t.ok = l.ok GROUP BY l.address),
+WITH RECURSIVE ends AS (SELECT l.address, min(t.custkey) AS lo, max(t.custkey) AS hi FROM fx_line l JOIN fx_tx t ON t.ok = l.ok GROUP BY l.address),
 r AS (SELECT 'low' || lo AS c, address FROM ends UNION ALL SELECT 'high' || hi, address FROM ends),
 z AS (SELECT c, count(*) AS n FROM r GROUP BY c),
-s AS (SELECT a.c AS src, b.c AS dst, count(*) AS shared FROM r a JOIN r b ON a.address = b.address AND a.c < b.c GROUP BY ALL)
-SELECT src, dst, shared, round(shared / (x.n + y.n - shared), 6) AS jaccard FROM s JOIN z x ON x.c = src JOIN z y ON y.c = dst
-WHERE shared / (x.n + y.n - shared) > 0.3""",
+s AS (SELECT a.c AS src, b.c AS dst, count(*) AS shared FROM r a JOIN r b ON a.address = b.address AND a.c < b.c GROUP BY ALL),
+p AS (SELECT src, dst FROM s JOIN z x ON x.c = src JOIN z y ON y.c = dst WHERE shared / (x.n + y.n - shared) > 0.3),
+e AS (SELECT src AS a, dst AS b FROM p UNION SELECT dst, src FROM p),
+reach(node, label) AS (SELECT c, c FROM z UNION SELECT e.b, reach.label FROM reach JOIN e ON e.a = reach.node),
+m AS (SELECT node, min(label) AS component FROM reach GROUP BY node)
+SELECT DISTINCT component, address FROM r JOIN m ON m.node = r.c""",
     "cluster_id": f"""
-WITH {OWNER} SELECT CAST(owner AS VARCHAR) AS component, substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS cluster_id, count(*) AS cluster_size
+WITH {OWNER} SELECT CAST(owner AS VARCHAR) AS component, {CLUSTER_ID} AS cluster_id, count(*) AS cluster_size
 FROM own GROUP BY owner""",
     "min_size_filter": f"""
 WITH {OWNER} SELECT CAST(owner AS VARCHAR) AS component, address FROM own WHERE owner IN (SELECT owner FROM own GROUP BY owner HAVING count(*) >= 2)""",
@@ -84,8 +89,8 @@ SELECT CAST(owner AS VARCHAR) AS cluster_id, n AS cluster_size, round(v, 6) AS v
     "current_clusters": f"WITH {OWNER} SELECT CAST(owner AS VARCHAR) AS cluster_id, count(*) AS members, min(address) AS first_member FROM own GROUP BY owner",
     "cluster_history": f"""
 WITH {OWNER},
-p AS (SELECT owner AS k, substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS id FROM own GROUP BY owner),
-q AS (SELECT owner // 2 AS k, substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS id FROM own GROUP BY owner // 2)
+p AS (SELECT owner AS k, {CLUSTER_ID} AS id FROM own GROUP BY owner),
+q AS (SELECT owner // 2 AS k, {CLUSTER_ID} AS id FROM own GROUP BY owner // 2)
 SELECT q.id AS cluster_id, p.id AS parent_id, address, CAST(2 AS BIGINT) AS version,
        strftime((SELECT to_timestamp(max(timestamp + ok % 86400))::TIMESTAMP FROM fx_tx), '%Y-%m-%d %H:%M:%S') AS timestamp
 FROM own JOIN p ON p.k = own.owner JOIN q ON q.k = own.owner // 2""",
@@ -100,6 +105,6 @@ SELECT x AS source, y AS target, (common + change) / 10 AS weight FROM pair WHER
 
 SQL["store_clusters"] = f"""
 WITH {OWNER},
-p AS (SELECT substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS id FROM own GROUP BY owner)
-SELECT substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) AS cluster_id, count(*) AS cluster_size
-FROM own GROUP BY owner // 2 HAVING substr(sha256(string_agg(address, ',' ORDER BY address)), 1, 16) NOT IN (FROM p)"""
+p AS (SELECT {CLUSTER_ID} AS id FROM own GROUP BY owner)
+SELECT {CLUSTER_ID} AS cluster_id, count(*) AS cluster_size
+FROM own GROUP BY owner // 2 HAVING {CLUSTER_ID} NOT IN (FROM p)"""

@@ -71,7 +71,10 @@ class Fixtures:
         block = tx.select("ok", "block_height", "timestamp", "btc_price_usd", "date")
         later = tx.select(F.col("ok").alias("spender"), F.col("txid").alias("spent_in_txid"),
                           F.col("timestamp").alias("spent_time"))
-        joined = self._lines.join(block, "ok").join(later, "spender", "left")
+        placed = self._lines.join(block, "ok")
+        # Lines without a spender stay out of the lookup: they would all meet on the null key.
+        joined = placed.where("spender IS NOT NULL").join(later, "spender", "left").unionByName(
+            placed.where("spender IS NULL"), allowMissingColumns=True)
         real = F.col("spent_time") > F.col("timestamp")
         return joined.withColumn("spent", F.coalesce(real, F.lit(False))).withColumn(
             "spent_in_txid", F.when(real, F.col("spent_in_txid"))

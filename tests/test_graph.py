@@ -127,22 +127,33 @@ def test_density_clusters_equal_brute_force(spark):
     columns, eps = ["x", "y", "z"], 0.6
     df = spark.createDataFrame(points, "address string, x double, y double, z double")
     got = {r.address: r.component for r in graph.density_clusters(df, eps, columns=columns).collect()}
-    width = eps / (2 * 3 ** 0.5)
-    corner = {p[0]: [v // width for v in p[1:]] for p in points}
-    near = [(a, b) for a, b in itertools.combinations(sorted(corner), 2)
-            if sum((u - v) ** 2 for u, v in zip(corner[a], corner[b])) <= (eps / width) ** 2]
+    near = [(p[0], q[0]) for p, q in itertools.combinations(sorted(points), 2) if sum((u - v) ** 2 for u, v in zip(p[1:], q[1:])) <= eps * eps]
     want = plain_components(near)
     assert got == want and "alone" not in got and len(set(got.values())) > 3
 
 
-def test_cluster_ids(spark, monkeypatch):
+def test_density_clusters_with_points_near_the_limit(spark):
+    rng = random.Random(9)
+    points = [(f"p{i:03}", *[rng.uniform(0, 6) for _ in range(3)]) for i in range(150)]
+    df = spark.createDataFrame(points, "address string, x double, y double, z double")
+    near = [(p[0], q[0]) for p, q in itertools.combinations(sorted(points), 2) if sum((u - v) ** 2 for u, v in zip(p[1:], q[1:])) <= 0.81]
+    assert {r.address: r.component for r in graph.density_clusters(df, 0.9, columns=["x", "y", "z"]).collect()} == plain_components(near)
+
+
+def test_cluster_ids(spark):
     rows = [("c", f"a{i}") for i in (3, 1, 2)] + [("d", "z")]
     got = {r.component: (r.cluster_id, r.cluster_size) for r in entities.cluster_ids(spark.createDataFrame(rows, "component string, address string")).collect()}
-    assert got["c"] == (hashlib.sha256(b"a1,a2,a3").hexdigest()[:16], 3)
-    monkeypatch.setattr(entities, "ID_MEMBERS", 2)
-    big = spark.createDataFrame(rows, "component string, address string")
-    one, two = (sorted(map(tuple, entities.cluster_ids(df).collect())) for df in (big, big.repartition(3)))
-    assert one == two and one[0][2] != got["c"][0]
+
+    def plain(members):
+        digests = [hashlib.sha256(m.encode()).hexdigest() for m in members]
+        sums = [sum(int(d[8 * i:8 * i + 8], 16) for d in digests) for i in range(8)]
+        return hashlib.sha256(",".join(map(str, [len(members), *sums])).encode()).hexdigest()[:16], len(members)
+
+    assert got == {"c": plain(["a1", "a2", "a3"]), "d": plain(["z"])}
+    big = [f"m{i}" for i in range(5000)]
+    df = spark.createDataFrame([("big", m) for m in big + big[:7]], "component string, address string")
+    for spreading in (1, 3):
+        assert [(r.cluster_id, r.cluster_size) for r in entities.cluster_ids(df.repartition(spreading)).collect()] == [plain(big)]
 
 
 def test_merge(spark):
