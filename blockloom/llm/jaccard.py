@@ -11,9 +11,9 @@ differ in at most d bits:
 * A short sketch of 512 bits goes with each set; a pair whose sketches differ in more than d bits cannot be linked.
 * What is left is compared shingle by shingle.
 
-Only components are asked for, so a pair inside one component need not be looked at: a first round with one pivot for each
-block value connects large groups of copies with a number of pairs that grows with their rows; the second looks at all remaining
-pairs that share a block and lie in different components.
+Only components are asked for, so a pair inside one component need not be looked at: two rounds with one pivot for each
+group that shares a block connect large groups of copies with a number of pairs that grows with their rows; the last looks at
+all remaining pairs that share a block and lie in different components.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from blockloom.llm import common
 
 N = 4
 SHARE = 85
+PIVOT_ROUNDS = 2
 #: Rows of a partition of the small tables between rounds.
 ROWS_A_TASK = 200_000
 LONGS = 8
@@ -184,19 +185,26 @@ def _with_components(rows: DataFrame, components: DataFrame | None) -> DataFrame
             .withColumn("comp", F.coalesce("component", "cls")).drop("component"))
 
 
-def _open(rows: DataFrame, with_pivot: bool) -> DataFrame:
-    """Rows of keys that still hold more than one component; if asked with the key's pivot, the class with the smallest digest."""
+def _open(rows: DataFrame, salt: int | None) -> DataFrame:
+    """Rows of keys that still hold more than one component; with a salt also the key's pivot (cls, comp) for this round."""
     by_key = Window.partitionBy("key")
     out = rows.withColumn("lo", F.min("comp").over(by_key)).withColumn("hi", F.max("comp").over(by_key))
-    if with_pivot:
-        out = out.withColumn("pivot", F.min("cls").over(by_key))
+    if salt is not None:
+        out = out.withColumn("pivot", F.min(F.struct(F.xxhash64("cls", F.lit(salt)).alias("rank"), "cls", "comp")).over(by_key))
     return out.where("lo <> hi").drop("lo", "hi")
 
 
+def _one_key_for_each_group(keys: DataFrame) -> DataFrame:
+    """Of the keys with the same classes (by number and two 64-bit sums of their hashes) only the smallest: the others give the same pairs."""
+    groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("cls")).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), "cls")).alias("b"))
+    chosen = groups.groupBy("size", "a", "b").agg(F.min("key").alias("key")).select("key")
+    return keys.join(chosen, "key", "left_semi")
+
+
 def classes_with_components(rows: DataFrame, members: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that are linked with another class; null if there is no link."""
-    keys = _open(_keys(rows).withColumn("comp", F.col("cls")), True).select("key", "cls", "pivot").distinct()
-    keys = common.staged(keys, "keys")
+    keys = _open(_keys(rows).withColumn("comp", F.col("cls")), None).select("key", "cls").distinct()
+    keys = common.staged(_one_key_for_each_group(common.staged(keys, "all-keys")), "keys")
     if keys.isEmpty():
         return None
     wanted = keys.select("cls").distinct()
@@ -204,10 +212,14 @@ def classes_with_components(rows: DataFrame, members: DataFrame) -> DataFrame |
         F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH], F.min(F.struct("th", "doc_id")).alias("row")), "nodes")
     sets = common.staged(_sets(rows, nodes), "sets")
     nodes = nodes.drop("row")
-    pairs = keys.where("cls <> pivot").select(F.col("pivot").alias("src"), F.col("cls").alias("dst")).distinct()
-    links = common.staged(_linked(pairs, nodes, sets), "links")
-    components = joined_up(links)
-    rest = common.staged(_open(_with_components(keys.drop("pivot"), components), False).join(nodes, "cls"), "rest")
+    links, components = None, None
+    for salt in range(PIVOT_ROUNDS):
+        rest = _open(_with_components(keys, components), salt).where("comp <> pivot.comp")
+        pairs = rest.select(F.least("cls", "pivot.cls").alias("src"), F.greatest("cls", "pivot.cls").alias("dst")).distinct()
+        found = common.staged(_linked(pairs, nodes, sets), "links")
+        links = found if links is None else links.unionByName(found)
+        components = joined_up(links)
+    rest = common.staged(_open(_with_components(keys, components), None).join(nodes, "cls"), "rest")
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _near("a", "b"))
     pairs = pairs.select(F.col("a.cls").alias("src"), F.col("b.cls").alias("dst")).distinct()
