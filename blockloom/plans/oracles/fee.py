@@ -113,3 +113,9 @@ FROM z JOIN m ON m.name = z.name JOIN fx_day y ON y.d = z.d GROUP BY z.name, m.f
 SQL["fee_snapshot_append"] = f"SELECT {STAMP}, fast_fee, medium_fee, low_fee, levels FROM fx_fee"
 SQL["value_insights_append"] = f"SELECT * EXCLUDE (display_order) FROM ({SQL['latest_batch_insights']})"
 SQL["fee_pattern_append"] = SQL["fee_pattern_latest"]
+SQL["stream_fee_snapshots"] = SQL["fee_percentiles"]
+SQL["stream_fee_windows"] = """
+WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') AS s, avg(fast_fee) AS fee, count(*) AS polls FROM fx_fee GROUP BY 1)
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", round(fee, 6) AS avg_fast_fee, polls
+FROM w WHERE s + INTERVAL 6 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM fx_fee)"""
+SQL["stream_value_insights"] = SQL["value_insights"]

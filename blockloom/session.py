@@ -25,19 +25,24 @@ def build_session(app: str = "blockloom", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage.
+def work_folder(spark: SparkSession) -> str:
+    """The folder for intermediates that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder comes from the session (``spark.checkpoint.dir``). Only a local
-    master, as in tests, may fall back to a scratch folder of its own.
+    Only a local master, as in tests, may go without the setting and gets a scratch folder, which the session then keeps.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
+        folder = tempfile.mkdtemp(prefix="blockloom-work-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder and drop its lineage."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-            folder = tempfile.mkdtemp(prefix="blockloom-ckpt-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(work_folder(df.sparkSession))
     return df.checkpoint(eager=True)
