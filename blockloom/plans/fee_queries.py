@@ -180,8 +180,11 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("fee_snapshot_append")
 def _(fx: Fixtures) -> DataFrame:
-    """The rows a poll appends: derived fees with the histogram as text."""
-    return fees.parse_histogram(fx.snapshots).select("timestamp", *fees.FEE_SHARES, F.size("histogram").alias("levels"))
+    """The stored table after an append: all polls are offered while those before the newest day are stored."""
+    offered = fx.snapshots
+    stored = offered.where(F.col("timestamp") < F.date_trunc("day", fx.last_hour))
+    table = stored.unionByName(insert_ignore(stored, offered, ["timestamp"]))
+    return fees.parse_histogram(table).select("timestamp", *fees.FEE_SHARES, F.size("histogram").alias("levels"))
 
 
 @query("value_insights_append")

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from blockloom.functions.columns import newest
 from blockloom.operators import fees, forecast
+from blockloom.operators.tables import insert_ignore
 from blockloom.plans.registry import query
 from blockloom.session import cut_lineage
 from blockloom.sources.fixtures import Fixtures
@@ -132,5 +133,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("store_predictions")
 def _(fx: Fixtures) -> DataFrame:
-    """Rows a forecast run appends: complete, ordered and stamped."""
-    return forecast.prediction_rows(forecast.order_fees(fx.predictions, "sort"), F.col("model_name"), fx.last_hour)
+    """The stored predictions after a run: complete, ordered and stamped rows are offered while those of purchases are stored."""
+    offered = forecast.prediction_rows(forecast.order_fees(fx.predictions, "sort"), F.col("model_name"), fx.last_hour)
+    stored = offered.where("model_name = 'purchase'")
+    return stored.unionByName(insert_ignore(stored, offered, ["prediction_time", "model_name", "generated_at"]))

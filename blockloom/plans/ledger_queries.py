@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from blockloom import schemas
 from blockloom.operators import balances, ledger
 from blockloom.plans.registry import query
 from blockloom.sources.fixtures import Fixtures
@@ -15,7 +16,10 @@ AT_HEIGHT = 172_800
 
 @query("ledger_transactions")
 def _(fx: Fixtures) -> DataFrame:
-    return ledger.extract_transactions(fx.blocks).select(*TX)
+    """Rows with what their raw document parses back to."""
+    body = F.from_json("raw_tx", schemas.TX_BODY)
+    return ledger.extract_transactions(fx.blocks).withColumn("body", body).select(
+        *TX, F.col("body.txid").alias("raw_txid"), F.size("body.vin").alias("raw_inputs"), F.size("body.vout").alias("raw_outputs"))
 
 
 @query("ledger_outputs")

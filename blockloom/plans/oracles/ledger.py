@@ -3,7 +3,9 @@
 SQL = {
     "ledger_transactions": """
 SELECT txid, block_height, timestamp, CASE WHEN status = 'P' THEN 0 ELSE fee END AS fee, size, weight,
-       strftime(date, '%Y-%m-%d %H:%M:%S') AS date FROM fx_tx""",
+       strftime(date, '%Y-%m-%d %H:%M:%S') AS date, txid AS raw_txid, coalesce(i.n, 1) AS raw_inputs, coalesce(o.n, 0) AS raw_outputs
+FROM fx_tx LEFT JOIN (SELECT spent_in_txid, count(*) AS n FROM fx_spend GROUP BY 1) i ON i.spent_in_txid = txid
+LEFT JOIN (SELECT ok AS line_ok, count(*) AS n FROM fx_line GROUP BY 1) o ON o.line_ok = fx_tx.ok""",
     "ledger_outputs": """
 SELECT txid, vout, address, value, block_height, false AS spent, timestamp, output_type FROM fx_utxo""",
     "ledger_spends": "SELECT * FROM fx_spend",

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from blockloom.functions.columns import newest
 from blockloom.operators import alerts, balances, market, tables, whales
+from blockloom.operators.tables import insert_ignore
 from blockloom.plans.registry import query
 from blockloom.sources.fixtures import SATS_PER_UNIT, Fixtures
 
@@ -160,4 +161,7 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("alert_history")
 def _(fx: Fixtures) -> DataFrame:
-    return alerts.history_rows(alerts.classify(fx.alert_input), newest(fx.whales))
+    """The history after an append: all alerts are offered while those of filled orders are stored."""
+    offered = alerts.history_rows(alerts.classify(fx.alert_input), newest(fx.whales))
+    stored = offered.join(fx.whales.where("status = 'F'").select("txid"), "txid", "left_semi").select(*offered.columns)
+    return stored.unionByName(insert_ignore(stored, offered, ["txid", "alert_type"]))
