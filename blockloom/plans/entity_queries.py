@@ -126,7 +126,7 @@ def _(fx: Fixtures) -> DataFrame:
     filled = fx.transactions.where("status = 'F'").select("txid")
     stored = fx.tx_outputs.join(filled, "txid", "left_semi").select("address").distinct()
     known = fx.owners.join(stored, "address", "left_semi").select("address", F.col("owner").cast("string").alias("cluster_id"))
-    return entities.update_clusters(graph.memberships(fx.tx_inputs, fx.tx_outputs), known)
+    return jobs.run_update(fx.tx_inputs, fx.tx_outputs, fx.transactions.where("status <> 'F'").select("txid"), known, now(fx))
 
 
 @query("cluster_history")

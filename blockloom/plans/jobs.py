@@ -55,6 +55,30 @@ def run_clustering(inputs: DataFrame, outputs: DataFrame, as_of: Column, eps: fl
     return Clustering(final, mapping, metadata)
 
 
+def run_update(inputs: DataFrame, outputs: DataFrame, new_txids: DataFrame, mapping: DataFrame, as_of: Column,
+               eps: float = graph.EPS, size: int = 2) -> DataFrame:
+    """Clusters (component, address) after the transactions ``new_txids`` (column txid) have come in.
+
+    Addresses of these transactions without a cluster are new. All transactions that hold a new address are related, and
+    only these are read again. ``size`` new addresses or more are clustered among themselves by density over the related
+    graph; fewer are attached to the clusters that they touch. Old and new clusters are merged where they overlap, and
+    clusters below ``size`` drop out.
+    """
+    sides = inputs.select("txid", "address").unionByName(outputs.select("txid", "address"))
+    arrived = sides.join(new_txids.select("txid").distinct(), "txid", "left_semi").select("address").distinct()
+    fresh = cut_lineage(arrived.join(mapping.select("address"), "address", "left_anti"))
+    related = cut_lineage(sides.join(fresh, "address", "left_semi").select("txid").distinct())
+    ins, outs = (rows.join(related, "txid", "left_semi") for rows in (inputs, outputs))
+    if fresh.count() >= size:
+        features = AddressGraph.build(ins, outs).stored().features(ins, outs, as_of).join(fresh, "address", "left_semi")
+        found = graph.density_clusters(patterns.standardize(cut_lineage(features), graph.FEATURES), eps)
+        old = mapping.select(F.concat(F.lit("old:"), "cluster_id").alias("component"), "address")
+        clusters = old.unionByName(found.select(F.concat(F.lit("new:"), "component").alias("component"), "address"))
+    else:
+        clusters = entities.update_clusters(graph.memberships(ins, outs), mapping)
+    return entities.min_size(entities.merge_overlaps(cut_lineage(clusters)), size)
+
+
 ADDRESSES = "address string, balance bigint, first_seen bigint, last_seen bigint, date_first_seen timestamp, date_last_seen timestamp"
 MAPPING = "address string, cluster_id string, last_updated timestamp"
 METADATA = "cluster_id string, entity_type string, cluster_size bigint, first_seen timestamp, last_active timestamp, version int"

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 
 from blockloom.operators import entities, graph, patterns
-from blockloom.plans.jobs import AddressGraph, ClusterStore, run_clustering
+from blockloom.plans.jobs import AddressGraph, ClusterStore, run_clustering, run_update
 
 from pyspark.sql import functions as F
 
@@ -185,6 +185,26 @@ def test_incremental_growth(spark):
     assert sorted(map(sorted, groups.values())) == [["new1", "new2", "old1", "old2", "old3"], ["old5"], ["old6"]]
 
 
+def test_update_run(spark):
+    """One new address is attached; several are clustered by density, and only their transactions are read."""
+    held = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "B")], "address string, cluster_id string")
+    ins, outs = sides(spark, [("t1", 0, "a", 5), ("t1", 1, "n", 5), ("t9", 0, "c", 1), ("t9", 1, "far", 1)], [("t1", 0, "b", 9)])
+    one = spark.createDataFrame([("t1",)], "txid string")
+    assert groups_of(run_update(ins, outs, one, held, F.lit(T0))) == [["a", "b", "n"]]
+    pairs = [(f"u{i}", k, f"n{i}{k}", 5) for i in range(4) for k in range(2)]
+    ins, outs = sides(spark, [("t1", 0, "a", 5), *pairs], [(f"u{i}", 0, "a", 9) for i in range(4)])
+    fresh = spark.createDataFrame([(f"u{i}",) for i in range(4)], "txid string")
+    found = groups_of(run_update(ins, outs, fresh, held, F.lit(T0), eps=0.5))
+    assert found[0] == ["a", "b"] and sorted(sum(found[1:], [])) == sorted(name for _, _, name, _ in pairs)
+
+
+def groups_of(clusters):
+    groups = defaultdict(set)
+    for r in clusters.collect():
+        groups[r.component].add(r.address)
+    return sorted(map(sorted, groups.values()))
+
+
 def test_job_and_store(spark, tmp_path):
     ins, outs = sides(spark, *sample(2, 30))
     done = run_clustering(ins, outs, F.lit(T0), eps=0.8)
