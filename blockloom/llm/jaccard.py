@@ -204,13 +204,15 @@ def _one_key_for_each_group(keys: DataFrame) -> DataFrame:
 def classes_with_components(rows: DataFrame, members: DataFrame) -> DataFrame | None:
     """(node, component) of the classes that are linked with another class; null if there is no link."""
     keys = _open(_keys(rows).withColumn("comp", F.col("cls")), None).select("key", "cls").distinct()
-    keys = common.staged(_one_key_for_each_group(common.staged(keys, "all-keys")), "keys")
+    spent = [common.staged(keys, "all-keys")]
+    keys = common.staged(_one_key_for_each_group(spent[0]), "keys")
     if keys.isEmpty():
         return None
     wanted = keys.select("cls").distinct()
     nodes = common.staged(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(
         F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH], F.min(F.struct("th", "doc_id")).alias("row")), "nodes")
     sets = common.staged(_sets(rows, nodes), "sets")
+    spent += [keys, nodes, sets]
     nodes = nodes.drop("row")
     links, components = None, None
     for salt in range(PIVOT_ROUNDS):
@@ -218,13 +220,20 @@ def classes_with_components(rows: DataFrame, members: DataFrame) -> DataFrame |
         pairs = rest.select(F.least("cls", "pivot.cls").alias("src"), F.greatest("cls", "pivot.cls").alias("dst")).distinct()
         found = common.staged(_linked(pairs, nodes, sets), "links")
         links = found if links is None else links.unionByName(found)
+        spent += [found] + ([components] if components is not None else [])
         components = joined_up(links)
     rest = common.staged(_open(_with_components(keys, components), None).join(nodes, "cls"), "rest")
     a, b = rest.alias("a"), rest.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cls") < F.col("b.cls")) & (F.col("a.comp") != F.col("b.comp")) & _near("a", "b"))
     pairs = pairs.select(F.col("a.cls").alias("src"), F.col("b.cls").alias("dst")).distinct()
     more = common.staged(_linked(pairs, nodes, sets), "links")
-    return components if more.isEmpty() else joined_up(links.unionByName(more))
+    spent += [rest, more]
+    if not more.isEmpty():
+        spent += [components] if components is not None else []
+        components = joined_up(links.unionByName(more))
+    for table in spent:  # the components are written; nothing reads these again
+        common.remove(table)
+    return components
 
 
 def joined_up(links: DataFrame) -> DataFrame | None:
@@ -234,7 +243,7 @@ def joined_up(links: DataFrame) -> DataFrame | None:
     the links are drawn between the places moved to, and loops go. A round leaves a fraction of the nodes at most on average, and
     a hub is one group of a partial aggregate and a skewed side of a join. Tables are staged in few, filled partitions.
     """
-    moves, edges, count = [], links, links.count()
+    moves, edges, spent, count = [], links, [], links.count()
     while count:
         tasks = 1 + count // ROWS_A_TASK
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -248,13 +257,17 @@ def joined_up(links: DataFrame) -> DataFrame | None:
         edges = (edges.join(move, "src").select("dst", F.col("to").alias("a")).join(move.withColumnRenamed("src", "dst"), "dst")
                  .where("a <> to").select(F.least("a", "to").alias("src"), F.greatest("a", "to").alias("dst")).distinct())
         edges = common.staged(edges.coalesce(tasks), "edges")
+        spent += [move, edges]
         count = edges.count()
     if not moves:
         return None
     places = moves[0].select(F.col("src").alias("node"), F.col("to").alias("component"))
     for move in moves[1:]:
         places = places.join(move, F.col("component") == F.col("src"), "left").select("node", F.coalesce("to", "component").alias("component"))
-    return common.staged(places.coalesce(1 + links.count() // ROWS_A_TASK), "components")
+    places = common.staged(places.coalesce(1 + links.count() // ROWS_A_TASK), "components")
+    for table in spent:
+        common.remove(table)
+    return places
 
 
 def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:

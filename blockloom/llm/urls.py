@@ -26,7 +26,7 @@ from blockloom.llm import common
 
 #: Separates the kind, host and path of an entry; no host contains it.
 GAP = "\t"
-SHARD_ROWS = 4_000_000
+SHARD_ROWS = 500_000
 #: Fixed values of the contract: (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block")]
