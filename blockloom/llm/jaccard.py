@@ -209,11 +209,12 @@ def classes_with_components(rows: DataFrame, members: DataFrame) -> DataFrame |
     if keys.isEmpty():
         return None
     wanted = keys.select("cls").distinct()
-    nodes = common.staged(members.join(wanted, "cls", "left_semi").groupBy("cls").agg(
-        F.first("n").alias("n"), *[F.first(s).alias(s) for s in SKETCH], F.min(F.struct("th", "doc_id")).alias("row")), "nodes")
+    # Copies are folded before the join, so a class with very many of them is a row for each task. All firsts are of one row.
+    folded = members.where("n > 0").groupBy("cls").agg(*[F.first(c).alias(c) for c in ("n", *SKETCH, "th", "doc_id")])
+    nodes = common.staged(folded.join(wanted, "cls", "left_semi"), "nodes")
     sets = common.staged(_sets(rows, nodes), "sets")
     spent += [keys, nodes, sets]
-    nodes = nodes.drop("row")
+    nodes = nodes.drop("th", "doc_id")
     links, components = None, None
     for salt in range(PIVOT_ROUNDS):
         rest = _open(_with_components(keys, components), salt).where("comp <> pivot.comp")
@@ -279,7 +280,7 @@ def _sets(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(offsets, flat)], names=["cls", "shingles"])
 
-    wanted = nodes.select("cls", F.col("row.th").alias("th"), F.col("row.doc_id").alias("id"))
+    wanted = nodes.select("cls", "th", F.col("doc_id").alias("id"))
     found = rows.join(wanted, (rows["th"] == wanted["th"]) & rows["doc_id"].eqNullSafe(wanted["id"])).select("cls", "text")
     return found.dropDuplicates(["cls"]).mapInArrow(run, "cls binary, shingles array<long>")
 
