@@ -121,6 +121,7 @@ def build(entries: DataFrame, shard_rows: int = SHARD_ROWS) -> dict:
 
     ordered = rows.repartitionByRange(shards, "key", "text").sortWithinPartitions("key", "text") if shards > 1 else rows.coalesce(1).sortWithinPartitions("key", "text")
     written = sorted(((int(r["low"]), int(r["high"]), r["name"]) for r in ordered.mapInArrow(write, "name string, low string, high string").collect()))
+    common.remove(rows)
     rules = entries.where("kind = 'rule' AND host IS NOT NULL AND path IS NOT NULL")
     lengths = rules.agg(F.collect_set(F.length("path")).alias("paths"), F.collect_set(F.size(F.split("host", "\\."))).alias("labels")).first()
     return {"folder": folder, "shards": written, "paths": sorted(lengths["paths"]), "labels": sorted(lengths["labels"])}
