@@ -277,7 +277,7 @@ def search_forest(train: DataFrame, draws: int = 20, folds: int = 5, lookbacks:
             grid = [{base.getParam(p.name): v for p, v in m.items()} for m in maps]
             judge = RegressionEvaluator(labelCol=fee, predictionCol=f"p_{fee}", metricName="mse")
             fitted = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=folds,
-                                    parallelism=parallelism, seed=seed).fit(ready)
+                                    parallelism=parallelism, seed=seed).fit(ready.where(F.col(fee).isNotNull()))
             best = min(range(draws), key=lambda i: fitted.avgMetrics[i])
             s = space[best]
             found.append((name, fee, s.trees, s.depth, str(s.features), s.leaf, s.bootstrap, float(fitted.avgMetrics[best])))
