@@ -44,7 +44,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Contexts of the cost model: further names of credentials, and the same names in prose ("password is ...").
 CONTEXT = re.compile(
     r"""(?ai:(?:password|passwd|secret|token|api[_-]?key|pwd|passphrase|passcode|credentials?|private[_-]?key|access[_-]?key|bearer))"""
-    r"""["']?(?:\x20*(?:[:=]|=>|:=)\x20*|\x20(?ai:is|was)\x20|\x20)["']?([^\s"'<>,;]+)""")
+    r"""["']?(?:\x20*(?P<sign>=>|:=|[:=])\x20*|\x20(?ai:is|was)\x20|\x20)["']?(?P<value>[^\s"'<>,;]+)""")
 CONTEXT_WORDS = ("passw", "secret", "token", "key", "pwd", "passphrase", "passcode", "credential", "bearer")
 ASSIGN_WORDS = ("passw", "secret", "token", "api")
 
@@ -131,9 +131,10 @@ def spans_of(text: str, least_cost: float = LEAST_COST) -> list[tuple[str, int,
     out += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     if any(word in folded for word in CONTEXT_WORDS):
         for m in CONTEXT.finditer(text):
-            value = m[1].rstrip(".!?)]}:")
-            if len(value) >= LEAST_LENGTH and (cost := guess_cost(value)) >= least_cost and re.search(r"[0-9]", value):
-                out.append(("guess", m.start(1), m.start(1) + len(value), cost))
+            value = m["value"].rstrip(".!?)]}:")
+            # Behind a blank, "is" or "was" any word of prose may stand; behind a sign the cost alone decides.
+            if len(value) >= LEAST_LENGTH and (m["sign"] or re.search(r"[0-9]", value)) and (cost := guess_cost(value)) >= least_cost:
+                out.append(("guess", m.start("value"), m.start("value") + len(value), cost))
     return sorted(out, key=lambda span: (span[1], KINDS.index(span[0])))
 
 
@@ -141,7 +142,8 @@ def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
     """Spans of every whole text: doc_id, spans (kind, start, end in code points, cost of guessed values).
 
     A null or empty text has none, repeated rows stay, other columns of ``docs`` are not read, an empty table gives an
-    empty one. ``guess`` values need a digit: prose behind a credential word is not a secret. No shuffle.
+    empty one. ``guess`` values behind a blank, "is" or "was" need a digit, as prose behind a credential word is not a secret;
+    behind ``:``, ``=``, ``=>`` or ``:=`` their cost decides. No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))
