@@ -2,18 +2,18 @@
 
 The model's compiled character map is a double-array trie over UTF-8 with a pool of replacements. At every position the
 longest matching prefix is replaced and the place it came from is recorded, so that the boundary of any piece in the
-normalised text has a byte offset in the original. Where no piece of the model holds a word mark behind another character,
-merges never cross the start of a word, so each word has one encoding, which is kept and reused. The merges of a new word (or,
-for other models, of the whole text) are the library's, run on the model without its normaliser; byte lengths of the pieces,
-added up, give the boundaries that are looked up in that record.
+normalised text has a byte offset in the original. The merges of the normalised text are the library's, run on the model without its
+normaliser; byte lengths of the pieces, added up, give the boundaries that are looked up in that record.
+
+``profile`` does all of it in one pass over a batch: ids, spans, the decoded text and their digests. A worker process keeps one codec.
 """
 
 from __future__ import annotations
 
-import re
+import hashlib
 import struct
-from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +23,14 @@ from blockloom.llm import common
 
 MARK = "▁"
 MARK_BYTES = MARK.encode()
-KEPT_WORDS = 300_000
 SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
     T.StructField("begins", T.ArrayType(T.IntegerType(), False)), T.StructField("ends", T.ArrayType(T.IntegerType(), False))])
 
 
+PROFILE = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long"
+
+
 class CharacterMap:
     """Longest-prefix replacements of a compiled map: size of the trie in bytes, its 32-bit units, then the pool."""
 
@@ -76,14 +78,16 @@ class Codec:
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         if not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
             raise ValueError("models with other word marks are not supported")
-        if model.trainer_spec.model_type != 2 or any(p.type == 4 for p in model.pieces):
-            raise ValueError("only BPE models without user-defined pieces are supported")
+        if any(p.type == 4 for p in model.pieces):
+            raise ValueError("models with user-defined pieces are not supported")
         self.map = CharacterMap(spec.precompiled_charsmap)
+        self.library = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
         spec.precompiled_charsmap, spec.add_dummy_prefix, spec.remove_extra_whitespaces = b"", False, False
         self.merger = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        self.by_word = not any(MARK in p.piece.lstrip(MARK) for p in model.pieces)
-        self.known: dict[str, bytes] = {}
+        #: Without byte fallback the surface of an unknown piece is not the piece's name, so sizes come from surfaces.
+        self.surfaces = not model.trainer_spec.byte_fallback
         self.sizes = np.array([1 if p.type == 6 else len(p.piece.encode()) for p in model.pieces], np.int32)
+        self.names = [str(i) for i in range(len(model.pieces))]
         self.starts = {}
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
@@ -127,21 +131,27 @@ class Codec:
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with the first and the end byte of each piece in the original text."""
         normal, origin = self.normalise(text)
-        ids = self._merged(normal) if normal else np.empty(0, np.int32)
-        bounds = origin[np.concatenate([[0], np.cumsum(self.sizes[ids])])]
+        ids = np.array(self.merger.encode(normal), np.int32)
+        if self.surfaces:
+            sizes = np.array([len(piece.encode()) for piece in self.merger.encode(normal, out_type=str)], np.int32)
+        else:
+            sizes = self.sizes[ids]
+        bounds = origin[np.concatenate([[0], np.cumsum(sizes)])]
         return ids, bounds[:-1], bounds[1:]
 
-    def _merged(self, normal: str) -> np.ndarray:
-        if not self.by_word:
-            return np.array(self.merger.encode(normal), np.int32)
-        found = re.findall("▁+[^▁]*|^[^▁]+", normal)
-        new = {word for word in found if word not in self.known}
-        if new:
-            if len(self.known) > KEPT_WORDS:
-                self.known, new = {}, set(found)
-            words = list(new)
-            self.known.update(zip(words, [array("i", ids).tobytes() for ids in self.merger.encode(words, num_threads=1)]))
-        return np.frombuffer(b"".join([self.known[word] for word in found]), np.int32)
+    def profile(self, text: str) -> tuple[int, str, str, int]:
+        """Number of ids, digests of the ids and of the decoded text, and the number of bytes of the original under the spans."""
+        ids, begins, ends = self.encode(text)
+        row = ids.tolist()
+        shown, decoded = ",".join(map(self.names.__getitem__, row)), self.library.decode(row) if row else ""
+        return (len(row), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(),
+                int(ends[-1] - begins[0]) if row else 0)
+
+
+@lru_cache(maxsize=2)
+def codec_of(path: str) -> Codec:
+    """The codec of a model, one for each worker process."""
+    return Codec(path)
 
 
 def _squeezed(data: bytes, origin: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -161,11 +171,10 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
     The ids are those of the library without begin or end marks and without sampling. A null or empty text has empty
     lists, repeated rows stay, other columns of ``docs`` are not read, and an empty table gives an empty one. Pieces of a byte
-    fallback cover their own byte; the word mark put in front of a text covers nothing. There is no shuffle, and the
-    words kept by a worker are bounded.
+    fallback cover their own byte; the word mark put in front of a text covers nothing. There is no shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model_path)
+        codec = codec_of(model_path)
         for batch in common.pieces(batches):
             coded = [codec.encode(text) for text in common.text_of(batch)]
             offsets = pa.array(np.cumsum([0, *[len(row[0]) for row in coded]]), pa.int32())
@@ -199,8 +208,25 @@ def digests(encoded: DataFrame, model_path: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def profile(docs: DataFrame, model_path: str) -> DataFrame:
+    """Encodes and decodes every whole text in one pass: doc_id, n_tokens, ids_sha256, decoded_sha256, n_bytes under the pieces' spans.
+
+    The same as ``digests(encode(...))`` without ids or texts between the JVM and Python. Rows behave as in ``encode``: a null or empty text
+    has no tokens and the digests of the empty text, repeated rows stay, other columns are not read, an empty table gives an empty one.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(model_path)
+        for batch in common.pieces(batches):
+            rows = [codec.profile(text) for text in common.text_of(batch)]
+            counts, ids, decoded, covered = zip(*rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(ids), pa.array(decoded),
+                                              pa.array(covered, pa.int64())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes"])
+
+    return common.few_rows(docs).select("doc_id", "text").mapInArrow(run, PROFILE)
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
-    return digests(encode(common.table(spark, sf_dir, "documents"), model_path or default_model()), model_path or default_model())
+    return profile(common.table(spark, sf_dir, "documents"), model_path or default_model())
 
 
 def default_model() -> str:

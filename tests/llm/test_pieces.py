@@ -64,3 +64,49 @@ def test_compiled_character_map(rule):
         normal, origin = codec.normalise(text)
         assert normal == reference.normalize(text), text
         assert len(origin) == len(normal.encode()) + 1 and all(a <= b for a, b in zip(origin, origin[1:]))
+
+
+def test_one_pass_equals_the_library(spark):
+    docs = documents(spark)
+    got = pieces.profile(clashing(docs), MODEL).collect()
+    assert len(got) == len(ROWS)
+    for row in got:
+        text = next(r[1] or "" for r in ROWS if r[0] == row["doc_id"])
+        ids = LIBRARY.encode(text)
+        assert (row["n_tokens"], row["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert row["decoded_sha256"] == hashlib.sha256(LIBRARY.decode(ids).encode()).hexdigest()
+        assert row["n_bytes"] == len(text.encode())
+    assert pieces.profile(documents(spark, []), MODEL).count() == 0
+
+
+def test_random_digests():
+    codec, draw = pieces.Codec(MODEL), random.Random(8)
+    for _ in range(600):
+        text = "".join(draw.choice(["a", "th", " ", "  ", "\n", "é", "日", "😀", "▁", "<s>", ".", "<0x41>", "\u0000", "<unk>"]) for _ in range(draw.randint(0, 30)))
+        count, ids, decoded, covered = codec.profile(text)
+        want = LIBRARY.encode(text)
+        assert count == len(want) and covered == len(text.encode())
+        assert ids == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
+        assert decoded == hashlib.sha256(LIBRARY.decode(want).encode()).hexdigest(), text
+
+
+def test_unknown_pieces_of_a_model_without_byte_fallback(tmp_path):
+    """A model without byte fallback gives unknown pieces the bytes of their surface."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    model = proto.ModelProto()
+    with open(MODEL, "rb") as file:
+        model.ParseFromString(file.read())
+    model.trainer_spec.byte_fallback = False
+    kept = [piece for piece in model.pieces if piece.type != 6]
+    del model.pieces[:]
+    model.pieces.extend(kept)
+    path = tmp_path / "plain.model"
+    path.write_bytes(model.SerializeToString())
+    library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    codec = pieces.Codec(str(path))
+    for text in ["日𓀀 the 𓀀𓀀 end", "𓀀", "x 𓀀", ""]:
+        ids, begins, ends = codec.encode(text)
+        assert ids.tolist() == library.encode(text)
+        assert list(begins[1:]) == list(ends[:-1]) and (not len(ids) or ends[-1] == len(text.encode()))
+        assert codec.profile(text)[2] == hashlib.sha256(library.decode(ids.tolist()).encode()).hexdigest()
