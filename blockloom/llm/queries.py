@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import crosswalk, jaccard, leaks, licenses, pieces, quality, secrets, tokens, toxicity, urls, warc
+from blockloom.llm import crosswalk, jaccard, leaks, licenses, pieces, quality, repeats, secrets, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": tokens.op8_token_counts,
     "op9_licenses": licenses.op9_licenses,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_substring_dedup": repeats.op11_substring_dedup,
     "op13_alignment": crosswalk.op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_warc": warc.SQL,
     "op9_licenses": licenses.SQL,
     "op10_quality_rules": quality.SQL,
+    "op11_substring_dedup": repeats.SQL,
 }
