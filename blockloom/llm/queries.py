@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blockloom.llm import crosswalk, jaccard, leaks, licenses, pieces, quality, repeats, secrets, tokens, toxicity, urls, warc
+from blockloom.llm import collocations, crosswalk, jaccard, leaks, licenses, pieces, quality, repeats, secrets, tokens, toxicity, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": licenses.op9_licenses,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_substring_dedup": repeats.op11_substring_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_alignment": crosswalk.op13_alignment,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -30,4 +31,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_licenses": licenses.SQL,
     "op10_quality_rules": quality.SQL,
     "op11_substring_dedup": repeats.SQL,
+    "op12_collocations": collocations.SQL,
 }
