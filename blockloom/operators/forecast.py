@@ -1,498 +1,11 @@
-"""Fee forecasting: features, splits, forest and seasonal models, evaluation and ordering of predictions."""
-
-from __future__ import annotations
-
-import itertools
-import math
-import random
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
-from functools import reduce
-
-from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from blockloom.functions.columns import AsOf, moment, newest, seconds, span
-
-FEES = ["fast_fee", "medium_fee", "low_fee"]
-TIME_FEATURES = ["hour", "dayofweek", "month", "year"]
-HORIZON_HOURS = 48
-HOUR = 3600
-DAY = 86400
-# Lookbacks of the two model families.
-FOREST_LOOKBACKS = {"very_short": "1H", "hourly": "12H", "daily": "7D", "weekly": "4W"}
-SEASONAL_LOOKBACKS = {"very_short": "3d", "hourly": "3w", "daily": "180d", "weekly": "365d"}
-
-
-@dataclass(frozen=True)
-class Forest:
-    """Tuned settings of one forest."""
-
-    trees: int = 100
-    depth: int | None = None
-    features: str | float = "sqrt"
-    leaf: int = 1
-    split: int = 2
-    bootstrap: bool = True
-
-
-# Tuned settings per lookback and fee, but for four depths of 32 to 49 that the library does not have
-# (30 is its largest).
-_FLAT = Forest(292, 5, 0.8, 8, 12, False)
-_SHORT = Forest(207, 7, 1.0, 2, 13, False)
-FOREST_SETTINGS = {
-    ("very_short", "fast_fee"): _SHORT,
-    ("very_short", "medium_fee"): Forest(90, 30, "log2", 5, 14, False),
-    ("very_short", "low_fee"): _SHORT,
-    ("hourly", "fast_fee"): Forest(209, 30, 1.0, 4, 14, True),
-    ("hourly", "medium_fee"): Forest(253, 6, 0.8, 5, 2, False),
-    ("hourly", "low_fee"): Forest(153, 27, 0.6, 8, 5, True),
-    ("daily", "fast_fee"): Forest(178, 30, "sqrt", 7, 2, False),
-    ("daily", "medium_fee"): Forest(171, 30, 0.6, 8, 8, True),
-    ("daily", "low_fee"): Forest(64, 18, 0.6, 9, 16, True),
-    ("weekly", "fast_fee"): _FLAT,
-    ("weekly", "medium_fee"): _FLAT,
-    ("weekly", "low_fee"): _FLAT,
-}
-# Search space of the forests (whole-number ranges exclude their end).
-FOREST_SPACE = {
-    "trees": range(50, 300), "features": ["sqrt", "log2", 0.6, 0.8, 1.0], "depth": range(5, 31),
-    "split": range(2, 20), "leaf": range(1, 10), "bootstrap": [True, False],
-}
-MAX_DEPTH = 30
-
-
-@dataclass(frozen=True)
-class Seasonal:
-    """Settings of one seasonal trend model."""
-
-    changepoint_prior_scale: float = 0.05
-    seasonality_prior_scale: float = 10.0
-    daily: bool = True
-    weekly: bool = True
-    yearly: bool = False
-    mode: str = "additive"
-
-
-# Search grids of the seasonal models.
-SEASONAL_GRID = {
-    "changepoint_prior_scale": [0.001, 0.01, 0.05, 0.1, 0.2],
-    "seasonality_prior_scale": [0.1, 1.0, 5.0, 10.0, 20.0],
-    "daily": [True, False], "weekly": [True, False], "yearly": [True, False],
-    "mode": ["additive", "multiplicative"],
-}
-SEASONAL_GRID_SHORT = {
-    "changepoint_prior_scale": [0.01, 0.05, 0.1], "seasonality_prior_scale": [0.1, 1.0, 5.0],
-    "daily": [True], "weekly": [False], "yearly": [False], "mode": ["additive"],
-}
-# Least points for each seasonality (two cycles of hourly data), in general, and in total.
-MIN_DAILY, MIN_WEEKLY, MIN_YEARLY, MIN_POINTS, MIN_TOTAL = 48, 336, 17_520, 30, 100
-# Taylor and Letham (2018): Fourier orders and trend hinges.
-ORDERS = {"daily": (DAY, 4), "weekly": (7 * DAY, 3), "yearly": (365.25 * DAY, 10)}
-HINGES, HINGE_SHARE = 25, 0.8
-
-
-# ---- data -------------------------------------------------------------------
-
-
-def time_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
-    return df.withColumns({
-        "hour": F.hour(ts), "dayofweek": F.weekday(F.col(ts)), "month": F.month(ts), "year": F.year(ts)})
-
-
-def clean_targets(df: DataFrame, fees: list[str] = FEES) -> DataFrame:
-    """Fees as numbers (unreadable ones null); rows without any fee drop out."""
-    return df.withColumns({fee: F.col(fee).try_cast("double") for fee in fees}).dropna(how="all", subset=fees)
-
-
-def chrono_split(df: DataFrame, share: float = 0.8, ts: str = "timestamp", ties: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """First ``share`` of the rows by time, and the rest.
-
-    The cut is found without a global sort: rows are counted per time, times are accumulated per day and days
-    across the (short) day table. Only rows that share the one time the cut falls into are ranked, by ``ties`` and then by all columns, so
-    both parts agree whenever they are computed.
-    The cut itself is one row, read once, so both parts are plain time filters that reach the scan.
-    """
-    times = df.groupBy(ts).agg(F.count("*").alias("n")).withColumn("day", F.to_date(ts))
-    days = times.groupBy("day").agg(F.sum("n").alias("n"))
-    earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    opening = days.select("day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("opening"))
-    inside = Window.partitionBy("day").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    placed = times.join(opening, "day").withColumn("before", F.col("opening") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    wanted = F.floor(df.agg(F.count("*")).scalar() * F.lit(share))
-    row = placed.where(F.col("before") + F.col("n") > wanted).agg(F.min_by(
-        F.struct(F.unix_micros(ts).alias("at"), (wanted - F.col("before")).cast("bigint").alias("first")), ts).alias("cut")).first()
-    if row is None or row.cut is None:
-        return df, df.where(F.lit(False))
-    at = F.timestamp_micros(F.lit(row.cut.at))
-    rank = F.row_number().over(Window.partitionBy(ts).orderBy(*(ties or []), *df.columns))
-    on_cut = df.where(F.col(ts) == at).withColumn("__rank", rank)
-    columns = df.columns
-
-    def ranked(keep: Column) -> DataFrame:
-        return on_cut.where(keep).select(*columns)
-
-    train = df.where(F.col(ts) < at).unionByName(ranked(F.col("__rank") <= row.cut.first))
-    test = df.where(F.col(ts) > at).unionByName(ranked(F.col("__rank") > row.cut.first))
-    return train, test
-
-
-def lookback(df: DataFrame, interval: str, ts: str = "timestamp") -> DataFrame:
-    """Rows within an interval of the newest time of the same rows."""
-    return df.where(F.col(ts) >= newest(df, ts) - span(seconds(interval)))
-
-
-def horizon(df: DataFrame, as_of: AsOf, hours: int = HORIZON_HOURS) -> DataFrame:
-    """Hourly times from the next full hour on; ``df`` only provides the session."""
-    start = F.date_trunc("hour", moment(as_of)) + F.expr("INTERVAL 1 HOUR")
-    return df.sparkSession.range(1).select(F.explode(F.sequence(
-        start, start + F.expr(f"INTERVAL {hours - 1} HOURS"), F.expr("INTERVAL 1 HOUR"))).alias("prediction_time"))
-
-
-# ---- ordering and storage ---------------------------------------------------
-
-
-def order_fees(df: DataFrame, mode: str = "sort") -> DataFrame:
-    """Predictions with low <= medium <= fast and none below zero; a row with a missing fee loses all three.
-
-    ``sort`` reorders the three values. ``clamp`` lowers low to the minimum first and then bounds the others,
-    so a low prediction above both others is forgotten.
-    """
-    fast, medium, low = (F.col(fee) for fee in FEES)
-    known = fast.isNotNull() & medium.isNotNull() & low.isNotNull()
-    if mode == "sort":
-        ranked = F.sort_array(F.array(fast, medium, low))
-        values = {"low_fee": F.get(ranked, F.lit(0)), "medium_fee": F.get(ranked, F.lit(1)), "fast_fee": F.get(ranked, F.lit(2))}
-    elif mode == "clamp":
-        floor = F.least(low, medium, fast)
-        top = F.greatest(floor, medium, fast)
-        values = {"low_fee": floor, "fast_fee": top, "medium_fee": F.greatest(floor, F.least(medium, top))}
-    else:
-        raise ValueError(f"unknown mode {mode!r}")
-    return df.withColumns({fee: F.when(known, F.greatest(value, F.lit(0.0))) for fee, value in values.items()})
-
-
-def prediction_rows(predictions: DataFrame, model_name: str | Column, generated_at: AsOf) -> DataFrame:
-    """Rows to store: complete predictions with model name and batch time."""
-    name = model_name if isinstance(model_name, Column) else F.lit(model_name)
-    return predictions.dropna("any", subset=FEES).select(
-        "prediction_time", name.alias("model_name"), *FEES, moment(generated_at).alias("generated_at"))
-
-
-def prediction_view(batch: DataFrame, model: str | None = None) -> DataFrame:
-    """Series of one model of a batch with its next point marked: the asked model if present, else ``hourly``,
-    else the first by name."""
-    wanted = [F.max(F.when(F.col("model_name") == name, F.col("model_name"))) for name in (model, "hourly") if name]
-    chosen = batch.agg(F.coalesce(*wanted, F.min("model_name"))).scalar()
-    series = batch.where(F.col("model_name") == chosen)
-    return series.withColumn("is_next", F.col("prediction_time") == newest_first(series))
-
-
-def newest_first(series: DataFrame) -> Column:
-    return series.select(F.min("prediction_time")).scalar()
-
-
-# ---- forests ----------------------------------------------------------------
-
-
-def _vectors(df: DataFrame, columns: list[str] = TIME_FEATURES) -> DataFrame:
-    return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
-
-
-def forest_estimator(settings: Forest, label: str, seed: int = 42) -> RandomForestRegressor:
-    """Estimator with the closest settings the library has: depth is at most 30, and a least split size does
-    not exist (the least leaf size does). A larger depth is refused."""
-    if settings.depth and settings.depth > MAX_DEPTH:
-        raise ValueError(f"depth must be at most {MAX_DEPTH}")
-    subset = {1.0: "all"}.get(settings.features, str(settings.features))
-    return RandomForestRegressor(
-        featuresCol="features", labelCol=label, predictionCol=f"p_{label}", numTrees=settings.trees,
-        maxDepth=settings.depth or MAX_DEPTH, minInstancesPerNode=settings.leaf,
-        featureSubsetStrategy=subset, bootstrap=settings.bootstrap, seed=seed)
-
-
-def train_forests(train: DataFrame, lookbacks: dict[str, str] | None = None, settings: dict | None = None,
-                  fees: list[str] = FEES, parallelism: int = 4) -> dict[tuple[str, str], RandomForestRegressionModel]:
-    """One forest per lookback and fee, fitted on the rows near the end of the training part.
-
-    The fits share one cached feature table; each fit itself runs on the executors.
-    """
-    settings = FOREST_SETTINGS if settings is None else settings
-    ready = _vectors(time_features(train)).persist()
-    ready.count()
-
-    def fit(key: tuple[str, str]):
-        name, fee = key
-        rows = lookback(ready, (lookbacks or FOREST_LOOKBACKS)[name]).where(F.col(fee).isNotNull()).orderBy("timestamp")
-        return forest_estimator(settings.get(key, Forest()), fee).fit(rows)
-
-    keys = list(itertools.product(lookbacks or FOREST_LOOKBACKS, fees))
-    with ThreadPoolExecutor(parallelism) as pool:
-        models = dict(zip(keys, pool.map(fit, keys)))
-    ready.unpersist()
-    return models
-
-
-def predict_forests(models: dict, times: DataFrame, name: str) -> DataFrame:
-    """Ordered predictions of one lookback for a table of times."""
-    rows = _vectors(time_features(times, "prediction_time"))
-    for fee in FEES:
-        rows = models[name, fee].transform(rows) if (name, fee) in models else rows.withColumn(f"p_{fee}", F.lit(None).cast("double"))
-    raw = rows.select("prediction_time", *[F.col(f"p_{fee}").alias(fee) for fee in FEES])
-    return order_fees(raw, "clamp")
-
-
-def forecast_forests(models: dict, times: DataFrame, generated_at: AsOf) -> DataFrame:
-    names = sorted({name for name, _ in models})
-    return reduce(DataFrame.unionByName, [
-        prediction_rows(predict_forests(models, times, name), name, generated_at) for name in names])
-
-
-def evaluate(models: dict, test: DataFrame) -> DataFrame:
-    """Mean squared error of every model on the test part: one pass over the test rows for all models."""
-    rows = _vectors(time_features(test))
-    errors = []
-    for (name, fee), model in models.items():
-        out = f"{name}__{fee}"
-        rows = model.copy({model.predictionCol: out}).transform(rows)
-        errors.append(F.struct(F.lit(name).alias("model_name"), F.lit(fee).alias("fee_type"),
-                               F.avg(F.pow(F.col(fee) - F.col(out), 2)).alias("mse")))
-    return rows.agg(F.array(*errors).alias("errors")).select(F.inline("errors"))
-
-
-def search_forest(train: DataFrame, draws: int = 20, folds: int = 5, lookbacks: dict[str, str] | None = None,
-                  fees: list[str] = FEES, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """Random search: best settings and their mean squared error per lookback and fee."""
-    rng = random.Random(seed)
-    space = [Forest(**{name: rng.choice(list(values)) for name, values in FOREST_SPACE.items()}) for _ in range(draws)]
-    found = []
-    for name, interval in (lookbacks or FOREST_LOOKBACKS).items():
-        ready = _vectors(time_features(lookback(train, interval))).persist()
-        for fee in fees:
-            base = forest_estimator(Forest(), fee, seed)
-            maps = [dict(forest_estimator(s, fee, seed).extractParamMap()) for s in space]
-            grid = [{base.getParam(p.name): v for p, v in m.items()} for m in maps]
-            judge = RegressionEvaluator(labelCol=fee, predictionCol=f"p_{fee}", metricName="mse")
-            fitted = CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=folds,
-                                    parallelism=parallelism, seed=seed).fit(ready.where(F.col(fee).isNotNull()))
-            best = min(range(draws), key=lambda i: fitted.avgMetrics[i])
-            s = space[best]
-            found.append((name, fee, s.trees, s.depth, str(s.features), s.leaf, s.bootstrap, float(fitted.avgMetrics[best])))
-        ready.unpersist()
-    return train.sparkSession.createDataFrame(
-        found, "model_name string, fee_type string, trees int, depth int, features string, leaf int, bootstrap boolean, mse double")
-
-
-# ---- naive predictor --------------------------------------------------------
-
-
-def naive_mse(train: DataFrame, test: DataFrame, fees: list[str] = FEES) -> DataFrame:
-    """Mean squared error of the hour-of-day mean of the training part: the bar a model has to beat."""
-    means = train.groupBy(F.hour("timestamp").alias("hour")).agg(*[F.avg(fee).alias(f"m_{fee}") for fee in fees])
-    scored = test.withColumn("hour", F.hour("timestamp")).join(means, "hour")
-    return scored.agg(F.array(*[
-        F.struct(F.lit(fee).alias("fee_type"), F.avg(F.pow(F.col(fee) - F.col(f"m_{fee}"), 2)).alias("mse")) for fee in fees
-    ]).alias("e")).select(F.inline("e"))
-
-
-def rolling_cv(df: DataFrame, fee: str = "fast_fee", initial_days: float = 60, period_days: float = 15,
-               horizon_hours: float = HORIZON_HOURS) -> DataFrame:
-    """Mean absolute percentage error of the hour-of-day mean per cutoff (cutoff, points, mape).
-
-    Cutoffs run back from the end minus the horizon in steps of the period, while the initial span is left.
-    Rows are binned between cutoffs once and the bins accumulated, so a training row is never repeated per
-    cutoff; a test row meets only the cutoffs whose horizon covers it.
-    """
-    initial, period, ahead = (int(v) for v in (initial_days * DAY, period_days * DAY, horizon_hours * HOUR))
-    rows = df.select(F.unix_timestamp("timestamp").alias("t"), F.hour("timestamp").alias("hour"), F.col(fee).alias("y"))
-    bounds = rows.agg(F.struct(F.min("t").alias("a"), F.max("t").alias("b")))
-    room = F.col("w.b") - ahead - F.col("w.a") - initial
-    frame = bounds.select(F.col(bounds.columns[0]).alias("w")).select(
-        F.struct((F.floor(room / period) + 1).cast("bigint").alias("n"),
-                 (F.col("w.b") - ahead - F.floor(room / period) * period).cast("bigint").alias("first")).alias("p"))
-    plan = frame.scalar()
-    placed = rows.withColumn("p", plan).where("p.n > 0").withColumn("n", F.col("p.n")).withColumn("first", F.col("p.first")).drop("p")
-    after = F.ceil((F.col("t") - F.col("first")) / period).cast("bigint")
-    binned = placed.withColumn("i", F.greatest(after, F.lit(0))).where("i < n").groupBy("i", "hour").agg(F.sum("y").alias("s"), F.count("y").alias("c"))
-    grid = frame.where("p.n > 0").select(F.explode(F.sequence(F.lit(0), F.col("p.n") - 1)).alias("i")).select(
-        "i", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    upto = Window.partitionBy("hour").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    means = grid.join(binned, ["i", "hour"], "left").select(
-        "i", "hour", (F.sum("s").over(upto) / F.nullif(F.sum("c").over(upto), F.lit(0))).alias("guess")).where("guess IS NOT NULL")
-    low = F.greatest(F.ceil((F.col("t") - ahead - F.col("first")) / period), F.lit(0)).cast("bigint")
-    high = F.least(after - 1, F.col("n") - 1)
-    tested = placed.withColumn("low", low).withColumn("high", high).where("low <= high AND y <> 0").select(
-        "t", "hour", "y", "first", F.explode(F.sequence("low", "high")).alias("i"))
-    return tested.join(means, ["i", "hour"]).groupBy("i", "first").agg(
-        F.count("*").alias("points"), F.avg(F.abs((F.col("y") - F.col("guess")) / F.col("y"))).alias("mape")
-    ).select(F.timestamp_seconds(F.col("first") + F.col("i") * period).alias("cutoff"), "points", "mape")
-
-
-# ---- seasonal trend models --------------------------------------------------
-
-
-def min_points(s: Seasonal = Seasonal(), hours: int = HORIZON_HOURS) -> int:
-    """Least number of training points for the enabled seasonalities and the horizon."""
-    return max(MIN_DAILY if s.daily else 0, MIN_WEEKLY if s.weekly else 0, MIN_YEARLY if s.yearly else 0, 3 * hours, MIN_POINTS)
-
-
-def data_sufficiency(df: DataFrame, lookbacks: dict[str, str] | None = None, s: Seasonal = Seasonal(),
-                     hours: int = HORIZON_HOURS) -> DataFrame:
-    """Points per lookback against the least number, in one conditional aggregate."""
-    lookbacks = lookbacks or SEASONAL_LOOKBACKS
-    end, need = newest(df), min_points(s, hours)
-    counted = df.agg(F.array(*[
-        F.struct(F.lit(name).alias("model_name"), F.count_if(F.col("timestamp") >= end - span(seconds(i))).alias("points"))
-        for name, i in lookbacks.items()]).alias("counts"), F.count("*").alias("total"))
-    return counted.select("total", F.inline("counts")).select(
-        "model_name", "points", F.lit(need).alias("required"),
-        ((F.col("points") >= need) & (F.col("total") >= MIN_TOTAL)).alias("sufficient"))
-
-
-@dataclass
-class SeasonalModel:
-    """A fitted trend: its settings, time scale and linear model."""
-
-    settings: Seasonal
-    start: float
-    length: float
-    linear: LinearRegressionModel
-
-    def predict(self, times: DataFrame, ts: str, out: str) -> DataFrame:
-        rows = _vectors(seasonal_features(times, ts, self.settings, self.start, self.length), seasonal_columns(self.settings))
-        scored = self.linear.copy({self.linear.predictionCol: out}).transform(rows).select(*times.columns, out)
-        return scored.withColumn(out, F.expm1(out)) if self.settings.mode == "multiplicative" else scored
-
-
-def seasonal_columns(s: Seasonal) -> list[str]:
-    waves = [f"{kind}_{part}{k}" for kind, (_, order) in ORDERS.items() if getattr(s, kind)
-             for k in range(1, order + 1) for part in ("sin", "cos")]
-    return ["trend", *[f"hinge{i}" for i in range(HINGES)], *waves]
-
-
-def seasonal_features(df: DataFrame, ts: str, s: Seasonal, start: float, length: float) -> DataFrame:
-    """Trend, hinges spread over the first 80 % of the history, and Fourier terms, all as plain columns."""
-    epoch = F.unix_micros(ts) / 1e6
-    trend = (epoch - start) / length
-    columns = {"trend": trend}
-    for i in range(HINGES):
-        columns[f"hinge{i}"] = F.greatest(trend - HINGE_SHARE * (i + 1) / (HINGES + 1), F.lit(0.0))
-    for kind, (cycle, order) in ORDERS.items():
-        if getattr(s, kind):
-            for k in range(1, order + 1):
-                angle = epoch * (2 * math.pi * k / cycle)
-                columns[f"{kind}_sin{k}"], columns[f"{kind}_cos{k}"] = F.sin(angle), F.cos(angle)
-    return df.withColumns(columns)
-
-
-def fit_seasonal(df: DataFrame, fee: str, s: Seasonal = Seasonal()) -> SeasonalModel:
-    """Linear trend with seasonal terms.
-
-    The one-pass normal-equation solver fits it. The Laplace prior on trend changes becomes the L1 part of an
-    elastic net and the normal prior on seasonal terms the L2 part, both stronger for smaller scales. The
-    multiplicative mode fits the logarithm of one plus the fee.
-    """
-    rows = df.where(F.col(fee).isNotNull()).select("timestamp", F.col(fee).alias("y"))
-    low, high = rows.agg(F.min(F.unix_micros("timestamp")) / 1e6, F.max(F.unix_micros("timestamp")) / 1e6).first()
-    start, length = float(low), max(float(high - low), 1.0)
-    if s.mode == "multiplicative":
-        rows = rows.withColumn("y", F.log1p("y"))
-    l1, l2 = 1e-4 / s.changepoint_prior_scale, 1e-3 / s.seasonality_prior_scale
-    ready = _vectors(seasonal_features(rows, "timestamp", s, start, length), seasonal_columns(s))
-    linear = LinearRegression(labelCol="y", solver="normal", regParam=l1 + l2, elasticNetParam=l1 / (l1 + l2), maxIter=50)
-    return SeasonalModel(s, start, length, linear.fit(ready))
-
-
-def train_seasonal(df: DataFrame, lookbacks: dict[str, str] | None = None, settings: dict[str, Seasonal] | None = None,
-                   hours: int = HORIZON_HOURS, fees: list[str] = FEES, parallelism: int = 4) -> dict[tuple[str, str], SeasonalModel]:
-    """One model per lookback and fee; a lookback with too few points for its seasonalities is skipped.
-
-    All counts come from one aggregate (a row per lookback and fee).
-    """
-    lookbacks, settings = lookbacks or SEASONAL_LOOKBACKS, settings or {}
-    ready, end = df.persist(), newest(df)
-    counts = ready.agg(F.count("*").alias("total"), *[
-        F.count_if((F.col("timestamp") >= end - span(seconds(i))) & F.col(fee).isNotNull()).alias(f"{name}.{fee}")
-        for name, i in lookbacks.items() for fee in fees]).first().asDict()
-    enough = [(name, fee) for name in lookbacks for fee in fees
-              if counts["total"] >= MIN_TOTAL and counts[f"{name}.{fee}"] >= min_points(settings.get(name, Seasonal()), hours)]
-    with ThreadPoolExecutor(parallelism) as pool:
-        fitted = list(pool.map(
-            lambda key: fit_seasonal(lookback(ready, lookbacks[key[0]]), key[1], settings.get(key[0], Seasonal())), enough))
-    ready.unpersist()
-    return dict(zip(enough, fitted))
-
-
-def forecast_seasonal(models: dict, times: DataFrame, generated_at: AsOf) -> DataFrame:
-    """Ordered, complete predictions of all lookbacks."""
-    parts = []
-    for name in sorted({name for name, _ in models}):
-        rows = times
-        for fee in FEES:
-            rows = models[name, fee].predict(rows, "prediction_time", fee) if (name, fee) in models else rows.withColumn(
-                fee, F.lit(None).cast("double"))
-        parts.append(prediction_rows(order_fees(rows, "sort"), name, generated_at))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def cutoffs(start: float, end: float, initial: float, period: float, ahead: float) -> list[float]:
-    """Cutoff times of a rolling evaluation, oldest first (their number is span / period)."""
-    last = end - ahead
-    count = int((last - start - initial) // period) + 1 if last >= start + initial else 0
-    return [last - i * period for i in reversed(range(count))]
-
-
-def seasonal_mape(df: DataFrame, fee: str, s: Seasonal, cuts: list[float], ahead: float) -> float | None:
-    """Mean over the cutoffs of the percentage error within the horizon; None without a cutoff to score."""
-    scores = []
-    for cut in cuts:
-        at = F.timestamp_seconds(F.lit(cut))
-        model = fit_seasonal(df.where(F.col("timestamp") <= at), fee, s)
-        test = df.where((F.col("timestamp") > at) & (F.col("timestamp") <= at + span(int(ahead))) & (F.col(fee) != 0))
-        score = model.predict(test.select("timestamp", fee), "timestamp", "guess").agg(
-            F.avg(F.abs((F.col(fee) - F.col("guess")) / F.col(fee)))).first()[0]
-        if score is not None:
-            scores.append(score)
-    return sum(scores) / len(scores) if scores else None
-
-
-def grid_points(grid: dict[str, list]) -> list[Seasonal]:
-    points = [Seasonal(**dict(zip(grid, values))) for values in itertools.product(*grid.values())]
-    return points if Seasonal() in points else [Seasonal(), *points]
-
-
-def search_seasonal(df: DataFrame, name: str, grid: dict[str, list] | None = None, initial_days: float = 60, period_days: float = 15,
-                    hours: int = HORIZON_HOURS, parallelism: int = 8) -> tuple[Seasonal, list[tuple[Seasonal, float]]]:
-    """Best settings by rolling percentage error, and all scores. The defaults are always tried; they stay when
-    the history is too short. Tuned on the fast fee, else on the first fee that has data."""
-    span_row = df.agg(F.min(F.unix_timestamp("timestamp")), F.max(F.unix_timestamp("timestamp")), *[F.count(fee) for fee in FEES]).first()
-    start, end, counts = span_row[0], span_row[1], dict(zip(FEES, span_row[2:]))
-    fee = next((f for f in FEES if counts[f]), None)
-    initial, period, ahead = initial_days * DAY, period_days * DAY, hours * HOUR
-    if fee is None or end - start < initial + period + ahead:
-        return Seasonal(), []
-    cuts = cutoffs(start, end, initial, period, ahead)
-    grid = grid or (SEASONAL_GRID_SHORT if name == "very_short" else SEASONAL_GRID)
-    points = [s for s in grid_points(grid) if counts[fee] >= min_points(s, hours)]
-    ready = df.select("timestamp", fee).where(F.col(fee).isNotNull()).persist()
-    ready.count()
-    with ThreadPoolExecutor(parallelism) as pool:
-        scores = list(pool.map(lambda s: seasonal_mape(ready, fee, s, cuts, ahead), points))
-    ready.unpersist()
-    scored = [(s, v) for s, v in zip(points, scores) if v is not None]
-    return (min(scored, key=lambda p: p[1])[0] if scored else Seasonal()), scored
-
-
-# ---- retraining -------------------------------------------------------------
-
-
-def needs_retrain(log: DataFrame, as_of: AsOf, hours: int = 24, fees: list[str] = FEES) -> DataFrame:
-    """Per model set: when it was trained, whether all fees have a model, and whether it must be trained again
-    (incomplete, or not trained within the last ``hours``)."""
-    have = [F.max(F.when(F.col("fee_type") == fee, 1).otherwise(0)) for fee in fees]
-    complete = reduce(lambda a, b: a + b, have) == len(fees)
-    return log.groupBy("model_name").agg(F.max("trained_at").alias("trained_at"), complete.alias("complete")).withColumn(
-        "retrain", ~F.col("complete") | (moment(as_of) - F.col("trained_at") >= F.expr(f"INTERVAL {hours} HOURS")))
+"""Fee forecasting under one name: series (data, ordering, storage, gate), forests over feature cells, seasonal models from Gram matrices."""
+
+from blockloom.operators.forests import (  # noqa: F401
+    FOREST_LOOKBACKS, FOREST_SETTINGS, FOREST_SPACE, Forest, drawn_settings, evaluate, feature_cells, fold_cells, forecast_forests, found_settings,
+    predict_forests, score_forests, search_forest, train_forests)
+from blockloom.operators.seasonal import (  # noqa: F401
+    SEASONAL_GRID, SEASONAL_GRID_SHORT, SEASONAL_LOOKBACKS, STRAIGHT, Seasonal, cutoffs, data_sufficiency, forecast_seasonal, grid_points, min_points,
+    rolling_cv, search_lookbacks, search_seasonal, train_seasonal)
+from blockloom.operators.series import (  # noqa: F401
+    DAY, FEES, HORIZON_HOURS, HOUR, TIME_FEATURES, chrono_split, clean_targets, horizon, lookback, naive_mse, naive_rolling_cv, needs_retrain,
+    newest_first, order_fees, prediction_rows, prediction_view, time_features)

@@ -65,12 +65,15 @@ class PatternModel:
     def __init__(self, kmeans: KMeansModel, moments: DataFrame, names: DataFrame):
         self.kmeans, self.moments, self.names = kmeans, moments, names
 
-    def assign(self, slots: DataFrame) -> DataFrame:
-        """Cluster of each slot, scaled with the moments of the training data."""
+    def scaled(self, slots: DataFrame) -> DataFrame:
+        """Slots with their features scaled by the moments of the training data, as ``z_`` columns."""
         _, scaled = _scale(FEATURES)
         source = cyclical_features(slots).withColumn("__m", self.moments.scalar())
-        scaled_rows = source.withColumns({f"z_{c}": scaled(c, F.col("__m")) for c in FEATURES}).drop("__m")
-        ready = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="features").transform(scaled_rows)
+        return source.withColumns({f"z_{c}": scaled(c, F.col("__m")) for c in FEATURES}).drop("__m")
+
+    def assign(self, slots: DataFrame) -> DataFrame:
+        """Cluster of each slot, scaled with the moments of the training data."""
+        ready = VectorAssembler(inputCols=[f"z_{c}" for c in FEATURES], outputCol="features").transform(self.scaled(slots))
         labels = self.kmeans.transform(ready).withColumnRenamed("prediction", "cluster_label")
         return labels.select(*slots.columns, "cluster_label")
 
@@ -106,6 +109,19 @@ def kmeans_slots(slots: DataFrame, k: int = 3, seed: int = 42, starts: int = 10)
     return PatternModel(best, moments, names)
 
 
+def cluster_checks(model: PatternModel, slots: DataFrame, near: float = 1e-3) -> DataFrame:
+    """What makes labels a k-means solution: slots, those with a centre nearer than their own, and centres that are not the mean of their slots."""
+    centres = [[float(v) for v in centre] for centre in model.kmeans.clusterCenters()]
+    z = [f"z_{c}" for c in FEATURES]
+    rows = model.scaled(model.assign(slots))
+    gaps = F.array(*[sum(((F.col(c) - v) ** 2 for c, v in zip(z[1:], centre[1:])), (F.col(z[0]) - centre[0]) ** 2) for centre in centres])
+    misplaced = rows.agg(F.count("*").alias("slots"), F.count_if(F.get(gaps, F.col("cluster_label")) > F.array_min(gaps) + 1e-9).alias("misplaced"))
+    means = rows.groupBy("cluster_label").agg(*[F.avg(c).alias(c) for c in z])
+    off = [F.abs(F.col(c) - F.get(F.array(*[F.lit(centre[i]) for centre in centres]), F.col("cluster_label"))) for i, c in enumerate(z)]
+    moved = means.agg(F.count("*").alias("clusters"), F.count_if(F.greatest(*off) > near).alias("moved"))
+    return misplaced.withColumn("m", moved.agg(F.first(F.struct("clusters", "moved"))).scalar()).select("slots", "misplaced", "m.clusters", "m.moved")
+
+
 def _names(k: int) -> list[str]:
     return CATEGORY_NAMES.get(k, [f"Fee Category {i + 1}" if k > 3 else f"Category {i + 1}" for i in range(k)])
 

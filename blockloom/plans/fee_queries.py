@@ -1,12 +1,15 @@
 """Queries over fee snapshots, value insights and weekly patterns."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from blockloom.functions.columns import newest
 from blockloom.operators import fees, patterns
 from blockloom.operators.tables import insert_ignore
+from blockloom.plans.models import PatternStore
 from blockloom.plans.registry import query
-from blockloom.session import cut_lineage
+from blockloom.session import cut_lineage, work_folder
 from blockloom.sources.fixtures import Fixtures
 
 HOURS = 72
@@ -138,6 +141,30 @@ def _(fx: Fixtures) -> DataFrame:
     return patterns.kmeans_slots(grid).assign(grid)
 
 
+@query("slot_cluster_checks")
+def _(fx: Fixtures) -> DataFrame:
+    """The labels are a k-means solution, and the category asked for a slot is the one of its cluster."""
+    grid = cut_lineage(slots(fx))
+    model = patterns.kmeans_slots(grid)
+    own = model.assign(grid).join(model.names.select("cluster_label", F.col("fee_category").alias("own")), "cluster_label")
+    asked = patterns.predict_slots(model, grid, grid.select("day_of_week_num", "hour_of_day"))
+    other = asked.join(own.select("day_of_week_num", "hour_of_day", "own"), ["day_of_week_num", "hour_of_day"]).where("fee_category <> own").agg(F.count("*"))
+    return patterns.cluster_checks(model, grid).withColumn("other_category", other.scalar())
+
+
+@query("pattern_model_io")
+def _(fx: Fixtures) -> DataFrame:
+    """The model stored and read back: slots, and those that the two label or name differently."""
+    grid = cut_lineage(slots(fx))
+    store = PatternStore(fx.spark, f"{work_folder(fx.spark)}/patterns-{uuid4().hex}")
+    model = patterns.kmeans_slots(grid)
+    store.save(model, fx.last_hour)
+    columns = ["day_of_week_num", "hour_of_day", "cluster_label", "fee_category"]
+    first, second = (m.assign(grid).join(m.names, "cluster_label").select(*columns) for m in (model, store.load()))
+    rows = first.withColumn("x", F.lit(1)).unionByName(second.withColumn("x", F.lit(-1))).groupBy(*columns).agg(F.sum("x").alias("x"), F.count_if(F.col("x") > 0).alias("n"))
+    return rows.agg(F.sum("n").alias("slots"), F.sum(F.abs("x")).alias("differing"))
+
+
 @query("cluster_categories")
 def _(fx: Fixtures) -> DataFrame:
     return named(fx).select("time_slot_id", "cluster_label", "fee_category", "avg_fee_for_category")

@@ -1,15 +1,18 @@
 """Queries of the forecasting operators."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, functions as F
 
 from blockloom.functions.columns import newest
 from blockloom.operators import fees, forecast
 from blockloom.operators.tables import insert_ignore
+from blockloom.plans.models import ModelStore
 from blockloom.plans.registry import query
-from blockloom.session import cut_lineage
+from blockloom.session import cut_lineage, work_folder
 from blockloom.sources.fixtures import Fixtures
 
-# The event tables span thirty days, so rolling evaluation starts after fifteen and steps by five.
+# The event tables span thirty days, so the rolling evaluation of the hour mean starts after fifteen and steps by five.
 ROLLING = {"initial_days": 15, "period_days": 5}
 LOOKBACK = "7D"
 
@@ -50,7 +53,7 @@ def _(fx: Fixtures) -> DataFrame:
 @query("forecast_forest")
 def _(fx: Fixtures) -> DataFrame:
     rows = stored(fx)
-    models = forecast.train_forests(forecast.chrono_split(rows, 0.8)[0])
+    models = cut_lineage(forecast.train_forests(forecast.chrono_split(rows, 0.8)[0]))
     times = forecast.horizon(rows, newest(rows))
     return forecast.forecast_forests(models, times, newest(rows))
 
@@ -58,12 +61,22 @@ def _(fx: Fixtures) -> DataFrame:
 @query("forest_eval_mse")
 def _(fx: Fixtures) -> DataFrame:
     train, test = forecast.chrono_split(stored(fx), 0.8)
-    return forecast.evaluate(forecast.train_forests(train), test)
+    return forecast.evaluate(cut_lineage(forecast.train_forests(train)), test)
 
 
 @query("forecast_eval_mse")
 def _(fx: Fixtures) -> DataFrame:
-    return forecast.naive_mse(*forecast.chrono_split(history(fx), 0.8))
+    """The hour-of-day mean, and a forest that is the same by its settings: one whole tree over the hour alone."""
+    train, test = (cut_lineage(part) for part in forecast.chrono_split(history(fx), 0.8))
+    tree = forecast.Forest(trees=1, features=1.0, bootstrap=False)
+    models = forecast.train_forests(train, {"hour_tree": "36500d"}, {("hour_tree", fee): tree for fee in forecast.FEES}, columns=["hour"])
+    means = forecast.naive_mse(train, test).withColumn("model_name", F.lit("hour_mean"))
+    return means.unionByName(forecast.evaluate(cut_lineage(models), test, columns=["hour"]))
+
+
+@query("forest_fold_cells")
+def _(fx: Fixtures) -> DataFrame:
+    return forecast.fold_cells(fx.fee_history, forecast.FOREST_LOOKBACKS)
 
 
 @query("forecast_horizon")
@@ -95,14 +108,15 @@ def _(fx: Fixtures) -> DataFrame:
 
 @query("forest_search")
 def _(fx: Fixtures) -> DataFrame:
-    train = forecast.chrono_split(stored(fx), 0.8)[0]
-    return forecast.search_forest(train, draws=3, folds=3, lookbacks={"weekly": "4W"}, fees=["fast_fee"])
+    return forecast.search_forest(stored(fx))
 
 
 @query("seasonal_trend_model")
 def _(fx: Fixtures) -> DataFrame:
-    rows = stored(fx)
-    models = forecast.train_seasonal(rows)
+    """Forecasts of the models trained with the settings that the search of their lookback finds."""
+    rows = cut_lineage(fx.fee_history)
+    settings = {name: best for name, (best, _) in forecast.search_lookbacks(rows).items()}
+    models = forecast.train_seasonal(rows, settings=settings)
     return forecast.forecast_seasonal(models, forecast.horizon(rows, newest(rows)), newest(rows))
 
 
@@ -111,19 +125,53 @@ def _(fx: Fixtures) -> DataFrame:
     return forecast.data_sufficiency(history(fx))
 
 
+@query("naive_rolling_cv")
+def _(fx: Fixtures) -> DataFrame:
+    return forecast.naive_rolling_cv(history(fx), **ROLLING)
+
+
 @query("rolling_origin_cv")
 def _(fx: Fixtures) -> DataFrame:
-    return forecast.rolling_cv(history(fx), **ROLLING)
+    """A straight trend at every cutoff of the whole history, which SQL can fit as well."""
+    return forecast.rolling_cv(cut_lineage(fx.fee_history), settings={"straight": forecast.STRAIGHT})
+
+
+@query("seasonal_rolling_cv")
+def _(fx: Fixtures) -> DataFrame:
+    settings = {"default": forecast.Seasonal(), "multiplicative": forecast.Seasonal(mode="multiplicative"), "yearly": forecast.Seasonal(yearly=True)}
+    return forecast.rolling_cv(cut_lineage(fx.fee_history), settings=settings)
 
 
 @query("seasonal_grid_search")
 def _(fx: Fixtures) -> DataFrame:
-    rows = stored(fx)
-    best, scored = forecast.search_seasonal(rows, "very_short", **ROLLING)
+    rows = cut_lineage(fx.fee_history)
+    found = [(name, s.changepoint_prior_scale, s.seasonality_prior_scale, s.daily, s.weekly, s.yearly, s.mode, score, s == best)
+             for name, (best, scored) in forecast.search_lookbacks(rows).items() for s, score in (scored or [(best, None)])]
     return rows.sparkSession.createDataFrame(
-        [(s.changepoint_prior_scale, s.seasonality_prior_scale, s.daily, s.weekly, s.yearly, s.mode, v, s == best) for s, v in scored],
-        "changepoint_prior_scale double, seasonality_prior_scale double, daily boolean, weekly boolean, yearly boolean, "
-        "mode string, mape double, best boolean")
+        found, "model_name string, changepoint_prior_scale double, seasonality_prior_scale double, daily boolean, weekly boolean, "
+        "yearly boolean, mode string, mape double, best boolean")
+
+
+def differing(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each model in both tables, and how many of them are not equal in all columns."""
+    both = first.withColumn("x", F.lit(1)).unionByName(second.withColumn("x", F.lit(-1)))
+    rows = both.groupBy(*first.columns).agg(F.sum("x").alias("x"), F.count_if(F.col("x") > 0).alias("n"))
+    return rows.groupBy(*keys).agg(F.sum("n").alias("rows"), F.sum(F.abs("x")).alias("differing"))
+
+
+@query("model_reload")
+def _(fx: Fixtures) -> DataFrame:
+    """Both model sets trained, stored, and taken from the store by the gate: rows forecast, and rows that differ from those of the trained models."""
+    rows, out = cut_lineage(fx.fee_history), []
+    now, store = newest(rows), ModelStore(fx.spark, f"{work_folder(fx.spark)}/models-{uuid4().hex}")
+    times = cut_lineage(forecast.horizon(rows, now))
+    for kind, train, predict in (("forest", forecast.train_forests, forecast.forecast_forests), ("seasonal", forecast.train_seasonal, forecast.forecast_seasonal)):
+        trained = cut_lineage(train(rows))
+        store.save(kind, trained, now)
+        again, fresh = store.current(kind, lambda: trained, now, names=[])
+        out.append(differing(predict(trained, times, now), predict(again, times, now), ["model_name"]).select(
+            F.lit(kind).alias("kind"), "model_name", "rows", "differing", F.lit(fresh).alias("trained_again")))
+    return out[0].unionByName(out[1])
 
 
 @query("retrain_gate")

