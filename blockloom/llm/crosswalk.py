@@ -36,7 +36,7 @@ from blockloom.llm import common
 RADIX_BITS = 6
 PLACE_BITS = 20
 #: Links of a buffer, pairs of a block and runs of a merge.
-RUN_LINKS = 3_000_000
+RUN_LINKS = 2_000_000
 BLOCK_PAIRS = 16_384
 RUNS_A_MERGE = 64 << RADIX_BITS
 BYTE_PIECE, PLAIN_BYTES = 6, (*range(33, 127), *range(161, 173), *range(174, 256))
@@ -51,7 +51,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteLevel:
-    """A byte-level BPE model from its file; special tokens are plain text."""
+    """A byte-level BPE model from its file; special tokens are plain text. ``exact``: its tokens give back the bytes of any text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -76,10 +76,12 @@ class ByteLevel:
             ranks = {token: number for number, token in enumerate(self.bytes) if token}
             self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             self.ids = self.coder.encode_ordinary
+            self.exact = True
         else:
             self.coder = Tokenizer.from_file(path)
             self.coder.encode_special_tokens = True
             self.ids = lambda text: self.coder.encode(text, add_special_tokens=False).ids
+            self.exact = False
 
 
 class Pieces:
@@ -94,6 +96,7 @@ class Pieces:
                       else b"" if library.is_control(i) or library.is_unknown(i) else library.id_to_piece(i).replace("▁", " ").encode()
                       for i in range(self.size)]
         self.ids = lambda text: library.encode(text[1:])
+        self.exact = False
 
 
 class Aligner:
@@ -110,14 +113,16 @@ class Aligner:
     def links(self, text: str) -> tuple[np.ndarray, int, int, int, str]:
         """Pairs (first id * size of the second vocabulary + second id) of all links in order, counts of tokens and groups, groups as text."""
         data = " " + text if text else ""
-        ids = [np.array(side.ids(data) if data else [], np.int64) for side in (self.a, self.b)]
-        if not data or any(b"".join(map(side.bytes.__getitem__, row.tolist())) != data.encode() for side, row in zip((self.a, self.b), ids)):
+        rows = [side.ids(data) if data else [] for side in (self.a, self.b)]
+        if not data or any(not side.exact and b"".join(map(side.bytes.__getitem__, row)) != data.encode() for side, row in zip((self.a, self.b), rows)):
             return np.empty(0, np.uint64), 0, 0, 0, ""
-        a, b = ids
+        a, b = (np.array(row, np.int64) for row in rows)
         ends_a, ends_b = self.sizes[0][a].cumsum(), self.sizes[1][b].cumsum()
-        ends = np.union1d(ends_a, ends_b)  # between two ends lies the overlap of just one token of each side
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        again = ends[1:] == ends[:-1]
+        cuts, ends = ends[1:][again], ends[np.append(~again, True)]
+        # Between two ends lies the overlap of just one token of each side.
         pairs = a[np.searchsorted(ends_a, ends)] * self.b.size + b[np.searchsorted(ends_b, ends)]
-        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
         shown = np.empty(len(a) + len(b), object)
         last_a, last_b = np.diff(group_a, append=len(cuts)) > 0, np.diff(group_b, append=len(cuts)) > 0
@@ -293,7 +298,7 @@ def _shares(folder: str):
         def table(radix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if radix not in tables:
                 found = store.get_file_info(pafs.FileSelector(f"{inner}/radix={radix}"))
-                parts = [pq.read_table(info.path, filesystem=store, columns=["pair", "n", "best"], partitioning=None) for info in found if info.path.endswith(".parquet")]
+                parts = [pq.read_table(info.path, filesystem=store, columns=["pair", "n", "best"], partitioning=None, use_threads=False) for info in found if info.path.endswith(".parquet")]
                 rows = pa.concat_tables(parts)
                 pairs = rows["pair"].to_numpy()
                 order = np.argsort(pairs, kind="stable")
