@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from blockloom.session import cut_lineage
 
@@ -27,8 +27,8 @@ COMMON_TENTHS = 10
 CHANGE_TENTHS = 7
 BLOCK_NODES = 1024
 NODE = ["node", "size", "ins", "changes"]
-# Reach of density clusters over features scaled to unit deviation, for queries and jobs alike.
-EPS = 0.25
+# Points of a box up to which the pairs of two boxes are compared one by one.
+LEAF_POINTS = 64
 
 
 # ---- edges ------------------------------------------------------------------
@@ -288,23 +288,144 @@ def _fingerprint(pairs: DataFrame) -> tuple:
 # ---- density clusters -------------------------------------------------------
 
 
-def density_clusters(features: DataFrame, eps: float = EPS, key: str = "address", columns: list[str] | None = None) -> DataFrame:
+def _squared(a: str, b: str, columns: list[str]) -> Column:
+    """Squared distance of two points, column by column in order."""
+    steps = [F.col(f"{a}{c}") - F.col(f"{b}{c}") for c in columns]
+    return reduce(lambda x, y: x + y, [step * step for step in steps])
+
+
+def neighbour_distances(points: DataFrame, columns: list[str], k: int = 1, first: float = 2.0 ** -8, factor: int = 4) -> DataFrame:
+    """(columns, gap): squared distance from every distinct point to its k-th nearest other distinct point, exact.
+
+    Cells of a grid over the three widest columns widen round by round. A point meets the points of its cell and of the 26 around it; whatever
+    it has not met is farther away than one cell, so its k-th distance is settled once it is not above the width. Only unsettled points go on, so crowded regions
+    are done while their cells are small. Fewer than k other points settle nothing and leave no row.
+    """
+    names = [f"g{i}" for i in range(3)]
+    table = cut_lineage(points.select(*columns).distinct().withColumn("id", F.xxhash64(*columns)))
+    row = table.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in columns], *[F.approx_count_distinct(c).alias(f"d_{c}") for c in columns]).first()
+    if row["n"] <= k:
+        return table.select(*columns, F.lit(None).cast("double").alias("gap")).limit(0)
+    widest = sorted(columns, key=lambda c: (-row[f"d_{c}"], c))[:3]
+    extent = max(row[c] for c in columns)
+    open_ones, settled, width = table, None, first
+    while True:
+        cells = [F.floor(F.col(c) / width).cast("bigint") for c in widest]
+        around = open_ones.select("id", *[F.col(c).alias(f"a_{c}") for c in columns], *[c.alias(n) for n, c in zip(names, cells)])
+        for n in names[:len(widest)]:
+            around = around.withColumn(n, F.explode(F.array(*[F.col(n) + step for step in (-1, 0, 1)])))
+        others = table.select(F.col("id").alias("other"), *[F.col(c).alias(f"b_{c}") for c in columns], *[c.alias(n) for n, c in zip(names, cells)])
+        met = around.join(others, names[:len(widest)]).where("id <> other").select("id", "other", _squared("a_", "b_", columns).alias("gap"))
+        if k == 1:
+            nearest = met.groupBy("id").agg(F.min("gap").alias("gap"))
+        else:
+            place = F.row_number().over(Window.partitionBy("id").orderBy("gap", "other"))
+            nearest = met.withColumn("place", place).where(F.col("place") == k).select("id", "gap")
+        last = width > extent
+        done = cut_lineage(nearest if last else nearest.where(F.col("gap") <= width * width))
+        settled = done if settled is None else settled.unionByName(done)
+        open_ones = cut_lineage(open_ones.join(done.select("id"), "id", "left_anti"))
+        if last or open_ones.isEmpty():
+            break
+        width *= factor
+    return table.join(settled, "id").select(*columns, "gap")
+
+
+def reach(features: DataFrame, columns: list[str] | None = None, k: int = 1) -> float:
+    """Squared reach of density clusters: the median (the lower one of two) of the squared distances to the k-th nearest distinct point; 0 without such points.
+
+    It is widened by a billionth, so that pairs as far apart as the median pair are all inside, however their coordinates round.
+    """
+    gaps = neighbour_distances(features, columns or FEATURES, k).groupBy("gap").agg(F.count("*").alias("n")).withColumn("band", F.floor(F.log2(F.greatest("gap", F.lit(1e-300))) * 8))
+    bands = gaps.groupBy("band").agg(F.sum("n").alias("n"))
+    before = bands.withColumn("upto", F.sum("n").over(Window.orderBy("band")))  # eight rows for each power of two
+    total = bands.agg(F.sum("n")).first()[0]
+    if not total:
+        return 0.0
+    middle = (total + 1) // 2
+    band = before.where(F.col("upto") >= middle).orderBy("band").first()
+    inside = gaps.where(F.col("band") == band["band"]).withColumn("upto", F.sum("n").over(Window.partitionBy("band").orderBy("gap")) + (band["upto"] - band["n"]))
+    return float(inside.where(F.col("upto") >= middle).agg(F.min("gap")).first()[0]) * (1 + 1e-9)
+
+
+def closest_links(pairs: DataFrame, points: DataFrame, columns: list[str], limit: float, leaf: int = LEAF_POINTS, compared: list[int] | None = None) -> DataFrame:
+    """The pairs (src, dst) of bins that have two points within the limit (a squared distance); ``points`` are (bin, columns), distinct.
+
+    Not all pairs of points are written out. Each side is the box around its points. Boxes whose nearest sides are beyond the limit are dropped; boxes whose
+    farthest corners are within it settle their bins; of the rest, boxes with more than ``leaf`` points are halved along their longest side, and the points
+    of two small ones are compared. A settled pair of bins is not looked at again. ``compared`` takes the number of comparisons of each round.
+    """
+    placed = points.select("bin", F.col("bin").cast("string").alias("box"), *columns)
+    state = cut_lineage(pairs.select("src", "dst", F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b")))
+    found = None
+    while not state.isEmpty():
+        ends = state.select(F.col("a").alias("box")).unionByName(state.select(F.col("b").alias("box"))).distinct()
+        placed = cut_lineage(placed.join(ends, "box", "left_semi"))
+        boxes = cut_lineage(placed.groupBy("box").agg(
+            F.count("*").alias("n"), *[F.min(c).alias(f"lo_{c}") for c in columns], *[F.max(c).alias(f"hi_{c}") for c in columns]))
+
+        def side(name: str) -> DataFrame:
+            return boxes.select(F.col("box").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in boxes.columns if c != "box"])
+
+        def gap(near: bool) -> Column:
+            steps = []
+            for c in columns:
+                one, two = F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}"), F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}")
+                steps.append(F.greatest(one, two, F.lit(0.0)) if near else F.greatest(-one, -two))
+            return reduce(lambda x, y: x + y, [step * step for step in steps])
+
+        met = cut_lineage(state.join(side("a"), "a").join(side("b"), "b").where(gap(True) <= limit).withColumn("sure", gap(False) <= limit)
+                          .select("src", "dst", "a", "b", "sure", "a_n", "b_n"))
+        sure = met.where("sure").select("src", "dst").distinct()
+        rest = met.where("NOT sure").join(sure, ["src", "dst"], "left_anti")
+        small = rest.where((F.col("a_n") <= leaf) & (F.col("b_n") <= leaf))
+        one = placed.select(F.col("box").alias("a"), *[F.col(c).alias(f"x_{c}") for c in columns])
+        two = placed.select(F.col("box").alias("b"), *[F.col(c).alias(f"y_{c}") for c in columns])
+        near = small.join(one, "a").join(two, "b").where(_squared("x_", "y_", columns) <= limit).select("src", "dst").distinct()
+        hits = cut_lineage(sure.unionByName(near).distinct())
+        found = hits if found is None else found.unionByName(hits)
+        if compared is not None:
+            compared.append(state.count() + (small.agg(F.sum(F.col("a_n") * F.col("b_n"))).first()[0] or 0))
+        open_ones = rest.where((F.col("a_n") > leaf) | (F.col("b_n") > leaf)).join(hits, ["src", "dst"], "left_anti")
+        spans = F.array(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in columns])
+        longest = F.array_position(spans, F.array_max(spans)) - 1
+        cuts = boxes.where(F.col("n") > leaf).select("box", longest.cast("int").alias("along"), F.get(F.array(*[
+            F.col(f"lo_{c}") + (F.col(f"hi_{c}") - F.col(f"lo_{c}")) / 2 for c in columns]), longest.cast("int")).alias("cut"))
+        halved = placed.join(cuts, "box", "left")
+        right = F.get(F.array(*columns), F.col("along")) > F.col("cut")
+        placed = cut_lineage(halved.select("bin", F.col("box").alias("whole"), F.when(F.col("along").isNull(), F.col("box")).otherwise(
+            F.concat("box", F.when(right, "+").otherwise("-"))).alias("box"), *columns))
+        halves = placed.select("whole", "box").distinct()
+        state = cut_lineage(open_ones.join(halves.select(F.col("whole").alias("a"), F.col("box").alias("a_new")), "a")
+                            .join(halves.select(F.col("whole").alias("b"), F.col("box").alias("b_new")), "b")
+                            .select("src", "dst", F.col("a_new").alias("a"), F.col("b_new").alias("b")))
+        placed = placed.drop("whole")
+    return found if found is not None else pairs.select("src", "dst").limit(0)
+
+
+def density_clusters(features: DataFrame, eps: float | None = None, key: str = "address", columns: list[str] | None = None) -> DataFrame:
     """(key, component) of density clusters over scaled features with at least two members; lone points drop out.
 
-    With two as the minimum, density clusters are the connected components of the "within eps" graph of the points.
+    With two as the minimum, density clusters are the connected components of the "within eps" graph of the points. Without a given
+    ``eps`` it is the median distance of the distinct points to their nearest other one (``reach``).
     Features are first binned to ``eps / (2 * sqrt(d))``; all points of a bin are closer than eps to each other, so
     a bin is one node whatever its size. Two bins whose farthest corners are within eps are linked, two whose nearest
-    sides are farther apart are not, and the points decide the rest, as far as the two bins are not already in one
+    sides are farther apart are not, and the points decide the rest (``closest_links``), as far as the two bins are not already in one
     component. Bins meet by equi-join on cells of about eps width over the three columns with the most different
     values; the distance stands in the join condition, so only near pairs leave the join, and a crowded cell is
-    split by the adaptive skew join.
+    split by the adaptive skew join. A reach of zero clusters equal points only.
     """
     columns = columns or FEATURES
+    squared = eps * eps if eps is not None else reach(features, columns)
+    if not squared:
+        named = features.groupBy(*columns).agg(F.min(key).alias("component"), F.count("*").alias("n")).where("n > 1").drop("n")
+        return features.join(named, columns).select(key, "component")
+    eps = squared ** 0.5
     limit = 4 * len(columns)  # eps squared in bin widths
     width = eps / limit ** 0.5
     side = int(limit ** 0.5) + 1
     names = [f"g{i}" for i in range(len(columns))]
-    binned = features.select(key, *columns, *[F.floor(F.col(c) / width).cast("bigint").alias(n) for c, n in zip(columns, names)])
+    binned = cut_lineage(features.select(key, *columns, *[F.floor(F.col(c) / width).cast("bigint").alias(n) for c, n in zip(columns, names)]))
     named = binned.groupBy(*names).agg(F.min(key).alias("bin"), F.count("*").alias("members"))
     bins = cut_lineage(named)
     spread = bins.agg(*[F.approx_count_distinct(n).alias(n) for n in names]).first()
@@ -321,19 +442,17 @@ def density_clusters(features: DataFrame, eps: float = EPS, key: str = "address"
         return reduce(lambda x, y: x + y, [step * step for step in steps])
 
     met = home.join(copies, [f"c_{n}" for n in wide]).where((F.col("bin") < F.col("peer")) & (apart(-1) <= limit))
-    met = cut_lineage(met.select(F.col("bin").alias("src"), F.col("peer").alias("dst"), (apart(1) <= limit).alias("sure")))
+    met = cut_lineage(met.select(F.col("bin").alias("src"), F.col("peer").alias("dst"), (apart(1) < limit).alias("sure")))
     sure = met.where("sure").select("src", "dst")
     first = connected_components(sure)
     sides = met.where("NOT sure").select("src", "dst")
     for end in ("src", "dst"):
         known = first.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
         sides = sides.join(known, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
-    points = cut_lineage(binned.join(bins.select("bin", *names), names).select("bin", *columns).distinct())
-    pairs = sides.where("src_in <> dst_in").select("src", "dst")
-    a = points.select(F.col("bin").alias("src"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = points.select(F.col("bin").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    gap = reduce(lambda x, y: x + y, [(F.col(f"a_{c}") - F.col(f"b_{c}")) * (F.col(f"a_{c}") - F.col(f"b_{c}")) for c in columns])
-    decided = pairs.join(a, "src").join(b, "dst").where(gap <= eps * eps).select("src", "dst").distinct()
+    pairs = cut_lineage(sides.where("src_in <> dst_in").select("src", "dst"))
+    wanted = pairs.select(F.col("src").alias("bin")).unionByName(pairs.select(F.col("dst").alias("bin"))).distinct()
+    points = binned.join(bins.select("bin", *names).join(wanted, "bin", "left_semi"), names).select("bin", *columns).distinct()
+    decided = closest_links(pairs, points, columns, squared)
     linked = connected_components(sure.unionByName(decided))
     labels = bins.join(linked, bins["bin"] == linked["node"], "left").select(
         *names, "members", F.coalesce("component", "bin").alias("component"))

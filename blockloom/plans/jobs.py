@@ -43,7 +43,7 @@ class Clustering:
     metadata: DataFrame
 
 
-def run_clustering(inputs: DataFrame, outputs: DataFrame, as_of: Column, eps: float = graph.EPS, size: int = 2) -> Clustering:
+def run_clustering(inputs: DataFrame, outputs: DataFrame, as_of: Column, eps: float | None = None, size: int = 2) -> Clustering:
     """Graph, features, density clusters, overlap merge, size filter, ids and labels in one pass over the tables."""
     features = AddressGraph.build(inputs, outputs).stored().features(inputs, outputs, as_of)
     scaled = patterns.standardize(cut_lineage(features), graph.FEATURES)
@@ -56,7 +56,7 @@ def run_clustering(inputs: DataFrame, outputs: DataFrame, as_of: Column, eps: fl
 
 
 def run_update(inputs: DataFrame, outputs: DataFrame, new_txids: DataFrame, mapping: DataFrame, as_of: Column,
-               eps: float = graph.EPS, size: int = 2) -> DataFrame:
+               eps: float | None = None, size: int = 2) -> DataFrame:
     """Clusters (component, address) after the transactions ``new_txids`` (column txid) have come in.
 
     Addresses of these transactions without a cluster are new. All transactions that hold a new address are related, and

@@ -40,7 +40,48 @@ STAR = """
 e AS (SELECT DISTINCT a.address AS x, b.address AS y FROM fx_input a JOIN fx_input b ON a.txid = b.txid AND a.address <> b.address),
 reach AS (SELECT DISTINCT x AS node, x AS label FROM e UNION SELECT e.y, reach.label FROM reach JOIN e ON e.x = reach.node)"""
 
+ENTITY = """
+a AS (SELECT address, sum(value) AS v, count(DISTINCT txid) AS txs, min(t) AS a, max(t) AS b FROM (
+        SELECT address, value, txid, epoch(tx_timestamp) AS t FROM fx_input UNION ALL SELECT address, value, txid, epoch(tx_timestamp) FROM fx_output) GROUP BY address),
+g AS (SELECT owner, count(*) AS n, sum(v) AS v, CAST(sum(txs) AS BIGINT) AS txs, min(a) AS a, max(b) AS b FROM own JOIN a ON a.address = own.address GROUP BY owner),
+c AS (SELECT max(timestamp + ok % 86400) AS now FROM fx_tx),
+k AS (SELECT g.*, now - b AS idle, v / n AS mean, txs / greatest((now - a) / 86400, 1) AS freq, v / greatest((now - a) / 86400, 1) AS day FROM g, c)"""
+LABEL = """CASE WHEN n > 1000 THEN 'exchange_entity'
+  WHEN mean > 1000 THEN CASE WHEN freq < 0.1 THEN 'dormant_whale' WHEN freq > 20 THEN 'exchange_hot_wallet' WHEN day > 5000 THEN 'whale_accumulator' ELSE 'institutional' END
+  WHEN freq > 10 THEN CASE WHEN day > 1000 THEN 'payment_processor' ELSE 'retail_active' END
+  WHEN n > 50 THEN CASE WHEN day > 500 THEN 'mining_pool' ELSE 'shared_custody' END
+  WHEN idle > 7776000 THEN 'dormant' ELSE 'retail' END"""
+FEATURES = "degree clustering_coefficient avg_neighbor_degree tx_count lifetime_sec recency_sec active_duration_sec avg_dwell_sec".split()
+
+
+def density(source: str, columns: list[str]) -> str:
+    """CTEs from a table of points (address, columns): scaled, the median distance to the nearest other distinct point as reach, and ``dense`` (component, address)
+    with the components of points within it."""
+    scaled = ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS {c}" for c in columns)
+    gap = " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in columns)
+    same = ", ".join(columns)
+    return f"""
+z AS (SELECT address, {scaled} FROM {source}),
+pt AS (SELECT row_number() OVER () AS i, min(address) AS first, count(*) AS n, {same} FROM z GROUP BY {same}),
+nn AS (SELECT p.i, min({gap}) AS gap FROM pt p JOIN pt q ON p.i <> q.i GROUP BY p.i),
+lim AS (SELECT coalesce(quantile_disc(gap, 0.5), 0) * (1 + 1e-9) AS lim FROM nn),
+near AS MATERIALIZED (SELECT p.i AS a, q.i AS b FROM pt p JOIN pt q ON p.i <> q.i, lim WHERE {gap} <= lim),
+lab(node, label) USING KEY (node) AS (
+  SELECT i, first FROM pt UNION SELECT near.b, min(lab.label) FROM lab JOIN near ON near.a = lab.node JOIN recurring.lab AS cur ON cur.node = near.b
+  WHERE lab.label < cur.label GROUP BY near.b),
+dense AS (SELECT label AS component, address FROM z JOIN pt USING ({same}) JOIN lab ON lab.node = pt.i
+          WHERE label IN (SELECT label FROM lab JOIN pt ON pt.i = lab.node GROUP BY label HAVING sum(n) > 1))"""
+
+
+FEAT = f"""{PAIRS}, {ENDS}, {COEFF}, {ACT},
+feat AS (SELECT deg.a AS address, CAST(d AS DOUBLE) AS degree, CAST(cc AS DOUBLE) AS clustering_coefficient, nd AS avg_neighbor_degree,
+  CAST(n AS DOUBLE) AS tx_count, CAST(now - act.a AS DOUBLE) AS lifetime_sec, CAST(now - act.b AS DOUBLE) AS recency_sec,
+  CAST(act.b - act.a AS DOUBLE) AS active_duration_sec, CAST(CASE WHEN n > 1 THEN (act.b - act.a) / (n - 1) ELSE 0 END AS DOUBLE) AS avg_dwell_sec
+  FROM deg JOIN cc ON cc.a = deg.a JOIN nd ON nd.a = deg.a JOIN act ON act.address = deg.a, clock)"""
+# The same over the transactions that hold a new address.
+RELATED = FEAT.replace("fx_input", "rin").replace("fx_output", "rout")
 SQL = {
+    "density_clusters": f"WITH {FEAT}, {density('feat', FEATURES)} SELECT component, address FROM dense",
     "edges_common_input": folded("common"),
     "edges_change": folded("change"),
     "address_graph": folded("(common + change)", """,
@@ -75,17 +116,23 @@ FROM own GROUP BY owner""",
     "min_size_filter": f"""
 WITH {OWNER} SELECT CAST(owner AS VARCHAR) AS component, address FROM own WHERE owner IN (SELECT owner FROM own GROUP BY owner HAVING count(*) >= 2)""",
     "entity_type": f"""
+WITH {OWNER}, {ENTITY}
+SELECT CAST(owner AS VARCHAR) AS cluster_id, n AS cluster_size, round(v, 6) AS value, txs, {LABEL} AS entity_type FROM k""",
+    "clustering_job": f"""
+WITH {FEAT}, {density('feat', FEATURES)}, own AS (SELECT component AS owner, address FROM dense), {ENTITY},
+id AS (SELECT owner, {CLUSTER_ID} AS cluster_id FROM own GROUP BY owner),
+t AS (SELECT strftime(to_timestamp(now)::TIMESTAMP, '%Y-%m-%d %H:%M:%S') AS t FROM c)
+SELECT cluster_id, {LABEL} AS entity_type, n AS cluster_size, t.t AS first_seen, t.t AS last_active FROM k JOIN id ON id.owner = k.owner, t""",
+    "incremental_clusters": f"""
 WITH {OWNER},
-a AS (SELECT address, sum(value) AS v, count(DISTINCT txid) AS txs, min(t) AS a, max(t) AS b FROM (
-        SELECT address, value, txid, epoch(tx_timestamp) AS t FROM fx_input UNION ALL SELECT address, value, txid, epoch(tx_timestamp) FROM fx_output) GROUP BY address),
-g AS (SELECT owner, count(*) AS n, sum(v) AS v, CAST(sum(txs) AS BIGINT) AS txs, min(a) AS a, max(b) AS b FROM own JOIN a ON a.address = own.address GROUP BY owner),
-c AS (SELECT max(timestamp + ok % 86400) AS now FROM fx_tx),
-k AS (SELECT g.*, now - b AS idle, v / n AS mean, txs / greatest((now - a) / 86400, 1) AS freq, v / greatest((now - a) / 86400, 1) AS day FROM g, c)
-SELECT CAST(owner AS VARCHAR) AS cluster_id, n AS cluster_size, round(v, 6) AS value, txs, CASE WHEN n > 1000 THEN 'exchange_entity'
-  WHEN mean > 1000 THEN CASE WHEN freq < 0.1 THEN 'dormant_whale' WHEN freq > 20 THEN 'exchange_hot_wallet' WHEN day > 5000 THEN 'whale_accumulator' ELSE 'institutional' END
-  WHEN freq > 10 THEN CASE WHEN day > 1000 THEN 'payment_processor' ELSE 'retail_active' END
-  WHEN n > 50 THEN CASE WHEN day > 500 THEN 'mining_pool' ELSE 'shared_custody' END
-  WHEN idle > 7776000 THEN 'dormant' ELSE 'retail' END AS entity_type FROM k""",
+known AS (SELECT address, owner FROM own WHERE address IN (SELECT o.address FROM fx_output o JOIN fx_tx t ON t.txid = o.txid WHERE t.status = 'F')),
+sides AS (SELECT txid, address FROM fx_input UNION ALL SELECT txid, address FROM fx_output),
+fresh AS (SELECT DISTINCT address FROM sides WHERE txid IN (SELECT txid FROM fx_tx WHERE status <> 'F') AND address NOT IN (SELECT address FROM known)),
+rel AS (SELECT DISTINCT txid FROM sides WHERE address IN (FROM fresh)),
+rin AS (SELECT * FROM fx_input WHERE txid IN (FROM rel)), rout AS (SELECT * FROM fx_output WHERE txid IN (FROM rel)),
+{RELATED}, mine AS (SELECT * FROM feat WHERE address IN (FROM fresh)), {density('mine', FEATURES)},
+every AS (SELECT 'old:' || owner AS component, address FROM known UNION ALL SELECT 'new:' || component, address FROM dense)
+SELECT component, address FROM every WHERE component IN (SELECT component FROM every GROUP BY component HAVING count(*) >= 2)""",
     "current_clusters": f"WITH {OWNER} SELECT CAST(owner AS VARCHAR) AS cluster_id, count(*) AS members, min(address) AS first_member FROM own GROUP BY owner",
     "cluster_history": f"""
 WITH {OWNER},

@@ -140,6 +140,59 @@ def test_density_clusters_with_points_near_the_limit(spark):
     assert {r.address: r.component for r in graph.density_clusters(df, 0.9, columns=["x", "y", "z"]).collect()} == plain_components(near)
 
 
+def test_neighbour_distances_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    points = [tuple(rng.gauss(c, 0.02) for c in rng.choice([(0, 0, 0, 0), (3, 3, 0, 1), (0.5, 0, 9, 9)])) for _ in range(150)]
+    points += [(50.0, 50.0, 50.0, 50.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0), (-0.001, 0.0, 0.0, 0.0)]
+    columns = ["w", "x", "y", "z"]
+    df = spark.createDataFrame(points, "w double, x double, y double, z double")
+    plain = sorted(set(points))
+    for k in (1, 3):
+        want = {p: sorted(sum((u - v) ** 2 for u, v in zip(p, q)) for q in plain if q != p)[k - 1] for p in plain}
+        got = {tuple(r)[:4]: r.gap for r in graph.neighbour_distances(df, columns, k).collect()}
+        assert got == pytest.approx(want) and len(got) == len(want)
+        assert graph.reach(df, columns, k) == pytest.approx(sorted(want.values())[(len(want) - 1) // 2])
+    assert graph.reach(df.limit(1), columns) == 0.0 and graph.reach(df.limit(0), columns) == 0.0
+
+
+def test_density_clusters_with_the_median_reach(spark):
+    rng = random.Random(8)
+    points = [(f"p{i:03}", *[rng.choice([0, 4, 9]) + rng.gauss(0, 0.3) for _ in range(3)]) for i in range(160)]
+    df = spark.createDataFrame(points, "address string, x double, y double, z double")
+    gaps = {(p[0], q[0]): sum((u - v) ** 2 for u, v in zip(p[1:], q[1:])) for p, q in itertools.combinations(sorted(points), 2)}
+    nearest = sorted(min(gap for pair, gap in gaps.items() if p[0] in pair) for p in points)
+    want = plain_components([pair for pair, gap in gaps.items() if gap <= nearest[79]])
+    got = {r.address: r.component for r in graph.density_clusters(df, columns=["x", "y", "z"]).collect()}
+    assert got == want
+    same = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "address string, x double")
+    assert {r.address: r.component for r in graph.density_clusters(same, columns=["x"]).collect()} == {"a": "a", "b": "a", "c": "a"}
+
+
+def test_links_of_crowded_bins_take_few_comparisons(spark):
+    """Two bins of 10^5 distinct points each, 10^10 pairs: a link is found, or shown to be absent, with at most 2 * 10^6 comparisons."""
+    n = 100_000
+    axis = spark.range(n).select("id", ((F.col("id") % 317) / 317).alias("x"), ((F.col("id") / 317).cast("int") / 317).alias("y"))
+    left = axis.select(F.lit("a").alias("bin"), "x", "y")
+    for gap, linked in ((0.5, True), (0.4999, False)):
+        right = axis.select(F.lit("b").alias("bin"), (F.col("x") + (316 / 317 + 0.5)).alias("x"), (F.col("y") + 0.0001).alias("y"))
+        compared = []
+        pairs = spark.createDataFrame([("a", "b")], "src string, dst string")
+        found = graph.closest_links(pairs, left.unionByName(right), ["x", "y"], (gap + 1e-7) ** 2, compared=compared)
+        assert (found.count() == 1) is linked and sum(compared) < 2_000_000
+
+
+def test_closest_links_equal_all_pairs(spark):
+    rng = random.Random(12)
+    points = [(f"b{i % 7}", rng.gauss(i % 7, 0.8), rng.gauss(0, 1)) for i in range(500)]
+    df = spark.createDataFrame(points, "bin string, x double, y double")
+    pairs = [(f"b{i}", f"b{j}") for i in range(7) for j in range(i + 1, 7)]
+    for limit in (1e-5, 1e-3, 0.1, 4.0):
+        want = {(a, b) for a, b in pairs if any((p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2 <= limit for p in points if p[0] == a for q in points if q[0] == b)}
+        for leaf in (2, 64):
+            got = graph.closest_links(spark.createDataFrame(pairs, "src string, dst string"), df, ["x", "y"], limit, leaf)
+            assert {tuple(r) for r in got.collect()} == want
+
+
 def test_cluster_ids(spark):
     rows = [("c", f"a{i}") for i in (3, 1, 2)] + [("d", "z")]
     got = {r.component: (r.cluster_id, r.cluster_size) for r in entities.cluster_ids(spark.createDataFrame(rows, "component string, address string")).collect()}
