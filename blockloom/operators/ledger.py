@@ -45,15 +45,17 @@ def extract_outputs(blocks: DataFrame, prices: DataFrame | None = None) -> DataF
     return attach_price(outs, prices) if prices is not None else outs
 
 
-def extract_spends(blocks: DataFrame) -> DataFrame:
-    """One row per input that names a previous output; newly minted coins have none."""
-    return _spends(_exploded(blocks).select(F.col("tx.txid").alias("spent_in_txid"), F.explode("tx.vin").alias("i")))
+def extract_spends(blocks: DataFrame, with_height: bool = False) -> DataFrame:
+    """One row per input that names a previous output; newly minted coins have none. Optionally with the height of the spending block."""
+    kept = [F.col("height").alias("block_height")] if with_height else []
+    rows = _exploded(blocks).select(F.col("tx.txid").alias("spent_in_txid"), *kept, F.explode("tx.vin").alias("i"))
+    return _spends(rows, ["block_height"] if with_height else [])
 
 
-def _spends(inputs: DataFrame) -> DataFrame:
+def _spends(inputs: DataFrame, kept: list[str] | None = None) -> DataFrame:
     named = F.col("i.txid").isNotNull() & F.col("i.vout").isNotNull()
     return inputs.where(named).select(
-        F.col("i.txid").alias("prev_txid"), F.col("i.vout").alias("prev_vout"), "spent_in_txid")
+        F.col("i.txid").alias("prev_txid"), F.col("i.vout").alias("prev_vout"), "spent_in_txid", *(kept or []))
 
 
 def received_delta(outputs: DataFrame) -> DataFrame:

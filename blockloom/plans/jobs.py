@@ -86,18 +86,29 @@ HISTORY = "cluster_id string, parent_id string, address string, version int, tim
 
 
 class Ledger:
-    """Stored ledger: transactions, outputs and spends per synced range, and address snapshots.
+    """Stored ledger: transactions, outputs and spends per synced range, and received totals per address.
 
     A range is committed by its row in ``synced``, written last; until then its folders are ignored, and the
-    next sync of the same start overwrites them.
+    next sync of the same start overwrites them. A row in ``cancelled`` takes back the heights from one on of all ranges committed
+    before it. Both rows carry a step number, which is also the version of the address table that belongs to them.
     """
 
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, buckets: int = 64):
         self.spark, self.base = spark, base.rstrip("/")
-        self.addresses = tables.SnapshotTable(spark, f"{self.base}/addresses", ADDRESSES)
+        self.addresses = tables.BucketTable(spark, f"{self.base}/addresses", ADDRESSES, ["address"], buckets)
 
     def synced(self) -> DataFrame:
-        return readers.read_table(self.spark, f"{self.base}/synced", "first int, last int")
+        """Committed ranges with the last of their heights that still counts: (first, last, step)."""
+        ranges = readers.read_table(self.spark, f"{self.base}/synced", "first int, last int, step bigint")
+        cancelled = readers.read_table(self.spark, f"{self.base}/cancelled", "height int, step bigint")
+        cuts = cancelled.select("height", F.col("step").alias("cut_step"))
+        cut = ranges.join(cuts, F.col("step") < F.col("cut_step"), "left").groupBy("first", "last", "step").agg(F.min("height").alias("cut"))
+        return cut.select("first", F.least("last", F.col("cut") - 1).alias("last"), "step").where("last >= first")
+
+    def step(self) -> int:
+        """Number of the newest committed step, 0 when nothing is stored."""
+        logs = [readers.read_table(self.spark, f"{self.base}/{name}", "step bigint").select("step") for name in ("synced", "cancelled")]
+        return logs[0].unionByName(logs[1]).agg(F.coalesce(F.max("step"), F.lit(0))).first()[0]
 
     def latest(self) -> int:
         """Last committed height, -1 when nothing is stored."""
@@ -105,23 +116,35 @@ class Ledger:
 
     def table(self, name: str) -> DataFrame:
         """Committed rows of a ledger table."""
-        committed = self.synced().select("first")
-        return self.spark.read.parquet(f"{self.base}/{name}").join(committed, "first", "left_semi").drop("first")
+        committed = self.synced().select("first", F.col("last").alias("__last"))
+        rows = self.spark.read.parquet(f"{self.base}/{name}").join(committed, "first")
+        return rows.where(F.col("block_height") <= F.col("__last")).drop("first", "__last")
 
     def outputs(self) -> DataFrame:
         """Outputs with their spent state applied."""
-        return ledger.mark_spent(self.table("outputs"), self.table("spends"))
+        return ledger.mark_spent(self.table("outputs"), self.table("spends").drop("block_height"))
 
-    def sync(self, blocks: DataFrame, end: int | None = None, prices: DataFrame | None = None) -> tuple[int, int] | None:
+    def received(self) -> DataFrame:
+        """Received totals per address as of the newest committed step."""
+        return self.addresses.read(before=self.step() + 1)
+
+    def sync(self, blocks: DataFrame, end: int | None = None, prices: DataFrame | None = None, redo: int = 0) -> tuple[int, int] | None:
         """Load the unbroken run of heights after the last stored one; returns it, or None when there is none.
 
+        ``redo`` heights at the end are taken back first, if the documents hold the first of them, so that a replaced end of the chain is loaded anew.
         Documents are parsed once into a staging table. The run of heights and the three ledger tables then
         read just the nested columns they need. Pass only documents that may be new (``read_blocks`` can
         select files by time), not the whole archive.
         """
         latest = self.latest()
-        tables.write_keyed(blocks.where(F.col("height") > latest), f"{self.base}/staging", "after", latest)
-        offered = self.spark.read.schema(schemas.BLOCK).parquet(f"{self.base}/staging/after={latest}")
+        if redo and latest >= 0:
+            start = max(0, latest - redo + 1)
+            if not blocks.where(F.col("height") == start).isEmpty():
+                self.retract(start)
+                latest = self.latest()
+        step = self.step() + 1
+        tables.write_keyed(blocks.where(F.col("height") > latest), f"{self.base}/staging", "step", step)
+        offered = self.spark.read.schema(schemas.BLOCK).parquet(f"{self.base}/staging/step={step}")
         first, last = ledger.contiguous_heights(offered, latest, end).agg(F.min("height"), F.max("height")).first()
         if first is None:
             return None
@@ -130,36 +153,64 @@ class Ledger:
         parts = {"transactions": ledger.extract_transactions(staged, prices), "outputs": outputs}
         for name, rows in parts.items():
             tables.write_keyed(tables.by_height(rows), f"{self.base}/{name}", "first", first, "height_bucket")
-        tables.write_keyed(ledger.extract_spends(staged), f"{self.base}/spends", "first", first)
-        self.addresses.write(ledger.upsert_addresses(self.addresses.read(before=first + 1), ledger.received_delta(outputs)), first + 1)
-        done = self.spark.range(1).select(F.lit(first).alias("first"), F.lit(last).alias("last"))
+        tables.write_keyed(ledger.extract_spends(staged, with_height=True), f"{self.base}/spends", "first", first)
+        deltas = cut_lineage(ledger.received_delta(outputs))
+        self.addresses.merge(deltas, ledger.upsert_addresses, step)
+        done = self.spark.range(1).select(F.lit(first).alias("first"), F.lit(last).alias("last"), F.lit(step).cast("bigint").alias("step"))
         done.write.mode("overwrite").parquet(f"{self.base}/synced/at={first}")
         return first, last
 
+    def retract(self, height: int) -> int:
+        """Take back all committed heights from ``height`` on; returns how many there were.
+
+        Transactions, outputs and spends of these heights no longer count, so outputs that they spent are unspent again. Addresses that
+        received in them get totals and times from what is left; those with nothing left go. Only their buckets are written.
+        """
+        latest = self.latest()
+        if latest < height:
+            return 0
+        step = self.step() + 1
+        outputs = self.table("outputs")
+        gone = cut_lineage(outputs.where(F.col("block_height") >= height).select("address").distinct())
+        asked = gone.select(F.col("address").alias("__gone"))
+        same = F.col("address").eqNullSafe(F.col("__gone"))  # outputs without an address have a total, too
+        left = outputs.where(F.col("block_height") < height).join(asked, same, "left_semi")
+        again = ledger.upsert_addresses(self.spark.createDataFrame([], ADDRESSES), ledger.received_delta(left))
+        self.addresses.merge(gone, lambda stored, _: stored.join(asked, same, "left_anti").unionByName(again), step)
+        mark = self.spark.range(1).select(F.lit(height).alias("height"), F.lit(step).cast("bigint").alias("step"))
+        tables.write_keyed(mark, f"{self.base}/cancelled", "at", step)
+        return latest - height + 1
+
 
 class ClusterStore:
-    """Versioned address map, cluster metadata and history."""
+    """Versioned address map, cluster metadata and history; a version writes only the buckets with rows that changed."""
 
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, buckets: int = 64):
         self.spark, self.base = spark, base.rstrip("/")
-        self.mapping = tables.SnapshotTable(spark, f"{self.base}/address_clusters", MAPPING)
-        self.metadata = tables.SnapshotTable(spark, f"{self.base}/cluster_metadata", METADATA)
+        self.mapping = tables.BucketTable(spark, f"{self.base}/address_clusters", MAPPING, ["address"], buckets)
+        self.metadata = tables.BucketTable(spark, f"{self.base}/cluster_metadata", METADATA, ["cluster_id"], buckets)
 
     def history(self) -> DataFrame:
         return readers.read_table(self.spark, f"{self.base}/cluster_history", HISTORY)
 
     def store(self, mapping: DataFrame, metadata: DataFrame, as_of: AsOf) -> int:
         """Store a clustering as the next version. Known clusters keep their metadata; map rows of clusters
-        without metadata are refused. The version counts only once the map, written last, is committed."""
+        without metadata are refused. A row of the map that stays as it was keeps its time. The version counts only once the map, written last, is committed."""
         version = (self.mapping.version() or 0) + 1
         old_map, old_meta = self.mapping.read(), self.metadata.read(before=version)
-        fresh = metadata.withColumn("version", F.lit(version)).select(*[c.split(" ")[0] for c in METADATA.split(", ")])
-        kept = cut_lineage(old_meta.unionByName(fresh.join(old_meta.select("cluster_id"), "cluster_id", "left_anti")))
+        offered = metadata.withColumn("version", F.lit(version)).select(*[c.split(" ")[0] for c in METADATA.split(", ")])
+        fresh = cut_lineage(offered.join(old_meta.select("cluster_id"), "cluster_id", "left_anti"))
         rows = cut_lineage(mapping.select("address", "cluster_id", moment(as_of).alias("last_updated")))
-        missing = rows.join(kept.select("cluster_id"), "cluster_id", "left_anti").limit(1).count()
-        if missing:
+        known = old_meta.select("cluster_id").unionByName(fresh.select("cluster_id"))
+        if not rows.join(known, "cluster_id", "left_anti").isEmpty():
             raise ValueError("a cluster of the address map has no metadata")
-        self.metadata.write(kept, version)
+        self.metadata.merge(fresh, lambda stored, new: stored.unionByName(new), version)
         trail = entities.cluster_history(old_map, rows, version, as_of)
         tables.write_keyed(trail.drop("version"), f"{self.base}/cluster_history", "version", version)
-        return self.mapping.write(rows, version)
+        both = rows.select("address", F.col("cluster_id").alias("new")).join(old_map.select("address", F.col("cluster_id").alias("old")), "address", "full")
+        changed = cut_lineage(both.where(~F.col("new").eqNullSafe(F.col("old"))).select("address"))
+
+        def replaced(stored: DataFrame, asked: DataFrame) -> DataFrame:
+            return stored.join(asked, "address", "left_anti").unionByName(rows.join(asked, "address", "left_semi"))
+
+        return self.mapping.merge(changed, replaced, version)

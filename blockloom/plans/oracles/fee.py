@@ -123,3 +123,14 @@ WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01'
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", round(fee, 6) AS avg_fast_fee, polls
 FROM w WHERE s + INTERVAL 6 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM fx_fee)"""
 SQL["stream_value_insights"] = SQL["value_insights"]
+POLLS = """
+p AS (SELECT timestamp, fast_fee, hour(timestamp) % 6 = 0 AS held, time_bucket(INTERVAL 6 HOUR, timestamp, TIMESTAMP '1970-01-01') AS s FROM fx_fee),
+m AS (SELECT max(timestamp) FILTER (WHERE NOT held) - INTERVAL 12 HOUR AS wm, max(timestamp) - INTERVAL 12 HOUR AS last FROM p)"""
+SQL["stream_late_polls"] = f"""
+WITH {POLLS}
+SELECT CAST(0 AS BIGINT) AS batch, CAST(NULL AS VARCHAR) AS watermark, count(*) AS polls, CAST(0 AS BIGINT) AS late FROM p WHERE NOT held
+UNION ALL SELECT 1, strftime(wm, '%Y-%m-%d %H:%M:%S'), count(*), CAST(count_if(s + INTERVAL 6 HOUR <= wm) AS BIGINT) FROM p, m WHERE held GROUP BY wm"""
+SQL["stream_late_windows"] = f"""
+WITH {POLLS}
+SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, strftime(s + INTERVAL 6 HOUR, '%Y-%m-%d %H:%M:%S') AS "end", round(avg(fast_fee), 6) AS avg_fast_fee, count(*) AS polls
+FROM p, m WHERE s + INTERVAL 6 HOUR <= last AND (NOT held OR s + INTERVAL 6 HOUR > wm) GROUP BY s"""

@@ -77,3 +77,9 @@ FROM fx_utxo u JOIN fx_tx t ON u.spent_in_txid = t.txid""",
 SELECT i.txid, i.address, i.sats, strftime((SELECT w.timestamp FROM fx_whale w WHERE w.txid = i.txid), '%Y-%m-%d %H:%M:%S') AS tx_timestamp
 FROM fx_input i""",
 }
+SQL["ledger_resync"] = """
+WITH d AS (SELECT DISTINCT block_height FROM fx_tx ORDER BY 1 DESC LIMIT 2),
+t AS (SELECT * FROM fx_tx WHERE block_height NOT IN (FROM d) OR ok % 2 = 0),
+o AS (SELECT u.address, u.value, t.timestamp, u.spent AND u.spent_in_txid IN (SELECT txid FROM t) AS spent FROM fx_utxo u JOIN t ON t.txid = u.txid)
+SELECT address, CAST(sum(value) AS BIGINT) AS balance, min(timestamp) AS first_seen, max(timestamp) AS last_seen, count(*) AS outputs,
+       CAST(count_if(spent) AS BIGINT) AS spent FROM o GROUP BY address"""

@@ -106,3 +106,4 @@ WITH {SIDES}
 SELECT strftime((SELECT max(timestamp) FROM fx_whale), '%Y-%m-%d %H:%M:%S') AS timestamp, txid, kind AS alert_type, round(btc, 6) AS amount_btc,
        round(usd, 6) AS amount_usd, round(rate, 6) AS fee_rate FROM fired"""
 SQL["stream_alerts"] = f"WITH {SIDES} SELECT txid, kind AS alert_type, hash AS event_hash FROM fired"
+SQL["stream_alerts_bounded"] = SQL["stream_alerts"]

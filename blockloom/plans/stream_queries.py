@@ -50,6 +50,43 @@ def _(fx: Fixtures) -> DataFrame:
     return stored.select("txid", "alert_type", "event_hash")
 
 
+@query("stream_alerts_bounded")
+def _(fx: Fixtures) -> DataFrame:
+    """All transactions are dropped twice; repetitions within the span are known by the state, older ones are too late."""
+    drops, out, checkpoint = places(fx)
+    columns = ["timestamp", *[c.split(" ")[0] for c in schemas.ALERT_INPUT.split(", ")]]
+    for _ in range(2):
+        fx.alert_input.select(*columns).write.mode("append").json(drops)
+        finish(streams.recent_alerts(fx.spark, drops, out, checkpoint, "3 days"))
+    stored = read_table(fx.spark, out, f"{schemas.ALERT_HISTORY}, event_hash string, message string, batch int")
+    return stored.select("txid", "alert_type", "event_hash")
+
+
+def late_drops(fx: Fixtures, folder: str, part: int) -> None:
+    """Of the polls, first all but those of every sixth hour, then the ones left out, most of them too late."""
+    held = F.hour("timestamp") % 6 == 0
+    fx.histograms.where(held if part else ~held).select("timestamp", F.to_json("histogram").alias("histogram")).write.mode("append").json(folder)
+
+
+@query("stream_late_polls")
+def _(fx: Fixtures) -> DataFrame:
+    drops, out, checkpoint = places(fx)
+    for part in range(2):
+        late_drops(fx, drops, part)
+        finish(streams.late_polls(fx.spark, drops, out, checkpoint, "12 hours", "6 hours"))
+    return read_table(fx.spark, out, "batch int, watermark timestamp, polls bigint, late bigint").where("polls > 0")
+
+
+@query("stream_late_windows")
+def _(fx: Fixtures) -> DataFrame:
+    """Windows that the watermark has closed, without the polls that came too late for them."""
+    drops, out, checkpoint = places(fx)
+    for part in range(2):
+        late_drops(fx, drops, part)
+        finish(streams.store_fee_windows(streams.fee_windows(fx.spark, drops, "12 hours", "6 hours"), out, checkpoint))
+    return read_table(fx.spark, out, "start timestamp, end timestamp, avg_fast_fee double, polls bigint")
+
+
 @query("stream_fee_windows")
 def _(fx: Fixtures) -> DataFrame:
     """Windows of six hours; those that end after the watermark are still open and not stored."""

@@ -7,7 +7,7 @@ from blockloom.functions.columns import seconds, where_height
 from blockloom.operators import balances, ledger, market, tables
 from blockloom.plans.jobs import Ledger
 from blockloom.sources import readers
-from blockloom.sources.tables import SnapshotTable, append_new
+from blockloom.sources.tables import BucketTable, SnapshotTable, append_new
 
 
 def out(n, value, **script):
@@ -105,6 +105,69 @@ def test_uncommitted_range_is_ignored_and_overwritten(spark, tmp_path, chain):
     assert store.table("outputs").count() == 5
 
 
+def state(store):
+    outs = store.outputs().select("txid", "vout", "address", "value", "block_height", "spent", "spent_in_txid")
+    return (rows(outs, *outs.columns), rows(store.table("transactions"), "txid", "block_height"),
+            rows(store.received(), "address", "balance", "first_seen", "last_seen"))
+
+
+def test_a_replaced_end_of_the_chain_equals_a_fresh_load(spark, tmp_path):
+    """The last two blocks come again with other transactions; outputs they had spent are unspent, and totals are as if loaded once."""
+    def chain_of(name, blocks):
+        drop(tmp_path / name, blocks, "all.json")
+        return readers.read_blocks(spark, str(tmp_path / name))
+
+    base = [block(h, body(f"c{h}", [], [out(0, 1.0 + h, address=f"m{h}"), out(1, 0.5, address="shared")])) for h in range(5)]
+    old = [block(5, body("x", [{"txid": "c1", "vout": 0}, {"txid": "c0", "vout": 1}], [out(0, 2.0, address="gone"), out(1, 1.0, address="m3")])),
+           block(6, body("y", [{"txid": "x", "vout": 0}], [out(0, 1.9, address="shared")]))]
+    new = [block(5, body("x2", [{"txid": "c2", "vout": 0}], [out(0, 2.5, address="fresh")])), block(6, body("y2", [{"txid": "c0", "vout": 1}], [out(0, 0.4, address="m4")])),
+           block(7, body("z2", [{"txid": "x2", "vout": 0}], [out(0, 2.4, address="shared")]))]
+    store, fresh = Ledger(spark, str(tmp_path / "a"), buckets=4), Ledger(spark, str(tmp_path / "b"), buckets=4)
+    first, second = chain_of("old", base + old), chain_of("new", new)
+    assert store.sync(first) == (0, 6) and store.sync(second, redo=2) == (5, 7) and store.latest() == 7
+    assert fresh.sync(chain_of("whole", base + new)) == (0, 7)
+    assert state(store) == state(fresh)
+    assert "gone" not in dict(rows(store.received(), "address", "balance"))
+    assert store.sync(second, redo=2) is not None and state(store) == state(fresh)  # heights 6 and 7 once more
+    assert store.sync(chain_of("none", base), redo=2) is None and state(store) == state(fresh)  # documents without the end take nothing back
+    assert store.retract(2) == 6 and store.latest() == 1 and store.retract(2) == 0
+    again = Ledger(spark, str(tmp_path / "c"), buckets=4)
+    again.sync(chain_of("short", base[:2]))
+    assert state(store) == state(again)
+    assert store.sync(chain_of("rest", base[2:] + new)) == (2, 7) and state(store) == state(fresh)
+
+
+def test_a_merge_writes_only_the_buckets_it_touches(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "t"), "k string, v int", ["k"], 16)
+    first = spark.createDataFrame([(f"k{i}", i) for i in range(200)] + [("", -1)], table.schema)
+    assert table.read().count() == 0 and table.version() is None
+
+    def files():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "data").rglob("*.parquet")}
+
+    def newer(stored, batch):
+        return stored.join(batch.select("k"), "k", "left_anti").unionByName(batch)
+
+    assert table.merge(first, newer) == 1 and rows(table.read(), "k", "v") == rows(first, "k", "v")
+    before = files()
+    batch = spark.createDataFrame([("k7", 700), ("new", 1)], table.schema)
+    touched = table.touched(batch)
+    assert table.merge(batch, newer) == 2 and len(touched) <= 2
+    after = files()
+    assert all(after[p] == t for p, t in before.items())  # nothing that was there is rewritten
+    assert {int(p.parent.name.split("=")[1]) for p in after if "version=2" in str(p)} == set(touched)
+    want = dict(rows(first, "k", "v")) | {"k7": 700, "new": 1}
+    assert dict(rows(table.read(), "k", "v")) == want and dict(rows(table.read(before=2), "k", "v")) == dict(rows(first, "k", "v"))
+    plan = table.lookup(batch)._jdf.queryExecution().executedPlan().toString()
+    assert rows(table.lookup(batch), "k", "v") == [("k7", 700), ("new", 1)] and plan.count("bucket=") <= len(touched)
+    gone = spark.createDataFrame([(f"k{i}", 0) for i in range(200)], table.schema)
+    table.merge(gone, lambda stored, batch: stored.join(batch.select("k"), "k", "left_anti"))
+    assert rows(table.read(), "k", "v") == [("", -1), ("new", 1)]
+    spark.createDataFrame([("lost", 9)], table.schema).write.parquet(str(tmp_path / "t" / "data" / "version=4" / "bucket=0"))
+    assert table.read().where("k = 'lost'").count() == 0  # no manifest row
+    assert table.merge(spark.createDataFrame([], table.schema), newer) == 4 and table.read().count() == 2
+
+
 def test_snapshot_versions(spark, tmp_path):
     table = SnapshotTable(spark, str(tmp_path / "t"), "k string, v int")
     assert table.read().count() == 0

@@ -73,3 +73,30 @@ def test_insights_follow_the_merged_table(spark, tmp_path):
     newest = fees.latest_batch(read_table(spark, out, f"{schemas.VALUE_INSIGHTS}, batch int"), "generated_at")
     got = {r.amount_range: r.transaction_count for r in newest.collect()}
     assert got == {"0-1 BTC": 0, "1-10 BTC": 0, "10-50 BTC": 2, "50-100 BTC": 1, ">100 BTC": 0}
+
+
+def test_bounded_alerts_fire_once_within_the_span(spark, tmp_path):
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+
+    def doc(txid, hours):
+        return {"timestamp": (T0 + timedelta(hours=hours)).isoformat(), "txid": txid, "sum_btc_sent": 20.0, "sum_usd_sent": 1.5e6, "fee_per_vbyte": 50.0,
+                "tx_in_addr": ["i"], "tx_out_addr": ["o"]}
+
+    drop(src, "a.json", [doc("t", 0), doc("t", 1), doc("u", 30)])
+    finish(streams.recent_alerts(spark, str(src), out, ck))
+    drop(src, "b.json", [doc("u", 31), doc("v", 7), doc("late", 1)])  # the watermark is at hour six
+    query = finish(streams.recent_alerts(spark, str(src), out, ck))
+    assert sorted(r.txid for r in spark.read.parquet(out).collect()) == ["t", "u", "v"]
+    assert sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]) == 1
+
+
+def test_late_polls_are_counted(spark, tmp_path):
+    src, out, ck = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
+    drop(src, "a.json", [poll(i * 20, [[10 + i, 2000000]]) for i in range(12)])  # up to 3:40, watermark 2:40
+    finish(streams.late_polls(spark, str(src), out, ck))
+    drop(src, "b.json", [poll(1, [[99, 2000000]]), poll(119, [[9, 1]]), poll(121, [[9, 1]]), poll(600, [[7, 2000000]]), poll(5, [])])
+    finish(streams.late_polls(spark, str(src), out, ck))
+    drop(src, "c.json", [poll(400, [[9, 1]]), poll(541, [[9, 1]])])  # watermark 9:00
+    finish(streams.late_polls(spark, str(src), out, ck))
+    got = [(r.batch, r.polls, r.late) for r in read_table(spark, out, "batch int, watermark timestamp, polls bigint, late bigint").orderBy("batch").collect()]
+    assert got == [(0, 12, 0), (1, 4, 2), (2, 2, 1)]
