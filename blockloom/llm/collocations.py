@@ -4,9 +4,11 @@ Texts are cut into pieces at punctuation and line ends, pieces into words; all c
 
 * Words are counted first. Those below the threshold end a run of words, as no phrase across them can reach it; tasks know them by a bit set
   of fixed size in the shared folder (a bit may be set for a rare word, which costs room and changes no count).
-* A shard, a bounded number of words, sorts the five words from each of its positions (fewer at the end of a run), folds equal ones and builds a
+* A shard, a bounded number of words, sorts the words from each of its positions, folds equal ones and builds a
   transducer: an arc holds a word and how many positions take it on this path, so the weight of a path is the count of its phrase in the shard.
   States with equal arcs, weights and targets are one.
+* This is done twice. Transducers of word pairs give the frequent pairs, a second bit set; a rare pair ends a run as well, and what is left goes
+  into transducers of up to five words, which are small.
 * Transducers are cut into prefix ranges, by a hash of the first two words. Those of a range meet in one task, where their union is walked in
   breadth: arcs of a common prefix are added up by word, and a prefix below the threshold ends there.
 * The union of a range is written as a transducer again. Parts of a phrase at its start are on its own path; a part at its end is looked up by
@@ -86,17 +88,17 @@ def _word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _write_filter(words: DataFrame) -> str:
-    """The folder of the bit set of (lang, word) hashes, in rows of a fixed number of bits."""
-    folder = common.new_folder(words.sparkSession, "word-bits")
-    place = F.shiftrightunsigned(F.xxhash64("lang", "word"), 64 - FILTER_BITS)
-    bits = words.select(place.alias("place")).groupBy(F.expr(f"place div {ROW_BITS}").alias("row")).agg(
+def _write_filter(hashes: DataFrame, column: Column) -> str:
+    """The folder of the bit set of 64-bit hashes, in rows of a fixed number of bits."""
+    folder = common.new_folder(hashes.sparkSession, "bits")
+    place = F.shiftrightunsigned(column, 64 - FILTER_BITS)
+    bits = hashes.select(place.alias("place")).groupBy(F.expr(f"place div {ROW_BITS}").alias("row")).agg(
         F.bitmap_construct_agg(F.col("place") % ROW_BITS).alias("bits"))
     bits.coalesce(8).write.parquet(folder)
     return folder
 
 
-@functools.lru_cache(maxsize=1)
+@functools.lru_cache(maxsize=2)
 def _read_filter(folder: str) -> np.ndarray:
     store, inner = common.open_folder(folder)
     out = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
@@ -220,18 +222,19 @@ class Automaton:
 
 
 def union(parts: list[Automaton], least: int) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-    """Words, and for each depth (parent, word, weight) of the paths whose weights over all parts add up to ``least``."""
+    """Words, and for each depth (parent, word, weight) of the paths whose weights over all parts, of equal depth, add up to ``least``."""
     words = sorted(set().union(*[part.words for part in parts]))
     number = {word: i for i, word in enumerate(words)}
     renamed = [np.array([number[word] for word in part.words], np.int64) for part in parts]
     nodes, group = [], np.zeros(len(parts), np.int64)
-    depth_bases = [np.cumsum([0, *[len(part.levels[d][0]) for part in parts]]) for d in range(LONGEST)]
+    deepest = len(parts[0].levels)
+    depth_bases = [np.cumsum([0, *[len(part.levels[d][0]) for part in parts]]) for d in range(deepest)]
     state = depth_bases[0][:-1].copy()
-    for depth in range(LONGEST):
+    for depth in range(deepest):
         arcs = np.concatenate([part.levels[depth][0] for part in parts])
         labels = np.concatenate([names[part.levels[depth][1]] for names, part in zip(renamed, parts)])
         weights = np.concatenate([part.levels[depth][2] for part in parts])
-        lasts = depth_bases[depth + 1] if depth + 1 < LONGEST else np.zeros(len(parts) + 1, np.int64)
+        lasts = depth_bases[depth + 1] if depth + 1 < deepest else np.zeros(len(parts) + 1, np.int64)
         targets = np.concatenate([part.levels[depth][3] + base for part, base in zip(parts, lasts)])
         counts = arcs[state]
         taken = np.repeat((arcs.cumsum() - arcs)[state], counts) + _ramps(counts)
@@ -256,7 +259,7 @@ class Lexicon(dict):
 
     def __init__(self, lang: str, bits: np.ndarray):
         super().__init__({BREAK: 0})
-        self.bits, self.seed, self.words, self.hashes = bits, _hash(lang.encode()), [], []
+        self.lang, self.bits, self.seed, self.words, self.hashes = lang, bits, _hash(lang.encode()), [], []
 
     def __missing__(self, word: bytes) -> int:
         place = _hash(word, self.seed) >> (64 - FILTER_BITS)
@@ -268,49 +271,66 @@ class Lexicon(dict):
         return len(self.words)
 
 
-def shard_automata(lexicon: Lexicon, numbers: np.ndarray, ranges: int) -> Iterator[tuple[int, Automaton]]:
-    """(range, automaton) of the phrases in a stretch of word numbers, 0 between runs."""
+def pair_hash(first: np.ndarray, second: np.ndarray, lang: str) -> np.ndarray:
+    """Hash of two words of a language from the words' hashes."""
+    return _mixed(_mixed(first ^ np.uint64(_hash(lang.encode()))) + second)
+
+
+def shard_automata(lexicon: Lexicon, numbers: np.ndarray, ranges: int, depth: int = LONGEST, pairs: np.ndarray | None = None) -> Iterator[tuple[int, Automaton]]:
+    """(range, automaton) of the phrases of up to ``depth`` words in a stretch of word numbers, 0 between runs; ``pairs`` is the bit set of pairs that go on."""
     order = sorted(range(len(lexicon.words)), key=lexicon.words.__getitem__)  # numbers in the order of the words
     rank = np.zeros(len(order) + 1, np.int64)
     rank[np.array(order, np.int64) + 1] = np.arange(1, len(order) + 1)
     hashes = np.array([0, *[lexicon.hashes[i] for i in order]], np.uint64)
     words = [lexicon.words[i] for i in order]
-    numbers = np.concatenate([rank[numbers], np.zeros(LONGEST, np.int64)])
-    size = len(numbers) - LONGEST
-    columns, alive = [], np.ones(size, bool)
-    for k in range(LONGEST):
-        alive = alive & (numbers[k:size + k] > 0)
-        columns.append(np.where(alive, numbers[k:size + k], 0))
-    at = np.flatnonzero(columns[1])
+    numbers = np.concatenate([rank[numbers], np.zeros(depth + 1, np.int64)])
+    size = len(numbers) - depth
+    goes_on = (numbers[:-1] > 0) & (numbers[1:] > 0)
+    if pairs is not None:
+        at = np.flatnonzero(goes_on)
+        place = (pair_hash(hashes[numbers[at]], hashes[numbers[at + 1]], lexicon.lang) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+        goes_on[at] = pairs[place >> 3] >> (place & 7).astype(np.uint8) & 1
+    at = np.flatnonzero(goes_on[:size])
     if not len(at):
         return
-    a, b, c, d, e = (column[at] for column in columns)
-    span = (((hashes[a] >> np.uint64(7)) ^ hashes[b]) & np.uint64(ranges - 1)).astype(np.int64)
+    columns, alive = [numbers[at], numbers[at + 1]], np.ones(len(at), bool)
+    for k in range(2, depth):
+        alive = alive & goes_on[at + k - 1]
+        columns.append(np.where(alive, numbers[at + k], 0))
+    span = (((hashes[columns[0]] >> np.uint64(7)) ^ hashes[columns[1]]) & np.uint64(ranges - 1)).astype(np.int64)
     if len(words) >> ID_BITS:  # one very long text
-        keys = [e, d, c, b, a, span]
+        keys = [*columns[::-1], span]
     else:
-        keys = [d << ID_BITS | e, a << 2 * ID_BITS | b << ID_BITS | c, span]
+        packed = [columns[0] << ID_BITS | columns[1]]
+        for column in columns[2:]:
+            if int(packed[-1].max()) >> 63 - ID_BITS:
+                packed.append(column)
+            else:
+                packed[-1] = packed[-1] << ID_BITS | column
+        keys = [*packed[::-1], span]
     order = np.lexsort(keys)
     first = np.flatnonzero(functools.reduce(np.logical_or, [np.diff(key[order], prepend=-1) != 0 for key in keys]))
     counts = np.diff(first, append=len(order))
     chosen = order[first]
-    span, rows = span[chosen], [column[chosen] for column in (a, b, c, d, e)]
+    span, rows = span[chosen], [column[chosen] for column in columns]
     starts = np.flatnonzero(np.diff(span, prepend=-1))
     for x, y in zip(starts.tolist(), [*starts[1:].tolist(), len(span)]):
         used, local = np.unique(np.concatenate([row[x:y] for row in rows]), return_inverse=True)
         shift = 0 if used[0] == 0 else 1  # 0 stays the end of a row
-        local = (local + shift).reshape(LONGEST, -1)
+        local = (local + shift).reshape(depth, -1)
         yield int(span[x]), Automaton.build([words[i - 1] for i in used if i], list(local), counts[x:y])
 
 
-def _shards(texts: DataFrame, folder: str, ranges: int) -> DataFrame:
+def _shards(texts: DataFrame, folder: str, ranges: int, depth: int = LONGEST, pair_folder: str | None = None) -> DataFrame:
     """(lang, part, shard): automata of the shards, cut by prefix range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, lexicons, held, count = _read_filter(folder), {}, {}, 0
+        bits, pairs = _read_filter(folder), _read_filter(pair_folder) if pair_folder else None
+        lexicons, held, count = {}, {}, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for lang, parts in held.items():
-                rows = [(lang, span, automaton.to_bytes()) for span, automaton in shard_automata(lexicons[lang], np.concatenate(parts), ranges)]
+                found = shard_automata(lexicons[lang], np.concatenate(parts), ranges, depth, pairs)
+                rows = [(lang, span, automaton.to_bytes()) for span, automaton in found]
                 yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.binary()))],
                                                  names=["lang", "part", "shard"])
 
@@ -329,6 +349,15 @@ def _shards(texts: DataFrame, folder: str, ranges: int) -> DataFrame:
     return texts.mapInArrow(run, "lang string, part int, shard binary")
 
 
+def _frequent_pairs(table: pa.Table, least: int) -> pa.Table:
+    """Hashes of the pairs of a range that are frequent over all shards."""
+    lang = table["lang"][0].as_py()
+    words, nodes = union([Automaton.from_bytes(data) for data in table["shard"].to_pylist()], least)
+    hashes = np.array([_hash(word) for word in words], np.uint64)
+    parent, second, _ = nodes[1]
+    return pa.Table.from_arrays([pa.array(pair_hash(hashes[nodes[0][1][parent]], hashes[second], lang).view(np.int64))], names=["hash"])
+
+
 UNITED = "lang string, part int, automaton binary, phrase string, size int, a long, lefts array<long>, contained boolean"
 
 
@@ -391,7 +420,9 @@ def collocations(docs: DataFrame, least: int = LEAST) -> DataFrame:
     common.remove(counted)
     total = totals.agg(F.sum("n")).first()[0] or 0
     ranges = 1 << max(2, (total // RANGE_WORDS).bit_length())
-    shards = _shards(texts, _write_filter(words), ranges)
+    word_bits = _write_filter(words, F.xxhash64("lang", "word"))
+    pairs = _shards(texts, word_bits, ranges, 2).groupBy("lang", "part").applyInArrow(lambda table: _frequent_pairs(table, least), "hash long")
+    shards = _shards(texts, word_bits, ranges, LONGEST, _write_filter(pairs, F.col("hash")))
     united = shards.groupBy("lang", "part").applyInArrow(lambda table: _united(table, least), UNITED)
     united = common.staged(united, "united")
     phrases = united.where("phrase IS NOT NULL").select("lang", "phrase", "a", "lefts", "contained", F.split("phrase", " ").alias("w"), "size")
