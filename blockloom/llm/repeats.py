@@ -139,10 +139,10 @@ def _windows(rows: DataFrame, stretches: DataFrame, length: int) -> DataFrame:
     return rows.join(own, ["doc_id", "th"]).select("doc_id", "th", "text", "own").mapInArrow(run, "doc_id long, th long, seed long, window long, start int")
 
 
-def _later(rows: DataFrame, *keys: str) -> DataFrame:
-    """The rows with ``first``, the smallest document with their keys, where the keys are in more than one document."""
+def _several(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keys that are in more than one document, with the smallest one; staged, so that a join with a key of very many rows can be split."""
     firsts = rows.groupBy(*keys).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return rows.join(firsts.select(*keys, "first"), list(keys))
+    return common.staged(firsts.select(*keys, "first"), "several")
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -153,8 +153,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     """
     rows = _rows(docs)
     found = common.staged(_anchors(rows, length, seed), "anchors")
-    several = found.groupBy("seed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("seed")
-    shared = common.staged(found.join(several, "seed", "left_semi"), "shared")
+    several = _several(found, "seed")
+    shared = common.staged(found.join(several.select("seed"), "seed", "left_semi"), "shared")
     common.remove(found)
     classes = common.staged(shared.groupBy("seed", "stretch").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "classes")
     whole = (shared.join(classes.where("first < last").drop("last"), ["seed", "stretch"]).where("doc_id > first")
@@ -164,10 +164,11 @@ def repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFram
     differing = differing.where("low <> high AND first < last").select("seed")
     open_ones = shared.join(classes.join(differing, "seed", "left_semi").select("seed", "stretch", F.col("first").alias("doc_id")), ["seed", "stretch", "doc_id"], "left_semi")
     windows = common.staged(_windows(rows, open_ones, length), "windows")
-    single = (_later(windows, "seed", "window").where("doc_id > first")
+    again = _several(windows, "seed", "window")
+    single = (windows.join(again, ["seed", "window"]).where("doc_id > first")
               .select("doc_id", "th", F.col("start").alias("begin"), (F.col("start") + length).alias("end")))
     spans = common.staged(whole.unionByName(single), "spans")
-    for table in (shared, classes, windows):
+    for table in (several, shared, classes, windows, again):
         common.remove(table)
     return spans
 
