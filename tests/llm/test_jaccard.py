@@ -10,12 +10,12 @@ from blockloom.llm import jaccard
 from tests.llm.helpers import LONG, ROWS, TEXT, clashing, documents
 
 
-def plain_set(text):
+def plain_set(text, n=4):
     lowered = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for blank in "\t\n\x0b\x0c\r":
         lowered = lowered.replace(blank, " ")
     words = [w for w in lowered.split(" ") if w]
-    return {tuple(words[i:i + 4]) for i in range(max(1, len(words) - 3))} if words else set()
+    return {tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
 
 
 def plain(rows):
@@ -59,10 +59,46 @@ def corpus(seed, count=120):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_equal_all_pairs(spark, seed):
     rows = corpus(seed) + ROWS
-    got = sorted(str(tuple(r)) for r in jaccard.components(clashing(documents(spark, rows))).collect())
+    got = sorted(str(tuple(r)[:3]) for r in jaccard.components(clashing(documents(spark, rows))).collect())
     assert got == plain(rows)
 
 
+def plain_links(rows, n=4, share=85):
+    """(classes as sets of shingles, linked pairs of them) by comparing all."""
+    classes = sorted({frozenset(plain_set(row[1], n)) for row in rows} - {frozenset()}, key=lambda c: sorted(c))
+    return classes, {(a, b) for a, b in itertools.permutations(classes, 2) if 100 * len(a & b) >= share * len(a | b)}
+
+
+@pytest.mark.parametrize("n, share", [(4, 85), (5, 80), (2, 60)])
+def test_all_links_are_found(spark, n, share, monkeypatch):
+    """Link counts and the pairs of the join equal those of comparing all different sets, also where a component takes several blocks."""
+    if n == 4:
+        monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 2)
+    rows = corpus(n) + ROWS
+    classes, links = plain_links(rows, n, share)
+    sets = {row[0]: frozenset(plain_set(row[1], n)) for row in rows}
+    docs = documents(spark, rows)
+    for row in jaccard.components(docs, n, share).collect():
+        own = sets[row["doc_id"]]
+        assert row["n_links"] == sum(a == own for a, _ in links)
+        assert sets[row["class_id"]] == own
+    pairs, membership = jaccard.join(docs, n, share)
+    named = {bytes(r["cls"]): sets[r["doc_id"]] for r in membership.collect() if r["cls"] is not None}
+    got = [(named[bytes(r["src"])], named[bytes(r["dst"])]) for r in pairs.collect()]
+    assert len(got) == len(set(got)) == len(links) // 2 and set(got) | {(b, a) for a, b in got} == links and links
+
+
+def test_compared_blocks_of_many_shingles():
+    draw = np.random.default_rng(5)
+    base = np.unique(draw.integers(0, 2 ** 64, 40_000, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[draw.random(len(base)) > p], draw.integers(0, 2 ** 64, 50, dtype=np.uint64)])) for p in (0.0, 0.02, 0.05, 0.1, 0.3, 0.08)]
+    first = np.array([True, False, True, False, True, False])
+    def linked(a, b):
+        return 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b))
+    assert jaccard._compared(sets, first, False, 85).tolist() == [[linked(sets[i], sets[j]) for j in (1, 3, 5)] for i in (0, 2, 4)]
+    assert jaccard._compared(sets, np.ones(6, bool), True, 85).tolist() == [[i != j and linked(sets[i], sets[j]) for j in range(6)] for i in range(6)]
+
+
 def test_linked_sets_share_a_block_and_sketches_bound_the_difference():
     draw, linked = np.random.default_rng(3), 0
     for step in range(1500):
