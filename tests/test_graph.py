@@ -119,6 +119,14 @@ def test_components(spark):
     assert graph.connected_components(df.limit(0)).count() == 0
 
 
+def test_dictionary_is_dense_and_keeps_the_order(spark):
+    values = [f"v{i * 7919 % 5000:04}" for i in range(5000)] + ["v0003", "", "é", None]
+    got = {r.name: r.id for r in graph.dictionary(spark.createDataFrame([(v,) for v in values], "name string").repartition(9), "name").collect()}
+    want = sorted({v for v in values if v is not None}, key=lambda v: v.encode())
+    assert got == {v: i for i, v in enumerate(want)}
+    assert graph.dictionary(spark.createDataFrame([], "name string"), "name").count() == 0
+
+
 def test_density_clusters_equal_brute_force(spark):
     rng = random.Random(5)
     centres = [[rng.uniform(-3, 3) for _ in range(3)] for _ in range(12)]
