@@ -23,6 +23,12 @@ LEAST_COST = 8.0
 LEAST_LENGTH = 6
 SEGMENT_COST = 0.3
 LONGEST_WORD, LONGEST_UNIT = 20, 16
+#: A word that no list holds: a whole run of letters in one case (or capitalised) with the shape of speech. Its cost is that of a large
+#: vocabulary, and a little for each letter, so that several words in a row or a long run are still a passphrase.
+SPOKEN_COST, SPOKEN_LETTER = 4.0, 0.25
+SPOKEN = re.compile("[A-Z]?[a-z]{4,}|[A-Z]{5,}")
+VOWELS = re.compile("[aeiouy]")
+HARSH = re.compile("[^aeiouy]{5}|[aeiouy]{4}|(.)\\1\\1|[qwx][bcdfghjklmnpqrstvwxz][bcdfghjklmnpqrstvwxz]")
 #: Common passwords and words of placeholders, most common first.
 COMMON_WORDS = (
     "password 123456 admin qwerty letmein welcome test secret token example changeme default user root guest login master "
@@ -64,7 +70,7 @@ def guess_cost(value: str) -> float:
     walks, runs = _walks(lower), _repeats(lower)
     for i in range(size):
         here = best[i] + SEGMENT_COST
-        # Brute force may go on from any position without a new segment cost; the last relaxation below adds it once.
+        # Brute force goes on from any position and has no segment cost.
         best[i + 1] = min(best[i + 1], best[i] + unit)
         for length in range(3, min(LONGEST_WORD, size - i) + 1):
             rank = RANKS.get(lower[i:i + length])
@@ -72,6 +78,8 @@ def guess_cost(value: str) -> float:
             if rank or changed:
                 case = 0.0 if value[i:i + length] == lower[i:i + length] else 0.5
                 best[i + length] = min(best[i + length], here + math.log10((rank or changed) + 1) + case + (0.3 if changed else 0))
+        if spoken := _spoken(value, i):
+            best[i + spoken] = min(best[i + spoken], here + SPOKEN_COST + SPOKEN_LETTER * spoken)
         if (found := DATE.match(value, i)) and found.end() > i:
             best[found.end()] = min(best[found.end()], here + (2.1 if found.end() - i == 4 else 4.6))
         if (stop := walks[i]) - i >= 3:
@@ -83,6 +91,17 @@ def guess_cost(value: str) -> float:
     return best[size]
 
 
+def _spoken(value: str, i: int) -> int:
+    """Length of the run of letters from ``i`` if it begins and ends there and has the shape of a word, else 0."""
+    if i and value[i - 1].isalpha():
+        return 0
+    found = SPOKEN.match(value, i)
+    if not found or (found.end() < len(value) and value[found.end()].isalpha()) or len(found[0]) > LONGEST_WORD:
+        return 0
+    word = found[0].lower()
+    return len(word) if 0.2 <= len(VOWELS.findall(word)) / len(word) <= 0.7 and not HARSH.search(word) else 0
+
+
 def _alphabet_cost(value: str) -> float:
     """Brute-force cost of one character by the kinds of characters in use."""
     size = (10 * bool(re.search("[0-9]", value)) + 26 * bool(re.search("[a-z]", value)) + 26 * bool(re.search("[A-Z]", value))
@@ -143,7 +162,7 @@ def scan(docs: DataFrame, least_cost: float = LEAST_COST) -> DataFrame:
 
     A null or empty text has none, repeated rows stay, other columns of ``docs`` are not read, an empty table gives an
     empty one. ``guess`` values behind a blank, "is" or "was" need a digit, as prose behind a credential word is not a secret;
-    behind ``:``, ``=``, ``=>`` or ``:=`` their cost decides. No shuffle.
+    behind ``:``, ``=``, ``=>`` or ``:=`` their cost decides, which is that of a word for letters in the shape of one. No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("cost", pa.float64())]))

@@ -67,3 +67,49 @@ def test_scan_and_redact(spark):
     rows = {r["doc_id"]: r for r in clean.collect()}
     assert rows[9]["text"] == "key [secret] end" and rows[9]["n_chars"] == 16 and rows[2]["text"] is None and rows[2]["n_chars"] is None
     assert secrets.redact(documents(spark, [])).count() == 0 and secrets.scan(documents(spark, [])).count() == 0
+
+
+def test_prose_behind_a_sign_stays():
+    for text in ("bearer: mountain", "passphrase: something", "credentials: university degree", "pwd: Tuesday", "Private-Key: enclosed herewith",
+                 "passcode: REQUIRED", "credential = Unterlagen", "bearer: montagne"):
+        assert secrets.spans_of(text) == [] and secrets.masked(text) == text
+    for value in ("QxZrTvWpLmNkJhGf", "xkqjzvbnwrtp", "mountainriverCastle77", "correcthorsebatterystaple", "Kq!vXw#ZrTp", "wxtrqmnkzlpv"):
+        assert [kind for kind, *_ in secrets.spans_of(f"pwd: {value}")] == ["guess"], value
+
+
+def exhaustive(value):
+    """Least cost over all segmentations, each tried: brute force by characters, or a segment of any kind."""
+    unit = secrets._alphabet_cost(value)
+    lower = value.lower()
+    plain_form, walks, runs = lower.translate(secrets.LOOKS_LIKE), secrets._walks(lower), secrets._repeats(lower)
+
+    def segments(i):
+        for j in range(i + 3, min(len(value), i + secrets.LONGEST_WORD) + 1):
+            rank = secrets.RANKS.get(lower[i:j])
+            other = secrets.RANKS.get(plain_form[i:j])
+            if rank or other:
+                yield j, math.log10((rank or other) + 1) + 0.5 * (value[i:j] != lower[i:j]) + 0.3 * (not rank)
+        date = secrets.DATE.match(value, i)
+        if date:
+            yield date.end(), 2.1 if date.end() - i == 4 else 4.6
+        if walks[i] - i >= 3:
+            yield walks[i], 1.7 + 0.5 * math.log10(walks[i] - i)
+        for length, times in runs.get(i, ()):
+            yield i + length * times, unit * length + math.log10(times + 1)
+        if secrets._spoken(value, i):
+            yield i + secrets._spoken(value, i), secrets.SPOKEN_COST + secrets.SPOKEN_LETTER * secrets._spoken(value, i)
+
+    def least(i):
+        if i == len(value):
+            return 0.0
+        return min(unit + least(i + 1), *[secrets.SEGMENT_COST + cost + least(j) for j, cost in segments(i)], math.inf)
+
+    return least(0)
+
+
+def test_costs_equal_an_exhaustive_search():
+    draw = random.Random(11)
+    parts = ["pass", "admin", "4dmin", "2024", "qwe", "aa", "ab", "ab", "X", "7", "!", "abc", "mount", "-", "Root", "1990-01-02"]
+    for _ in range(400):
+        value = "".join(draw.choice(parts) for _ in range(draw.randint(1, 4)))[:12]
+        assert abs(secrets.guess_cost(value) - exhaustive(value)) < 1e-9, value
