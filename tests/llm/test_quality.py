@@ -50,3 +50,24 @@ def test_empty_and_native(spark):
     assert one.count() == len(ROWS)
     plan = one._jdf.queryExecution().executedPlan().toString() + quality.measure(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+
+
+def test_single_documents_are_drawn_to_the_mean(spark):
+    """Ninety hosts of one document, a third failing: chance alone, so no host is above the limit; hosts that differ more than by chance keep their rates."""
+    good, bad = " ".join(f"word{i}" for i in range(20)), "too short"
+    rows = [(i, good if i % 3 else bad, "en", f"host{i}", 0) for i in range(90)]
+    measured = quality.measure(documents(spark, rows))
+    rates = [r["rate"] for r in quality.host_rates(measured, "source", F.col("n_words") < 10).collect()]
+    assert max(rates) < 0.36 and min(rates) > 0.30
+    assert quality.judge(documents(spark, rows)).where("host_blocked").count() == 0
+    rows += [(1000 + i, bad if i % 10 else good, "en", "worst", 0) for i in range(200)]
+    got = {r["host"]: r["rate"] for r in quality.host_rates(quality.measure(documents(spark, rows)), "source", F.col("n_words") < 10).collect()}
+    assert got["worst"] > 0.85
+
+
+def test_rates_are_kept_by_rule(spark):
+    good, symbols = " ".join(f"word{i}" for i in range(20)), " ".join(f"# word{i}" for i in range(20))
+    rows = [(i, "short" if i % 2 else symbols, "en", "mixed", 0) for i in range(40)] + [(100 + i, good, "en", f"h{i % 3}", 0) for i in range(60)]
+    rates = quality.rule_rates(quality.measure(documents(spark, rows)), "source", quality.rules()).where("host = 'mixed'").first()
+    assert (rates["failures_short"], rates["failures_symbols"], rates["failures_repeats"]) == (20, 20, 0)
+    assert abs(rates["rate_short"] - 0.5) < 0.02 and rates["rate_repeats"] == 0
