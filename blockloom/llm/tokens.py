@@ -4,16 +4,22 @@ A document's pre-tokens are the leaves of a segment tree whose nodes hold the ch
 edit finds its leaves by going down the character sums; from a few leaves before it the text is cut anew until a new
 cut falls on an old one behind the edit, and only these pre-tokens are encoded. Their leaves are replaced and the sums above
 are updated; everything else keeps its counts.
+
+Trees outlive the task: ``plant`` encodes documents once and keeps text and leaves of each, packed, as rows of a stored table; ``count`` applies a
+batch of edits to stored trees, which are built from their leaves without encoding; ``Orchard`` keeps versions of such a table, in which an edit batch
+writes the documents that it changes and no others.
 """
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from blockloom.llm import common
@@ -23,6 +29,8 @@ BLOCK = 32
 KEPT = 300_000
 EDITS = "array<struct<start:int,stop:int,insert:string>>"
 COUNTS = "doc_id long, tokens_before long, tokens_after long, n_pretokens long, n_reencoded long, n_edits long"
+#: A stored tree: the text and, leaf by leaf, characters and tokens, both packed.
+TREES = "doc_id long, body binary, leaves binary, n_tokens long, n_pretokens long"
 
 
 class Counter:
@@ -126,14 +134,28 @@ class Tree:
 
 
 class Document:
-    """Text and tree of one document."""
+    """Text and tree of one document; the tree is encoded, or built from stored leaves."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, leaves: tuple[list[int], list[int]] | None = None):
         self.text, self.counter = text, counter
-        found = counter.cut.findall(text)
-        self.tree = Tree([len(piece) for piece in found], counter.counts(found))
+        if leaves is None:
+            found = counter.cut.findall(text)
+            leaves = [len(piece) for piece in found], counter.counts(found)
+        self.tree = Tree(*leaves)
         self.encoded = 0
 
+    def packed(self, pack: zstandard.ZstdCompressor) -> tuple[bytes, bytes]:
+        """Text and leaves as stored: characters, then tokens, low bytes first."""
+        numbers = np.array([n for k in (0, 1) for block in self.tree.blocks for n in block[k]], "<u4")
+        planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T).tobytes()
+        return pack.compress(self.text.encode()), pack.compress(planes)
+
+    @classmethod
+    def unpacked(cls, body: bytes, leaves: bytes, counter: Counter, unpack: zstandard.ZstdDecompressor) -> Document:
+        planes = np.frombuffer(unpack.decompress(leaves), np.uint8).reshape(4, -1)
+        numbers = np.ascontiguousarray(planes.T).view("<u4").reshape(2, -1)
+        return cls(unpack.decompress(body).decode(), counter, (numbers[0].tolist(), numbers[1].tolist()))
+
     def edit(self, start: int, stop: int, insert: str) -> None:
         """Replace the characters from ``start`` to ``stop`` (both brought inside the text) by ``insert``."""
         start = max(0, min(start, len(self.text)))
@@ -170,36 +192,127 @@ class Document:
         self.encoded += len(found)
 
 
+@lru_cache(maxsize=2)
+def counter_of(ranks_path: str, pattern: str) -> Counter:
+    """The counter of a vocabulary, one for each worker process."""
+    return Counter(ranks_path, pattern)
+
+
+def _stored(documents: list[Document], pack: zstandard.ZstdCompressor) -> list[pa.Array]:
+    packed = [document.packed(pack) for document in documents]
+    return [pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary()),
+            pa.array([d.tree.total for d in documents], pa.int64()), pa.array([d.tree.leaves for d in documents], pa.int64())]
+
+
+def plant(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """The trees of all documents, to be stored: doc_id, body, leaves, n_tokens, n_pretokens.
+
+    A null text is empty, repeated rows stay, other columns are not read, an empty table gives an empty one. No shuffle.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, pack = counter_of(ranks_path, pattern), zstandard.ZstdCompressor(level=1)
+        for batch in common.pieces(batches):
+            documents = [Document(text, counter) for text in common.text_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *_stored(documents, pack)],
+                                             names=["doc_id", "body", "leaves", "n_tokens", "n_pretokens"])
+
+    return common.few_rows(docs).select("doc_id", "text").mapInArrow(run, TREES)
+
+
+def _grown(batch: pa.RecordBatch, counter: Counter, unpack: zstandard.ZstdDecompressor) -> Iterator[tuple[Document, int, int]]:
+    """(document after its edits, tokens before, number of edits) of rows of stored trees with edits."""
+    for body, leaves, changes in zip(*(batch.column(name).to_pylist() for name in ("body", "leaves", "edits"))):
+        document = Document.unpacked(body, leaves, counter, unpack)
+        before = document.tree.total
+        changes = [c for c in changes or [] if c and c["start"] is not None and c["stop"] is not None]
+        for c in changes:
+            document.edit(c["start"], c["stop"], c["insert"] or "")
+        yield document, before, len(changes)
+
+
+def edited(trees: DataFrame, ranks_path: str, pattern: str, edits: str = "edits") -> DataFrame:
+    """Stored trees after the edits in a column of theirs, in the form of ``plant``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, pack, unpack = counter_of(ranks_path, pattern), zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        for batch in common.pieces(batches):
+            documents = [document for document, _, _ in _grown(batch, counter, unpack)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *_stored(documents, pack)], names=["doc_id", "body", "leaves", "n_tokens", "n_pretokens"])
+
+    return common.few_rows(trees).select("doc_id", "body", "leaves", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, TREES)
+
+
+def counted(trees: DataFrame, ranks_path: str, pattern: str, edits: str = "edits") -> DataFrame:
+    """Token counts before and after the edits of stored trees: doc_id, tokens_before, tokens_after, n_pretokens (after),
+    n_reencoded (pre-tokens encoded because of edits) and n_edits."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, unpack = counter_of(ranks_path, pattern), zstandard.ZstdDecompressor()
+        for batch in common.pieces(batches):
+            rows = [(before, document.tree.total, document.tree.leaves, document.encoded, number) for document, before, number in _grown(batch, counter, unpack)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array([row[k] for row in rows], pa.int64()) for k in range(5)]],
+                                             names=["doc_id", "tokens_before", "tokens_after", "n_pretokens", "n_reencoded", "n_edits"])
+
+    return common.few_rows(trees).select("doc_id", "body", "leaves", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, COUNTS)
+
+
 def count(docs: DataFrame, ranks_path: str, pattern: str, edits: str = "edits") -> DataFrame:
-    """Token counts before and after the edits of each row: doc_id, tokens_before, tokens_after, n_pretokens (after),
-    n_reencoded (pre-tokens encoded because of edits) and n_edits.
+    """``counted`` for documents with a column of edits: trees are planted, stored with the edits, and read back for them.
 
     ``edits`` names a column of (start, stop, insert) in code points; they are applied in order, each to the text that the ones before
     have left, with places outside brought inside. A null text is empty, null edits or inserts are none; repeated rows
     stay, each with its own edits; other columns are not read; an empty table gives an empty one. No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(ranks_path, pattern)
+        counter, pack = counter_of(ranks_path, pattern), zstandard.ZstdCompressor(level=1)
         for batch in common.pieces(batches):
-            rows = []
-            for doc_id, text, changes in zip(batch.column("doc_id").to_pylist(), common.text_of(batch), batch.column("edits").to_pylist()):
-                document = Document(text, counter)
-                before = document.tree.total
-                changes = [c for c in changes or [] if c and c["start"] is not None and c["stop"] is not None]
-                for c in changes:
-                    document.edit(c["start"], c["stop"], c["insert"] or "")
-                rows.append((doc_id, before, document.tree.total, document.tree.leaves, document.encoded, len(changes)))
-            yield pa.RecordBatch.from_arrays([pa.array([row[k] for row in rows], pa.int64()) for k in range(6)],
-                                             names=["doc_id", "tokens_before", "tokens_after", "n_pretokens", "n_reencoded", "n_edits"])
+            documents = [Document(text, counter) for text in common.text_of(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *_stored(documents, pack), batch.column("edits")],
+                                             names=["doc_id", "body", "leaves", "n_tokens", "n_pretokens", "edits"])
 
-    return common.few_rows(docs).select("doc_id", "text", F.col(edits).cast(EDITS).alias("edits")).mapInArrow(run, COUNTS)
+    rows = common.few_rows(docs).select("doc_id", "text", F.col(edits).cast(EDITS).alias("edits"))
+    return counted(common.staged(rows.mapInArrow(run, f"{TREES}, edits {EDITS}"), "trees"), ranks_path, pattern)
+
+
+class Orchard:
+    """Versions of stored trees under a folder: the first holds all documents, each later one those that an edit batch has changed.
+
+    A document is named by its doc_id, which has to be unique here; rows without one are not kept. A version counts once its folder is complete.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, ranks_path: str, pattern: str):
+        self.spark, self.folder, self.ranks_path, self.pattern = spark, folder.rstrip("/"), ranks_path, pattern
+        self.versions = 0
+
+    def _version(self, number: int) -> DataFrame:
+        return self.spark.read.schema(TREES).parquet(f"{self.folder}/version={number}")
+
+    def plant(self, docs: DataFrame) -> None:
+        plant(docs.where("doc_id IS NOT NULL"), self.ranks_path, self.pattern).write.parquet(f"{self.folder}/version=0")
+        self.versions = 1
+
+    def trees(self) -> DataFrame:
+        """The newest tree of every document."""
+        out = self._version(0)
+        for number in range(1, self.versions):
+            newer = self._version(number)
+            out = out.join(newer.select("doc_id"), "doc_id", "left_anti").unionByName(newer)
+        return out
+
+    def apply(self, edits: DataFrame) -> DataFrame:
+        """Apply an edit table (doc_id, seq, start, stop, insert) and return the counts of the documents it names; only these are read into tasks and written."""
+        touched = common.staged(self.trees().join(_gathered(edits), "doc_id"), "touched")
+        edited(touched, self.ranks_path, self.pattern).write.parquet(f"{self.folder}/version={self.versions}")
+        self.versions += 1
+        return counted(touched, self.ranks_path, self.pattern)
 
 
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """doc_id, text, edits: the rows of an edit table (doc_id, seq, start, stop, insert) gathered by document in the order of seq."""
+    return docs.select("doc_id", "text").join(_gathered(edits), "doc_id", "left")
+
+
+def _gathered(edits: DataFrame) -> DataFrame:
     change = F.struct(F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"), F.col("insert"))
-    gathered = edits.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", change.alias("change")))), lambda e: e["change"]).alias("edits"))
-    return docs.select("doc_id", "text").join(gathered, "doc_id", "left")
+    return edits.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", change.alias("change")))), lambda e: e["change"]).alias("edits"))
 
 
 def revision(text: Column, lang: Column) -> Column:

@@ -55,3 +55,33 @@ def test_edit_table(spark):
     assert got[1]["tokens_after"] == full("A" + text[3:]) and got[5]["tokens_after"] == full("Oh, " + text)
     assert got[2]["tokens_after"] == full("new") and got[3]["tokens_after"] == 0 and got[7]["n_edits"] == 0
     assert tokens.count(tokens.with_edits(documents(spark, []), edits), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def test_stored_trees_take_edit_batches(spark, tmp_path, monkeypatch):
+    """Two batches of edits on stored trees: counts equal full encodings, a batch writes the documents it names, and nothing else is encoded."""
+    docs = documents(spark, [row for row in ROWS if row[0] != 5])
+    orchard = tokens.Orchard(spark, str(tmp_path / "trees"), RANKS, public_tokenizers.PATTERN)
+    orchard.plant(docs)
+    schema = "doc_id long, seq int, start int, stop int, insert string"
+    texts = {row[0]: row[1] or "" for row in ROWS if row[0] not in (5, None)}
+    batches = ([(1, 1, 0, 3, "A"), (7, 1, 9, 12, " x "), (99, 1, 0, 1, "x")], [(7, 2, 0, 5, ""), (7, 1, 100, 100, "!!"), (2, 1, 0, 0, "new text")])
+    for number, batch in enumerate(batches, 1):
+        for doc_id, _, start, stop, insert in sorted(batch):
+            if doc_id in texts:
+                texts[doc_id] = texts[doc_id][:start] + insert + texts[doc_id][stop:]
+        got = orchard.apply(spark.createDataFrame(batch, schema)).collect()
+        assert {r["doc_id"]: r["tokens_after"] for r in got} == {d: full(texts[d]) for d in {row[0] for row in batch} & texts.keys()}
+        assert sum(r["n_reencoded"] for r in got) < 40
+        assert {r["doc_id"] for r in spark.read.parquet(str(tmp_path / f"trees/version={number}")).collect()} == {row[0] for row in batch} & texts.keys()
+        trees = {r["doc_id"]: r["n_tokens"] for r in orchard.trees().collect()}
+        assert trees == {d: full(text) for d, text in texts.items()}
+
+
+def test_packed_documents_come_back():
+    import zstandard
+
+    draw = random.Random(4)
+    for text in ("", "a", LONG, "".join(draw.choice("ab \n日😀's") for _ in range(3000))):
+        document = tokens.Document(text, COUNTER)
+        again = tokens.Document.unpacked(*document.packed(zstandard.ZstdCompressor()), COUNTER, zstandard.ZstdDecompressor())
+        assert again.text == text and again.tree.total == full(text) and again.tree.leaves == document.tree.leaves and again.encoded == 0
