@@ -267,7 +267,7 @@ def _compared(sets: list[np.ndarray], first: np.ndarray, within: bool, share: in
     codes, owner = codes[order], owner[order]
     bounds = np.searchsorted(codes, np.arange(0, int(several.sum()) + SLICE, SLICE))
     for step, (low, high) in enumerate(zip(bounds, bounds[1:])):  # float sums of ones are exact up to 2^24 shingles a slice
-        part = np.zeros((len(sets), SLICE), np.float32)
+        part = np.zeros((len(sets), min(SLICE, int(several.sum()) - step * SLICE)), np.float32)
         part[owner[low:high], codes[low:high] - step * SLICE] = 1
         shared += part[rows] @ part[columns].T
     linked = (100 + share) * shared.astype(np.int64) >= share * (sizes[rows][:, None] + sizes[columns][None, :])
