@@ -169,6 +169,53 @@ def node_neighbor_degree(edges: DataFrame, degrees: DataFrame) -> DataFrame:
         (F.sum(_reach() * F.col("peer_degree")) / F.sum(_reach())).alias("avg_neighbor_degree"))
 
 
+WIDE_MEMBERS = 64
+BITMAP_BITS = 32_768
+
+
+def neighbour_degrees(members: DataFrame, wide: int = WIDE_MEMBERS) -> DataFrame:
+    """(address, degree, avg_neighbor_degree) of the graph without writing out the pairs of wide transactions.
+
+    An input of a transaction has its inputs and changes as neighbours, a change its inputs. For transactions of more than ``wide`` addresses these sets
+    stay sets: addresses that have the same sets form one signature, and the size of a signature's union is counted on bitmaps over dense numbers of the
+    addresses. Only narrow transactions give pairs, at most ``wide`` for each of their rows, and pairs that a wide one holds as well are left out. So a transaction of
+    any width costs rows in proportion to its addresses.
+    """
+    counted = members.groupBy("txid").agg((F.count("*") > wide).alias("wide"))
+    placed = cut_lineage(members.join(counted, "txid").select("txid", "address", (F.col("ins") > 0).alias("sends"), (F.col("changes") > 0).alias("change"), "wide"))
+    large, small = placed.where("wide"), placed.where("NOT wide")
+    inputs, changes = F.struct("txid", F.lit("i").alias("side")), F.struct("txid", F.lit("c").alias("side"))
+    held = cut_lineage(large.select("address", F.explode(F.array_compact(F.array(F.when(F.col("sends"), inputs), F.when(F.col("change"), changes)))).alias("set")))
+    seen = cut_lineage(large.select("address", "sends", F.explode(F.when(F.col("sends"), F.array(inputs, changes)).otherwise(F.array(inputs))).alias("set")))
+    signed = cut_lineage(seen.groupBy("address").agg(
+        F.bit_xor(F.xxhash64("set")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("second"), "set")).alias("s2"), F.count("*").alias("s3"),
+        F.max(F.col("sends").cast("int")).alias("own")))
+    sign = ["s1", "s2", "s3"]
+    first = signed.groupBy(*sign).agg(F.min("address").alias("address"))
+    sets = cut_lineage(seen.select("address", "set").join(first, "address").select(*sign, "set"))
+    ids = dictionary(held, "address")
+    bits = held.join(ids, "address").groupBy("set", F.expr(f"id div {BITMAP_BITS}").alias("chunk")).agg(F.bitmap_construct_agg(F.col("id") % BITMAP_BITS).alias("bits"))
+    sizes = sets.join(bits, "set").groupBy(*sign, "chunk").agg(F.bitmap_count(F.bitmap_or_agg("bits")).alias("n")).groupBy(*sign).agg(F.sum("n").alias("joint"))
+
+    a = small.select("txid", "address", "sends")
+    b = small.select("txid", F.col("address").alias("peer"), F.col("sends").alias("peer_sends"))
+    pairs = a.join(b, "txid").where("address <> peer AND (sends OR peer_sends)").select("address", "peer").distinct()
+    known = pairs.join(held.select(F.col("address").alias("peer"), "set"), "peer").join(seen.select("address", "set"), ["address", "set"]).select("address", "peer").distinct()
+    pairs = cut_lineage(pairs.join(known, ["address", "peer"], "left_anti"))
+    parts = signed.join(sizes, sign).select("address", (F.col("joint") - F.col("own")).alias("n")).unionByName(
+        pairs.groupBy("address").agg(F.count("*").alias("n")))
+    degrees = cut_lineage(parts.groupBy("address").agg(F.sum("n").alias("degree")).where("degree > 0"))
+
+    of_peer = degrees.select(F.col("address").alias("peer"), F.col("degree").alias("peer_degree"))
+    joint = sets.join(held.select(F.col("address").alias("peer"), "set"), "set").select(*sign, "peer").distinct()  # signatures by the size of their unions
+    joint = joint.join(of_peer, "peer").groupBy(*sign).agg(F.sum("peer_degree").alias("total"))
+    own = F.when(F.col("own") > 0, F.col("degree")).otherwise(0)
+    sums = signed.join(joint, sign).join(degrees, "address").select("address", (F.col("total") - own).alias("total")).unionByName(
+        pairs.join(of_peer, "peer").groupBy("address").agg(F.sum("peer_degree").alias("total")))
+    return degrees.join(sums.groupBy("address").agg(F.sum("total").alias("total")), "address").select(
+        "address", "degree", (F.col("total") / F.col("degree")).alias("avg_neighbor_degree"))
+
+
 def node_triangles(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     """Linked neighbour pairs around one address of each node.
 

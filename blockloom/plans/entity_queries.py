@@ -66,6 +66,12 @@ def _(fx: Fixtures) -> DataFrame:
         "address", "avg_neighbor_degree")
 
 
+@query("neighbour_degrees")
+def _(fx: Fixtures) -> DataFrame:
+    """Degrees and mean degrees of neighbours from sets, without the pairs of wide transactions; here those of more than four addresses are wide."""
+    return graph.neighbour_degrees(graph.memberships(fx.tx_inputs, fx.tx_outputs), 4)
+
+
 @query("address_activity")
 def _(fx: Fixtures) -> DataFrame:
     return graph.activity(fx.tx_inputs, fx.tx_outputs, now(fx))

@@ -89,6 +89,7 @@ SQL = {
     "graph_degree": f"WITH {PAIRS}, {ENDS} SELECT a AS address, d AS degree FROM deg",
     "clustering_coefficient": f"WITH {PAIRS}, {ENDS}, {COEFF} SELECT a AS address, round(cc, 6) AS clustering_coefficient FROM cc",
     "avg_neighbor_degree": f"WITH {PAIRS}, {ENDS}, {COEFF} SELECT a AS address, round(nd, 6) AS avg_neighbor_degree FROM nd",
+    "neighbour_degrees": f"WITH {PAIRS}, {ENDS}, {COEFF} SELECT deg.a AS address, d AS degree, round(nd, 6) AS avg_neighbor_degree FROM deg JOIN nd ON nd.a = deg.a",
     "address_activity": f"""
 WITH {ACT}
 SELECT address, n AS tx_count, now - a AS lifetime_sec, now - b AS recency_sec, b - a AS active_duration_sec,

@@ -95,6 +95,34 @@ def test_node_features_equal_the_plain_graph(spark):
         assert got[a].avg_neighbor_degree == pytest.approx(sum(len(peers[n]) for n in near) / d)
 
 
+def test_degrees_without_pairs(spark):
+    """Degrees and neighbours' degrees equal those of the plain graph for any width that counts as wide."""
+    for seed in (3, 8):
+        ins, outs = sample(seed)
+        weight, _ = brute(ins, outs)
+        peers = defaultdict(set)
+        for x, y in weight:
+            peers[x].add(y)
+            peers[y].add(x)
+        members = graph.memberships(*sides(spark, ins, outs)).persist()
+        for wide in (1, 3, 6, 64):
+            got = graph.neighbour_degrees(members, wide).collect()
+            assert {r.address: r.degree for r in got} == {a: len(near) for a, near in peers.items()}
+            assert {r.address: r.avg_neighbor_degree for r in got} == pytest.approx({a: sum(len(peers[n]) for n in near) / len(near) for a, near in peers.items()})
+
+
+def test_a_transaction_of_very_many_addresses(spark):
+    """10^5 different addresses in one transaction: 5 * 10^9 pairs, counted from about as many rows as there are addresses."""
+    n = 100_000
+    big = spark.range(n).select(F.lit("big").alias("txid"), F.concat(F.lit("a"), "id").alias("address"), F.lit(1).alias("ins"), F.lit(0).alias("changes"))
+    own = spark.range(0, n, 2).select(F.concat(F.lit("t"), "id").alias("txid"), F.col("id")).select(
+        "txid", F.explode(F.array(F.concat(F.lit("a"), "id"), F.concat(F.lit("b"), "id"))).alias("address"), F.lit(1).alias("ins"), F.lit(0).alias("changes"))
+    got = graph.neighbour_degrees(big.unionByName(own)).persist()
+    rows = {(r.address[0], r.degree): r["count"] for r in got.withColumn("address", F.substring("address", 1, 1)).groupBy("address", "degree").count().collect()}
+    assert rows == {("a", n): n // 2, ("a", n - 1): n // 2, ("b", 1): n // 2}
+    assert got.where("address = 'b0'").first().avg_neighbor_degree == n
+
+
 def plain_components(pairs):
     parent = {}
 
