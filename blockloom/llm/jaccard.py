@@ -422,7 +422,7 @@ def one_of_each(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(common.table(spark, sf_dir, "documents"))
+    return components(common.table(spark, sf_dir, "documents")).drop("class_id")
 
 
 SQL = r"""
@@ -439,6 +439,6 @@ e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
 r(node, reached) AS (SELECT rep, rep FROM c UNION SELECT r.node, e.y FROM r JOIN e ON r.reached = e.x),
 k AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node),
 l AS (SELECT x, count(*) AS links FROM e GROUP BY x)
-SELECT n.doc_id, n.n AS n_shingles, coalesce(k.component_id, n.doc_id) AS component_id, coalesce(c.rep, n.doc_id) AS class_id, coalesce(l.links, 0) AS n_links
+SELECT n.doc_id, n.n AS n_shingles, coalesce(k.component_id, n.doc_id) AS component_id, coalesce(l.links, 0) AS n_links
 FROM n LEFT JOIN c ON n.shingles = c.shingles AND n.n = c.n LEFT JOIN k ON c.rep = k.node LEFT JOIN l ON c.rep = l.x
 """
