@@ -38,9 +38,11 @@ class ModelStore:
         """Store a set as the next version of its kind."""
         number = self._latest(kind) + 1
         models.write.mode("overwrite").parquet(self._folder(kind, number))
-        names = self.spark.read.parquet(self._folder(kind, number)).select(
-            F.lit(kind).alias("kind"), F.lit(number).cast("bigint").alias("number"), "model_name", "fee_type", moment(trained_at).alias("trained_at"))
-        names.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/commit={kind}-{number}")
+        # One row without names stands for the version itself, which may hold no model.
+        names = self.spark.read.parquet(self._folder(kind, number)).select("model_name", "fee_type").unionByName(
+            self.spark.range(1).select(F.lit(None).cast("string").alias("model_name"), F.lit(None).cast("string").alias("fee_type")))
+        names.select(F.lit(kind).alias("kind"), F.lit(number).cast("bigint").alias("number"), "model_name", "fee_type",
+                     moment(trained_at).alias("trained_at")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/commit={kind}-{number}")
         return number
 
     def load(self, kind: str, number: int | None = None) -> DataFrame | None:
@@ -51,7 +53,7 @@ class ModelStore:
     def gate(self, kind: str, as_of: AsOf, hours: int = 24, fees: list[str] = FEES) -> DataFrame:
         """Per lookback of the newest set: when it was trained, whether it is complete, and whether it must be trained again."""
         log = self.manifest(kind)
-        newest = log.where(F.col("number") == log.agg(F.max("number")).scalar())
+        newest = log.where((F.col("number") == log.agg(F.max("number")).scalar()) & F.col("model_name").isNotNull())
         return needs_retrain(newest, as_of, hours, fees)
 
     def current(self, kind: str, train: Callable[[], DataFrame], as_of: AsOf, hours: int = 24, fees: list[str] = FEES,

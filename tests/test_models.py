@@ -238,6 +238,8 @@ def test_model_sets_are_reused_until_old_or_incomplete(spark, tmp_path):
     assert store.load("seasonal") is None and store.load("forest", 1).count() == 3
     train().write.parquet(str(tmp_path / "models/models/kind=forest/version=9"))  # a version without a manifest row does not count
     assert store.manifest("forest").agg({"number": "max"}).first()[0] == 4
+    empty = train().limit(0)
+    assert store.save("none", empty, T0) == 1 and store.load("none").count() == 0 and store.gate("none", T0).count() == 0
 
 
 def test_pattern_store(spark, tmp_path):
