@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from blockloom import schemas
 from blockloom.operators import fees
 from blockloom.plans.registry import query
-from blockloom.session import work_folder
+from blockloom.session import stored as kept, work_folder
 from blockloom.sources.fixtures import Fixtures
 from blockloom.sources.readers import read_table
 from blockloom.streaming import streams
@@ -43,8 +43,9 @@ def _(fx: Fixtures) -> DataFrame:
     """All transactions are dropped twice, in two runs of the stream; an event fires once."""
     drops, out, checkpoint = places(fx)
     columns = ["timestamp", *[c.split(" ")[0] for c in schemas.ALERT_INPUT.split(", ")]]
+    rows = kept(fx.alert_input.select(*columns), "alerts")
     for _ in range(2):
-        fx.alert_input.select(*columns).write.mode("append").json(drops)
+        rows.write.mode("append").json(drops, compression="gzip")
         finish(streams.transaction_alerts(fx.spark, drops, out, checkpoint))
     stored = read_table(fx.spark, out, f"{schemas.ALERT_HISTORY}, event_hash string, message string, batch int")
     return stored.select("txid", "alert_type", "event_hash")
@@ -55,8 +56,9 @@ def _(fx: Fixtures) -> DataFrame:
     """All transactions are dropped twice; repetitions within the span are known by the state, older ones are too late."""
     drops, out, checkpoint = places(fx)
     columns = ["timestamp", *[c.split(" ")[0] for c in schemas.ALERT_INPUT.split(", ")]]
+    rows = kept(fx.alert_input.select(*columns), "alerts")
     for _ in range(2):
-        fx.alert_input.select(*columns).write.mode("append").json(drops)
+        rows.write.mode("append").json(drops, compression="gzip")
         finish(streams.recent_alerts(fx.spark, drops, out, checkpoint, "3 days"))
     stored = read_table(fx.spark, out, f"{schemas.ALERT_HISTORY}, event_hash string, message string, batch int")
     return stored.select("txid", "alert_type", "event_hash")
