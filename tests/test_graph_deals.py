@@ -1,4 +1,4 @@
-"""The graph of one action stores nothing, shares its deals, and sums only pairs that may meet again."""
+"""The graph of one action stores nothing, shares its deals, and sums only pairs that may meet again; owners keep the size of their tasks."""
 
 import datetime
 import itertools
@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from blockloom.operators import graph
+from blockloom.operators import entities, graph
 from blockloom.plans import catalog
 from blockloom.plans.jobs import AddressGraph
 from blockloom.session import work_folder
@@ -85,3 +85,14 @@ def test_a_graph_with_and_without_stored_members_is_the_same(spark, folder):
     fx = Fixtures(spark, folder)
     a, b = AddressGraph.build(*fx.kept_sides).stored(), AddressGraph.of(graph.counted_sides(fx.side_rows), keep=False)
     assert rows(a.edges) == rows(b.edges) and rows(a.twins) == rows(b.twins)
+
+
+def test_owners_keep_the_number_of_tasks(spark, folder):
+    fx = Fixtures(spark, folder)
+    found = plan(fx.owners)
+    assert len(re.findall(r"hashpartitioning\(address#\d+, 4\), REPARTITION_BY_NUM", found)) == 1
+    want = {}
+    for r in fx.customers.collect():
+        want[r.address] = min(want.get(r.address, r.custkey), r.custkey)
+    assert {r.address: r.owner for r in fx.owners.collect()} == want
+    assert entities.cluster_ids(fx.owners.selectExpr("cast(owner as string) AS component", "address")).count() == len(set(want.values()))
