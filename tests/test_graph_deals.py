@@ -96,3 +96,11 @@ def test_owners_keep_the_number_of_tasks(spark, folder):
         want[r.address] = min(want.get(r.address, r.custkey), r.custkey)
     assert {r.address: r.owner for r in fx.owners.collect()} == want
     assert entities.cluster_ids(fx.owners.selectExpr("cast(owner as string) AS component", "address")).count() == len(set(want.values()))
+
+
+def test_cluster_ids_bring_addresses_near_their_cluster(spark):
+    """Short addresses travel, not the sums of lone members; a cluster may be spread over tasks and keeps its id in any order."""
+    clusters = spark.createDataFrame([("big" if i % 3 else f"c{i % 5}", f"a{i}") for i in range(600)], "component string, address string")
+    ids = entities.cluster_ids(clusters)
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(ids)
+    assert rows(ids) == rows(entities.cluster_ids(clusters.repartition(7).unionByName(clusters))) and ids.count() == 6
