@@ -1,12 +1,14 @@
 """The graph of one action stores nothing, shares its deals, and sums only pairs that may meet again; owners keep the size of their tasks."""
 
 import datetime
+import hashlib
 import itertools
 import os
 import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from blockloom.operators import entities, graph
 from blockloom.plans import catalog
@@ -104,3 +106,36 @@ def test_cluster_ids_bring_addresses_near_their_cluster(spark):
     ids = entities.cluster_ids(clusters)
     assert "REBALANCE_PARTITIONS_BY_COL" in plan(ids)
     assert rows(ids) == rows(entities.cluster_ids(clusters.repartition(7).unionByName(clusters))) and ids.count() == 6
+
+
+@pytest.mark.parametrize("name,kept", [("clustering_coefficient", {"graph", "degrees"}), ("address_features", {"lines", "graph", "degrees"})])
+def test_features_store_one_graph_and_its_degrees(spark, folder, name, kept):
+    """Edges and twins are written by one action, and memberships are not kept."""
+    before = set(os.listdir(work_folder(spark)))
+    assert catalog.QUERIES[name](spark, folder).count() > 0
+    assert {found.split("-")[0] for found in set(os.listdir(work_folder(spark))) - before} == kept
+
+
+def test_overlaps_read_compressed_columns(spark, folder):
+    before = set(os.listdir(work_folder(spark)))
+    catalog.QUERIES["merge_overlaps"](spark, folder).count()
+    assert any(found.startswith("both-") for found in set(os.listdir(work_folder(spark))) - before)
+
+
+def test_times_of_both_sides_give_the_same_activity(spark, folder):
+    fx = Fixtures(spark, folder)
+    now = F.lit(DAY)
+    assert rows(graph.moments_activity(fx.kept_moments, now)) == rows(graph.activity(fx.tx_inputs, fx.tx_outputs, now))
+
+
+def test_a_pair_of_bins_meets_in_one_cell(spark):
+    """A bin visits its own cell and one of each two opposite neighbours, 14 of 27."""
+    points = spark.createDataFrame([(f"p{i}", float(i % 7), float(i % 11), float(i % 13)) for i in range(300)], "address string, x double, y double, z double")
+    seen = []
+    real = graph.F.inline
+    graph.F.inline = lambda column: seen.append(column) or real(column)
+    try:
+        got = graph.density_clusters(points, 1.0, columns=["x", "y", "z"]).collect()
+    finally:
+        graph.F.inline = real
+    assert any(str(column).count("xxhash64") == 14 for column in seen) and len(got) > 0
