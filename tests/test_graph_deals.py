@@ -139,3 +139,21 @@ def test_a_pair_of_bins_meets_in_one_cell(spark):
     finally:
         graph.F.inline = real
     assert any(str(column).count("xxhash64") == 14 for column in seen) and len(got) > 0
+
+
+def test_member_hashes_are_those_of_the_sorted_members(spark):
+    """Clusters longer than a batch, repeated rows, members in any order, a null label and null members."""
+    groups = {"big": [f"a{i * 7919 % 5000}" for i in range(5000)], "one": ["z"], None: ["q", "p"], "né": ["ü", "z", "A"]}
+    every = [(c, a) for c, held in groups.items() for a in held + held[:3]] + [("one", None), ("none", None)]
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "64")
+    try:
+        got = {r.component: (r.cluster_id, r.cluster_size) for r in entities.member_hashes(spark.createDataFrame(every, "component string, address string").repartition(5)).collect()}
+    finally:
+        spark.conf.set(key, old)
+
+    def plain(members, size):
+        return hashlib.sha256(",".join(sorted(members)).encode()).hexdigest()[:16], size
+
+    assert got == {c: plain(held, len(held)) for c, held in groups.items() if c != "one"} | {"one": plain(["z"], 2), "none": plain([], 1)}
